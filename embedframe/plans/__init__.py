@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval
+from . import evaluation, retrieval
 
-_MODULES = [retrieval]
+_MODULES = [retrieval, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
