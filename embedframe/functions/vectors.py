@@ -208,12 +208,9 @@ def quantize_ubinary(a: ColumnLike) -> Column:
     def byte_at(i: Column) -> Column:
         bits = F.transform(
             F.sequence(F.lit(0), F.lit(7)),
-            lambda k: F.when(
-                (i * 8 + k < F.size(a)) & (F.get(a, i * 8 + k) > 0),
-                F.shiftleft(F.lit(1), 7 - k),
-            ).otherwise(F.lit(0)),
+            lambda k: F.when((i * 8 + k < F.size(a)) & (F.get(a, i * 8 + k) > 0), F.lit(1)).otherwise(F.lit(0)),
         )
-        return F.aggregate(bits, F.lit(0), lambda acc, x: acc + x).cast("smallint")
+        return F.aggregate(bits, F.lit(0), lambda acc, b: acc * 2 + b).cast("smallint")
 
     return F.transform(F.sequence(F.lit(0), n_bytes - 1), byte_at)
 
@@ -226,12 +223,14 @@ def quantize_binary(a: ColumnLike) -> Column:
 def unpack_bits(packed: ColumnLike, signed: bool = True) -> Column:
     """Packed bytes → 0/1 array (8 entries per byte, most significant first)."""
     p = _c(packed)
-    if signed:
-        p = F.transform(p, lambda b: b.cast("int") + 128)
+    offset = 128 if signed else 0
     return F.flatten(
         F.transform(
             p,
-            lambda b: F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda k: F.shiftright(b.cast("int"), k) % 2),
+            lambda b: F.transform(
+                F.sequence(F.lit(7), F.lit(0), F.lit(-1)),
+                lambda k: (F.floor((b.cast("int") + offset) / F.pow(F.lit(2.0), k)) % 2).cast("int"),
+            ),
         )
     )
 

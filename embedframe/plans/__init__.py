@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, retrieval
+from . import evaluation, retrieval, vectors
 
-_MODULES = [retrieval, evaluation]
+_MODULES = [retrieval, evaluation, vectors]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
