@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, retrieval, vectors
+from . import evaluation, preparation, retrieval, vectors
 
-_MODULES = [retrieval, evaluation, vectors]
+_MODULES = [retrieval, evaluation, vectors, preparation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
