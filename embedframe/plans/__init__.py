@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, preparation, retrieval, vectors
+from . import candidates, evaluation, preparation, retrieval, vectors
 
-_MODULES = [retrieval, evaluation, vectors, preparation]
+_MODULES = [retrieval, evaluation, vectors, preparation, candidates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
