@@ -127,6 +127,27 @@ def _blocks(df: DataFrame, by: Sequence[str], block_rows: int) -> int:
     return max(1, math.ceil(largest / block_rows))
 
 
+def blocked_cogroup(queries: DataFrame, corpus: DataFrame, fn, schema: T.StructType, *, id_col: str = "vec_id",
+                    vec_col: str = "embedding", by: Sequence[str] = (), block_rows: int = 1024) -> DataFrame:
+    """Run ``fn(key, left, right)`` on every (query block, corpus block) pair of each ``by`` group.
+
+    Rows are hashed into blocks of at most ``block_rows`` rows of the largest group; a query
+    row is replicated once per corpus block and vice versa, so every pair of rows meets in
+    exactly one task.  ``left``/``right`` hold ``by`` columns, ``_qid``/``_qv`` and ``_cid``/``_cv``.
+    """
+    by = list(by)
+    bq = _blocks(queries, by, block_rows)
+    bc = _blocks(corpus, by, block_rows)
+    q = (queries.select(*by, F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
+         .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(bq)))
+         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
+    c = (corpus.select(*by, F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
+         .withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(bc)))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    keys = by + ["_qb", "_cb"]
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(fn, schema)
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *, id_col: str = "vec_id",
         vec_col: str = "embedding", by: Sequence[str] = (), exclude_self: bool = True,
         block_rows: int = 1024) -> DataFrame:
@@ -141,23 +162,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
     if k < 1:
         raise ValueError("k must be ≥ 1")
     by = list(by)
-    bq = _blocks(queries, by, block_rows)
-    bc = _blocks(corpus, by, block_rows)
-    q = (queries.select(*by, F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
-         .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(bq)))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
-    c = (corpus.select(*by, F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
-         .withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(bc)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
     by_fields = [f for f in queries.schema.fields if f.name in by]
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in by_fields]
         + [T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
            T.StructField("similarity", T.DoubleType())]
     )
-    keys = by + ["_qb", "_cb"]
-    local = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(
-        _local_topk(by, k, metric, exclude_self), schema)
+    local = blocked_cogroup(queries, corpus, _local_topk(by, k, metric, exclude_self), schema, id_col=id_col,
+                            vec_col=vec_col, by=by, block_rows=block_rows)
     w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
