@@ -16,7 +16,6 @@ descending, ties by the smaller neighbour id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -69,18 +68,26 @@ def similarity_matrix(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
 
 
-def _stack(col: pd.Series) -> np.ndarray:
+def _stack(col: pd.Series, bits_width: int | None = None) -> np.ndarray:
+    """Rows of a vector column as a float64 matrix; with ``bits_width`` the column holds on-bit
+    index lists, expanded to dense 0/1 rows (Tanimoto on them is the Jaccard of the sets)."""
     if len(col) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, bits_width or 0))
+    if bits_width:
+        out = np.zeros((len(col), bits_width))
+        for i, bits in enumerate(col):
+            if bits is not None and len(bits):
+                out[i, np.asarray(bits, dtype=np.int64)] = 1.0
+        return out
     return np.stack([np.asarray(v, dtype=np.float64) for v in col])
 
 
-def _local_topk(by: Sequence[str], k: int, metric: str, exclude_self: bool):
+def _local_topk(by: Sequence[str], k: int, metric: str, exclude_self: bool, bits_width: int | None = None):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = list(by) + ["query_id", "neighbor_id", "similarity"]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: [] for c in cols})
-        q, c = _stack(left["_qv"]), _stack(right["_cv"])
+        q, c = _stack(left["_qv"], bits_width), _stack(right["_cv"], bits_width)
         if q.shape[1] != c.shape[1]:
             raise ValueError(f"dimension mismatch: queries {q.shape[1]} vs corpus {c.shape[1]}")
         s = _round_half_up(similarity_matrix(q, c, metric))
@@ -118,39 +125,50 @@ def _local_topk(by: Sequence[str], k: int, metric: str, exclude_self: bool):
     return run
 
 
-def _blocks(df: DataFrame, by: Sequence[str], block_rows: int) -> int:
-    """Number of hash blocks so that one block of the largest group holds ≤ block_rows rows."""
-    if by:
-        largest = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    else:
-        largest = df.count()
-    return max(1, math.ceil(largest / block_rows))
-
-
 def blocked_cogroup(queries: DataFrame, corpus: DataFrame, fn, schema: T.StructType, *, id_col: str = "vec_id",
                     vec_col: str = "embedding", by: Sequence[str] = (), block_rows: int = 1024) -> DataFrame:
     """Run ``fn(key, left, right)`` on every (query block, corpus block) pair of each ``by`` group.
 
-    Rows are hashed into blocks of at most ``block_rows`` rows of the largest group; a query
-    row is replicated once per corpus block and vice versa, so every pair of rows meets in
-    exactly one task.  ``left``/``right`` hold ``by`` columns, ``_qid``/``_qv`` and ``_cid``/``_cv``.
+    Each group is hashed into ⌈rows / block_rows⌉ blocks per side (the counts come from a
+    grouped count, one row per group); a query row is replicated once per corpus block of its
+    group and vice versa, so every pair of rows of a group meets in exactly one task and no
+    task holds more than ``block_rows`` rows per side.  A hot group is split into many
+    blocks; small groups are not replicated because of it.
+    ``left``/``right`` hold the ``by`` columns, ``_qid``/``_qv`` and ``_cid``/``_cv``.
     """
     by = list(by)
-    bq = _blocks(queries, by, block_rows)
-    bc = _blocks(corpus, by, block_rows)
-    q = (queries.select(*by, F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
-         .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.lit(bq)))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1)))))
-    c = (corpus.select(*by, F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
-         .withColumn("_cb", F.pmod(F.xxhash64("_cid"), F.lit(bc)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    # re-aliased group columns: queries and corpus are often the same table
+    q = queries.select(*[F.col(b).alias(b) for b in by], F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
+    c = corpus.select(*[F.col(b).alias(b) for b in by], F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
+    if by:
+        # one pass over both sides (a union, not a join of two aggregates of the same input)
+        both = q.select(*by, F.lit(1).alias("_iq"), F.lit(0).alias("_ic")).unionByName(
+            c.select(*by, F.lit(0).alias("_iq"), F.lit(1).alias("_ic")))
+        sizes = both.groupBy(*by).agg(F.sum("_iq").alias("_nq"), F.sum("_ic").alias("_nc")) \
+            .where((F.col("_nq") > 0) & (F.col("_nc") > 0)) \
+            .select(*by, F.ceil(F.col("_nq") / block_rows).cast("int").alias("_bq"),
+                    F.ceil(F.col("_nc") / block_rows).cast("int").alias("_bc"))
+        # fresh names on the size table: it derives from the same input as q and c
+        sizes = sizes.select(*[F.col(b).alias(f"_g{i}") for i, b in enumerate(by)], "_bq", "_bc")
+        on = [F.col(b).eqNullSafe(F.col(f"_g{i}")) for i, b in enumerate(by)]
+        gcols = [f"_g{i}" for i in range(len(by))]
+        q = q.join(sizes, on).drop(*gcols)
+        c = c.join(sizes, on).drop(*gcols)
+        bq, bc = F.col("_bq"), F.col("_bc")
+    else:
+        bq = F.greatest(F.ceil(q.agg(F.count(F.lit(1))).scalar() / block_rows), F.lit(1)).cast("int")
+        bc = F.greatest(F.ceil(c.agg(F.count(F.lit(1))).scalar() / block_rows), F.lit(1)).cast("int")
+    q = (q.withColumn("_qb", F.pmod(F.xxhash64("_qid"), bq).cast("int"))
+         .withColumn("_cb", F.explode(F.sequence(F.lit(0), bc - 1))).select(*by, "_qb", "_cb", "_qid", "_qv"))
+    c = (c.withColumn("_cb", F.pmod(F.xxhash64("_cid"), bc).cast("int"))
+         .withColumn("_qb", F.explode(F.sequence(F.lit(0), bq - 1))).select(*by, "_qb", "_cb", "_cid", "_cv"))
     keys = by + ["_qb", "_cb"]
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(fn, schema)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *, id_col: str = "vec_id",
         vec_col: str = "embedding", by: Sequence[str] = (), exclude_self: bool = True,
-        block_rows: int = 1024) -> DataFrame:
+        block_rows: int = 1024, bits_width: int | None = None) -> DataFrame:
     """Top-k corpus rows per query row (``knn_exact`` / ``knn_metric``).
 
     ``by`` columns must match between a query and a corpus row (for example the truncation
@@ -168,7 +186,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
         + [T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
            T.StructField("similarity", T.DoubleType())]
     )
-    local = blocked_cogroup(queries, corpus, _local_topk(by, k, metric, exclude_self), schema, id_col=id_col,
+    local = blocked_cogroup(queries, corpus, _local_topk(by, k, metric, exclude_self, bits_width), schema, id_col=id_col,
                             vec_col=vec_col, by=by, block_rows=block_rows)
     w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import candidates, evaluation, learning, preparation, retrieval, vectors
+from . import approximate, candidates, evaluation, learning, preparation, retrieval, vectors
 
-_MODULES = [retrieval, evaluation, vectors, preparation, candidates, learning]
+_MODULES = [retrieval, evaluation, vectors, preparation, candidates, learning, approximate]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
