@@ -87,7 +87,9 @@ def embed_batches(df: DataFrame, text_col: str, out_col: str = "embedding",
             m = _finish(m, normalize, truncate_dim, precision)
             yield pd.Series(list(m))
 
-    return df.withColumn(out_col, encode(F.col(text_col)))
+    from ..sources.tables import spread
+
+    return spread(df).withColumn(out_col, encode(F.col(text_col)))
 
 
 # --- scorers ---------------------------------------------------------------------------------

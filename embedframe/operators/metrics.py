@@ -34,16 +34,24 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits: int |
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits: int | None = 6,
              with_n: bool = False) -> DataFrame:
     """Pearson correlation of average ranks, per group.  Rows with a NULL on either side are
-    dropped first (as pairwise-complete statistics do)."""
+    dropped first (as pairwise-complete statistics do).
+
+    Both columns are ranked in one pass: the values are stacked with a side tag that becomes
+    part of the rank group, so one range partitioning serves x and y."""
     by = list(by)
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_row", F.monotonically_increasing_id())
-    rx = average_ranks(base.select(*by, "_row", x), x, by, "_rx").select(*by, "_row", "_rx")
-    ry = average_ranks(base.select(*by, "_row", y), y, by, "_ry").select(*by, "_row", "_ry")
-    j = rx.join(ry, [*by, "_row"])
+    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.monotonically_increasing_id().alias("_row"), F.col(x).cast("double").alias("_x"),
+        F.col(y).cast("double").alias("_y"))
+    stacked = base.select(*by, "_row", F.explode(F.array(
+        F.struct(F.lit(0).alias("_side"), F.col("_x").alias("_v")),
+        F.struct(F.lit(1).alias("_side"), F.col("_y").alias("_v")))).alias("_s")).select(*by, "_row", "_s._side", "_s._v")
+    ranked = average_ranks(stacked, "_v", [*by, "_side"], "_r")
+    paired = ranked.groupBy(*by, "_row").agg(F.max(F.when(F.col("_side") == 0, F.col("_r"))).alias("_rx"),
+                                             F.max(F.when(F.col("_side") == 1, F.col("_r"))).alias("_ry"))
     aggs = [_r(F.corr("_rx", "_ry"), digits).alias("spearman")]
     if with_n:
         aggs.append(F.count(F.lit(1)).alias("n"))
-    return j.groupBy(*by).agg(*aggs)
+    return paired.groupBy(*by).agg(*aggs)
 
 
 def _betacf(a: float, b: float, x: float) -> float:

@@ -75,16 +75,16 @@ def nonzero_mask(spark, sf):
 
 
 def evaluate_pairs(spark, sf):
-    parts = []
-    for n in ("cosine", "tanimoto", "euclidean", "manhattan", "dot"):
-        sp = D.scored_pairs(spark, sf, n)
-        s = M.spearman(sp, "label", "score", ["dim"])
-        p = M.pearson(sp, "label", "score", ["dim"])
-        parts.append(s.join(p, "dim").withColumn("similarity_fn", F.lit(n)))
-    out = parts[0]
+    """Spearman and Pearson per (similarity function, dimension): the scored pairs of every
+    function are stacked into one table, so each statistic is one grouped job."""
+    parts = [D.scored_pairs(spark, sf, n).withColumn("similarity_fn", F.lit(n))
+             for n in ("cosine", "tanimoto", "euclidean", "manhattan", "dot")]
+    sp = parts[0]
     for x in parts[1:]:
-        out = out.unionByName(x)
-    return out.select("similarity_fn", "dim", "spearman", "pearson")
+        sp = sp.unionByName(x)
+    s = M.spearman(sp, "label", "score", ["similarity_fn", "dim"])
+    p = M.pearson(sp, "label", "score", ["similarity_fn", "dim"])
+    return s.join(p, ["similarity_fn", "dim"]).select("similarity_fn", "dim", "spearman", "pearson")
 
 
 def value_counts(spark, sf):
