@@ -320,8 +320,8 @@ def vec_pool(df: DataFrame, group_cols: Sequence[str], vec_col: str, position_co
     if strategy == "weighted_mean":
         base = average_ranks(base, position_col, group_cols, "_w")
     cols = [*group_cols, F.col(position_col)] + ([F.col("_w")] if strategy == "weighted_mean" else [])
-    ex = base.select(*cols, F.posexplode(vec_col).alias("pos", "_x")).withColumn("_x", F.col("_x").cast("double"))
-    g = ex.groupBy(*group_cols, "pos")
+    ex = base.select(*cols, F.posexplode(vec_col).alias("_comp", "_x")).withColumn("_x", F.col("_x").cast("double"))
+    g = ex.groupBy(*group_cols, "_comp")
     if strategy in ("mean", "first"):
         out = g.agg(F.avg("_x").alias("value"))
     elif strategy == "sum":
@@ -332,7 +332,7 @@ def vec_pool(df: DataFrame, group_cols: Sequence[str], vec_col: str, position_co
         out = g.agg((F.sum("_x") / F.sqrt(F.count("_x"))).alias("value"))
     else:
         out = g.agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("value"))
-    return out.select(*group_cols, F.col("pos").cast("int").alias("pos"), _r(F.col("value"), digits).alias("value"))
+    return out.select(*group_cols, F.col("_comp").cast("int").alias("pos"), _r(F.col("value"), digits).alias("value"))
 
 
 def last_k_layers(df: DataFrame, layer_col: str, k: int, group_cols: Sequence[str] = ()) -> DataFrame:
