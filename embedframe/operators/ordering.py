@@ -3,10 +3,10 @@
 ``row_number() OVER (ORDER BY x)`` with no ``PARTITION BY`` moves the whole table into one
 task.  ``running_sum_before`` computes the same positions in three distributed steps:
 
-1. range-partition the rows on ``(group, order)`` and sort each partition (one shuffle);
-   a hot group is split over several partitions like any other key range;
-2. each partition computes its local running sums with a vectorised pandas pass that keeps
-   the partitioning (``mapInPandas``; no shuffle);
+1. range-partition the rows on ``(group, order)`` (one shuffle) and checkpoint them with
+   their partition id; a hot group is split over several partitions like any other range;
+2. each partition computes its local running sums with a window keyed by the partition id
+   (the rows of one range partition move together; JVM code, no Python);
 3. per (partition, group) totals give each partition the sum that earlier partitions hold
    for the group it starts with.  Only the first group of a partition can continue from an
    earlier partition, so this offset table has at most one row per partition: it is
@@ -17,41 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import types as T  # noqa: F401
 
-
-def _local_running(group_cols: list[str], weight_col: str, out_col: str):
-    def run(batches):
-        carry_key = None
-        carry = 0.0
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{out_col: pd.Series([], dtype="float64")})
-                continue
-            w = pdf[weight_col].astype("float64").fillna(0.0)
-            if group_cols:
-                keys = pdf[group_cols]
-                changed = (keys != keys.shift()).any(axis=1).to_numpy()
-                changed[0] = True
-                seg = np.cumsum(changed)
-                before = w.groupby(seg).cumsum() - w
-                first_key = tuple(keys.iloc[0])
-                last_key = tuple(keys.iloc[-1])
-            else:
-                seg = np.ones(len(pdf), dtype=np.int64)
-                before = w.cumsum() - w
-                first_key = last_key = ()
-            if carry_key is not None and first_key == carry_key:
-                before = before.where(seg != seg[0], before + carry)
-            carry_key = last_key
-            carry = float(before.iloc[-1] + w.iloc[-1])
-            yield pdf.assign(**{out_col: before.to_numpy()})
-
-    return run
+from ..session import checkpoint_dir
 
 
 def running_sum_before(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
@@ -69,14 +39,16 @@ def running_sum_before(df: DataFrame, order_cols: Sequence[str | Column], group_
     base = df if weight_col else df.withColumn("_w", F.lit(1.0))
     wcol = weight_col or "_w"
     key_exprs = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    ranged = (base.repartitionByRange(n_parts, *key_exprs).sortWithinPartitions(*key_exprs)
-              .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.DoubleType())])
-    local = ranged.mapInPandas(_local_running(group_cols, wcol, "_local"), schema)
-    # Totals come from the same subtree as ``local`` so that both read one reused range
-    # exchange: the range bounds are sampled per job, so two separately planned exchanges
-    # could cut the key space differently.
-    totals = local.groupBy("_pid", *group_cols).agg(F.sum(wcol).cast("double").alias("_tot"))
+    # The range partition id is written out with the rows (reliable checkpoint in the shared
+    # checkpoint folder): both uses below read the same cut of the key space, however the
+    # optimiser prunes them, and a lost executor re-reads instead of re-sampling the bounds.
+    checkpoint_dir(df.sparkSession)
+    ranged = base.repartitionByRange(n_parts, *key_exprs).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    # running sum inside each range partition: a window keyed by the partition id (JVM, codegen)
+    w_local = (Window.partitionBy("_pid", *group_cols).orderBy(*key_exprs[len(group_cols):])
+               .rowsBetween(Window.unboundedPreceding, -1))
+    local = ranged.withColumn("_local", F.coalesce(F.sum(F.col(wcol).cast("double")).over(w_local), F.lit(0.0)))
+    totals = ranged.groupBy("_pid", *group_cols).agg(F.sum(F.col(wcol).cast("double")).alias("_tot"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (totals.withColumn("_off", F.sum("_tot").over(w))
                .where(F.col("_off").isNotNull() & (F.col("_off") != 0))
