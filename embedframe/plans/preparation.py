@@ -195,7 +195,27 @@ def library_update(spark, sf):
     return P.library_update(lib, cand, "key", "score", 50).select(F.md5("key").alias("key_md5"), "score")
 
 
+def _library_and_candidates(spark, sf):
+    docs = _docs(spark, sf).select(F.col("text").alias("key"), F.col("n_chars").cast("double").alias("score"), "source",
+                                   "doc_id")
+    # library: documents from the sources named up to 'src3'; candidates: all other sources
+    return docs.where(F.col("source") <= "src3").select("key"), docs.where(F.col("source") > "src3")
+
+
+def join_semi_seen(spark, sf):
+    """Candidates whose key the library already holds (exact copies of English texts)."""
+    lib, cand = _library_and_candidates(spark, sf)
+    return cand.join(lib, "key", "left_semi").select("doc_id", "score")
+
+
+def join_anti_new(spark, sf):
+    lib, cand = _library_and_candidates(spark, sf)
+    return cand.join(lib, "key", "left_anti").select("doc_id", "score")
+
+
 QUERIES = {
+    "join_semi_seen": join_semi_seen,
+    "join_anti_new": join_anti_new,
     "scan_by_extension": scan_by_extension,
     "scan_required_columns": scan_required_columns,
     "scan_headerless": scan_headerless,
@@ -232,6 +252,10 @@ _TAGGED = f"tg AS (SELECT lang AS dataset, {_SPLIT} AS split, doc_id FROM docume
 _NORM = "sqrt(list_dot_product(CAST(list_slice(embedding, 1, d) AS DOUBLE[]), CAST(list_slice(embedding, 1, d) AS DOUBLE[])))"
 
 ORACLE = {
+    "join_semi_seen": """SELECT doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents d WHERE source > 'src3'
+        AND EXISTS (SELECT 1 FROM documents l WHERE l.source <= 'src3' AND l.text = d.text)""",
+    "join_anti_new": """SELECT doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents d WHERE source > 'src3'
+        AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.source <= 'src3' AND l.text = d.text)""",
     "scan_by_extension": "SELECT doc_id, lang, n_chars FROM documents",
     "scan_required_columns": "SELECT source, doc_id, lang FROM documents",
     "scan_headerless": "SELECT source AS smiles, CAST(doc_id AS VARCHAR) AS zinc_id FROM documents",

@@ -115,6 +115,18 @@ def recall_at_k(spark, sf):
     return K.recall_at_k(truth, pred).select("query_id", F.round("accuracy", 6).alias("accuracy"))
 
 
+def join_overlap(spark, sf):
+    """|top-10 at full width ∩ top-10 of the 8-wide prefix| per query (inner join on (query, id))."""
+    e = _emb(spark, sf).select("vec_id", "embedding")
+    lad = K.truncate_ladder(e, [64, 8])
+    nn = K.knn(lad, lad, 10, "cosine", by=["dim"])
+    full = nn.where(F.col("dim") == 64).select("query_id", "neighbor_id")
+    small = nn.where(F.col("dim") == 8).select("query_id", "neighbor_id")
+    common = full.join(small, ["query_id", "neighbor_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("common"))
+    return full.select("query_id").distinct().join(common, "query_id", "left").select(
+        "query_id", F.coalesce("common", F.lit(0)).cast("long").alias("common"))
+
+
 def describe_groups(spark, sf):
     ev = table(spark, sf, "events")
     return K.describe_groups(ev, ["event_type"], "value")
@@ -205,6 +217,7 @@ QUERIES = {
     "knn_exact": knn_exact,
     "knn_metric": knn_metric,
     "recall_at_k": recall_at_k,
+    "join_overlap": join_overlap,
     "describe_groups": describe_groups,
     "perf_summary": perf_summary,
     "join_baseline": join_baseline,
@@ -283,6 +296,9 @@ ORACLE = {
         pred AS (SELECT query_id, neighbor_id FROM top WHERE dim = 16)
         SELECT p.query_id, round(CAST(count(t.neighbor_id) AS DOUBLE) / 10, 6) AS accuracy
         FROM pred p LEFT JOIN truth t USING (query_id, neighbor_id) GROUP BY p.query_id""",
+    "join_overlap": "WITH " + _COSINE_TOPK_SQL + """, tt AS (SELECT query_id, neighbor_id FROM top WHERE dim = 64),
+        pp AS (SELECT query_id, neighbor_id FROM top WHERE dim = 8)
+        SELECT tt.query_id, count(pp.neighbor_id) AS common FROM tt LEFT JOIN pp USING (query_id, neighbor_id) GROUP BY tt.query_id""",
     "describe_groups": """SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
         round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
         round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max FROM events GROUP BY event_type""",
