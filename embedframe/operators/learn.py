@@ -189,3 +189,122 @@ def classifier_fit_predict(train: DataFrame, test: DataFrame, vec_col: str, labe
     return fitted.transform(te).withColumn("prediction", F.col("prediction").cast("int")).drop("features",
                                                                                                "rawPrediction",
                                                                                                "probability")
+
+
+# --- density hierarchy (discretised excess-of-mass selection) -----------------------------------
+
+def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, min_size: int = 5,
+                      id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 1024,
+                      core: DataFrame | None = None) -> DataFrame:
+    """(id, cluster): clusters chosen from a ladder of radii by excess of mass
+    (Campello, Moulavi, Sander 2013), on a discretised hierarchy.
+
+    * For each ε of the ladder (largest first, λ = 1/ε) the components of the mutual
+      reachability graph with ≥ ``min_size`` points are computed (``components_at``).
+    * A component whose parent (the component holding it one step up) has exactly one such
+      child continues the parent's cluster; two or more children are new clusters.
+    * stability(C) = Σ over its points of (λ at which the point leaves C − λ at C's birth).
+    * Bottom-up, a cluster is kept when its stability is at least the sum of what its
+      children keep; the root (a single top component) is never kept.  Points outside the
+      kept clusters are −1; a kept cluster is named by the smallest id at its birth.
+
+    Every step is a join or grouped aggregation; the cluster tree itself has at most
+    (rows / min_size) nodes per step.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    ladder = sorted({float(e) for e in eps_ladder}, reverse=True)
+    lam = [1.0 / e for e in ladder]
+    n_levels = len(ladder)
+    core = (core if core is not None else core_distance(df, m, id_col, vec_col, block_rows)).checkpoint()
+    memb = None
+    for level, eps in enumerate(ladder):
+        pts = df.join(core.where(F.col("core") <= eps).select(id_col), id_col, "left_semi")
+        comps = components_at(pts, core, eps, id_col, vec_col, block_rows)
+        sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+        keep = comps.join(sizes.where(F.col("_n") >= min_size), "component").select(
+            F.col(id_col).alias("id"), F.lit(level).alias("level"), F.col("component").alias("comp"))
+        keep = keep.checkpoint()
+        memb = keep if memb is None else memb.unionByName(keep)
+    memb = memb.checkpoint()
+
+    # parent component one level up, children counts
+    up = memb.select("id", (F.col("level") + 1).alias("level"), F.col("comp").alias("pcomp"))
+    links = memb.join(up, ["id", "level"]).select("level", "comp", "pcomp").distinct()
+    n_children = links.groupBy((F.col("level") - 1).alias("plevel"), "pcomp").agg(F.count(F.lit(1)).alias("nch"))
+    comps_all = memb.select("level", "comp").distinct()
+    roots = comps_all.where(F.col("level") == 0)
+    single_root = roots.count() == 1
+
+    # cluster id per component, level by level: continue the parent's cluster when it is the only child
+    cid = roots.select("level", "comp", F.col("level").alias("blevel"), F.col("comp").alias("bcomp"))
+    cid = cid.checkpoint()
+    all_cid = cid
+    parent_of = {}
+    for level in range(1, n_levels):
+        nch = n_children.select(F.col("plevel").alias("_pl"), F.col("pcomp").alias("_pc"), "nch")
+        cur = (links.where(F.col("level") == level)
+               .join(nch, (F.col("_pl") == level - 1) & (F.col("pcomp") == F.col("_pc")))
+               .select("comp", "pcomp", "nch"))
+        prev = cid.select(F.col("comp").alias("pcomp"), F.col("blevel").alias("pb"), F.col("bcomp").alias("pbc"))
+        cur = cur.join(prev, "pcomp")
+        cid = cur.select(F.lit(level).alias("level"), "comp",
+                         F.when(F.col("nch") == 1, F.col("pb")).otherwise(F.lit(level)).alias("blevel"),
+                         F.when(F.col("nch") == 1, F.col("pbc")).otherwise(F.col("comp")).alias("bcomp"),
+                         F.when(F.col("nch") == 1, F.lit(None)).otherwise(F.col("pb")).alias("par_b"),
+                         F.when(F.col("nch") == 1, F.lit(None)).otherwise(F.col("pbc")).alias("par_c")).checkpoint()
+        parent_of[level] = cid.where(F.col("par_b").isNotNull()).select("blevel", "bcomp", "par_b", "par_c").distinct()
+        all_cid = all_cid.unionByName(cid.select("level", "comp", "blevel", "bcomp"))
+    all_cid = all_cid.checkpoint()
+
+    # stability per cluster (blevel, bcomp)
+    lam_at = F.element_at(F.array(*[F.lit(x) for x in lam]), F.col("_lvl") + 1)
+    pm = memb.join(all_cid, ["level", "comp"]).groupBy("id", "blevel", "bcomp").agg(F.max("level").alias("last"))
+    pm = pm.withColumn("_lvl", F.least(F.col("last") + 1, F.lit(n_levels - 1))).withColumn("lam_leave", lam_at)
+    pm = pm.withColumn("_lvl", F.col("blevel")).withColumn("lam_birth", lam_at)
+    stab = pm.groupBy("blevel", "bcomp").agg(F.sum(F.col("lam_leave") - F.col("lam_birth")).alias("stability"))
+    tree = None
+    for level, par in parent_of.items():
+        tree = par if tree is None else tree.unionByName(par)
+    nodes = stab.join(tree, ["blevel", "bcomp"], "left") if tree is not None else \
+        stab.withColumn("par_b", F.lit(None).cast("int")).withColumn("par_c", F.lit(None).cast("long"))
+    nodes = nodes.select("blevel", "bcomp", "stability", "par_b", "par_c").checkpoint()
+    is_root = (F.col("blevel") == 0) & F.lit(single_root)
+
+    # bottom-up (deepest birth level first): value = own stability if kept, else the children's sum
+    vals = None
+    for b in reversed(range(n_levels)):
+        cur = nodes.where(F.col("blevel") == b)
+        if vals is not None:
+            kids = (vals.join(nodes.select("blevel", "bcomp", "par_b", "par_c"), ["blevel", "bcomp"])
+                    .where(F.col("par_b").isNotNull())
+                    .groupBy(F.col("par_b").alias("blevel"), F.col("par_c").alias("bcomp"))
+                    .agg(F.sum("value").alias("_cv"), F.count(F.lit(1)).alias("_nk")))
+            cur = cur.join(kids, ["blevel", "bcomp"], "left")
+        else:
+            cur = cur.withColumn("_cv", F.lit(None).cast("double")).withColumn("_nk", F.lit(None).cast("long"))
+        keep = (~is_root) & (F.col("_nk").isNull() | (F.col("stability") >= F.col("_cv")))
+        step = cur.select("blevel", "bcomp", keep.alias("keep_self"),
+                          F.when(keep, F.col("stability")).otherwise(F.coalesce("_cv", F.lit(0.0))).alias("value"))
+        vals = step if vals is None else vals.unionByName(step)
+        vals = vals.checkpoint()
+
+    # top-down: a cluster is selected when it keeps itself and no ancestor is selected
+    state = None
+    for b in range(n_levels):
+        cur = vals.where(F.col("blevel") == b).join(nodes.select("blevel", "bcomp", "par_b", "par_c"), ["blevel", "bcomp"])
+        if state is not None:
+            par = state.select(F.col("blevel").alias("par_b"), F.col("bcomp").alias("par_c"),
+                               (F.col("blocked") | F.col("selected")).alias("_pblock"))
+            cur = cur.join(par, ["par_b", "par_c"], "left")
+        else:
+            cur = cur.withColumn("_pblock", F.lit(False))
+        blocked = F.coalesce(F.col("_pblock"), F.lit(False))
+        step = cur.select("blevel", "bcomp", blocked.alias("blocked"), (F.col("keep_self") & ~blocked).alias("selected"))
+        state = step if state is None else state.unionByName(step)
+        state = state.checkpoint()
+    sel = state.where(F.col("selected")).select("blevel", "bcomp")
+    labelled = memb.join(all_cid, ["level", "comp"]).join(sel, ["blevel", "bcomp"]).select(
+        F.col("id").alias(id_col), F.col("bcomp").alias("cluster")).distinct()
+    return df.select(id_col).join(labelled, id_col, "left").select(
+        id_col, F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))

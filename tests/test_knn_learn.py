@@ -136,3 +136,14 @@ def test_classifier_learns_separable_labels(spark):
         assert acc > 0.9
     with pytest.raises(ValueError):
         L.classifier_fit_predict(train, test, "embedding", "label", model="tree")
+
+
+def test_density_hierarchy_splits_blobs(spark):
+    df, pts = _blobs(spark)
+    out = L.density_hierarchy(df, [20.0, 8.0, 2.0, 1.0, 0.6], m=4, min_size=5, block_rows=32).toPandas()
+    labels = out.set_index("vec_id").sort_index().cluster.to_numpy()
+    found = set(labels[labels >= 0])
+    assert len(found) == 3  # the root (everything at the widest radius) is never chosen
+    for blob in range(3):
+        members = labels[blob * 40:(blob + 1) * 40]
+        assert (members == members[members >= 0][0]).mean() > 0.8
