@@ -32,13 +32,17 @@ def score_candidates(refs: DataFrame, cands: DataFrame, ref_key: str, cand_key:
 def topk_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Column], k: int,
                    reference_quirk: bool = True) -> DataFrame:
     """Best ``k`` rows per group.  With ``reference_quirk`` at most n − 1 rows of a group of n
-    are kept (a group of one keeps none), as the reference does."""
+    are kept (a group of one keeps none), as the reference does.
+
+    The quirk only bites when n ≤ k, so the k + 1 best rows are enough to decide it: their
+    count c is n when n ≤ k and k + 1 otherwise, and min(k, c − 1) rows are kept.  Both
+    windows share one partitioning and the first one is a partial ``WindowGroupLimit``."""
     w = Window.partitionBy(*group_cols).orderBy(*order)
-    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     if not reference_quirk:
-        return top.drop("_rn")
-    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
-    return top.join(sizes, list(group_cols)).where(F.col("_rn") <= F.col("_n") - 1).drop("_rn", "_n")
+        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+    top = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1)
+    top = top.withColumn("_c", F.count(F.lit(1)).over(Window.partitionBy(*group_cols)))
+    return top.where(F.col("_rn") <= F.least(F.lit(k), F.col("_c") - 1)).drop("_rn", "_c")
 
 
 def best_per_group(df: DataFrame, group_cols: Sequence[str], score_col: str, tiebreak: Sequence[str]) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, reliable_checkpoint
 from . import knn as K
 
 
@@ -90,8 +90,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
     checkpoint_dir(nodes.sparkSession)
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b"))
-    e = e.checkpoint()
-    labels = nodes.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id")).checkpoint()
+    e = reliable_checkpoint(e)
+    labels = reliable_checkpoint(nodes.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id")))
     for _ in range(max_rounds):
         nb = e.join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b") \
               .groupBy("a").agg(F.min("lb").alias("m"))
@@ -100,7 +100,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
         jump = step.alias("x").join(step.select(F.col("id").alias("lid"), F.col("label").alias("ll")),
                                     F.col("x.label") == F.col("lid"), "left") \
                    .select(F.col("x.id").alias("id"), F.least(F.col("x.label"), F.coalesce("ll", "x.label")).alias("label"))
-        new = jump.checkpoint()
+        new = reliable_checkpoint(jump)
         changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1).count()
         labels = new
         if changed == 0:
@@ -112,7 +112,7 @@ def density_clusters(df: DataFrame, eps: float, m: int = 5, min_size: int = 5, i
                      vec_col: str = "embedding", block_rows: int = 1024, core: DataFrame | None = None) -> DataFrame:
     """(id, cluster, core): cluster = smallest member id, −1 for noise."""
     core = core if core is not None else core_distance(df, m, id_col, vec_col, block_rows)
-    core = core.checkpoint()
+    core = reliable_checkpoint(core)
     pts = df.join(core.where(F.col("core") <= eps).select(id_col), id_col, "left_semi")
     comps = components_at(pts, core, eps, id_col, vec_col, block_rows)
     return label_clusters(df.select(id_col), comps, core, min_size, id_col)
@@ -216,7 +216,7 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
     ladder = sorted({float(e) for e in eps_ladder}, reverse=True)
     lam = [1.0 / e for e in ladder]
     n_levels = len(ladder)
-    core = (core if core is not None else core_distance(df, m, id_col, vec_col, block_rows)).checkpoint()
+    core = reliable_checkpoint((core if core is not None else core_distance(df, m, id_col, vec_col, block_rows)))
     memb = None
     for level, eps in enumerate(ladder):
         pts = df.join(core.where(F.col("core") <= eps).select(id_col), id_col, "left_semi")
@@ -224,9 +224,9 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
         sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
         keep = comps.join(sizes.where(F.col("_n") >= min_size), "component").select(
             F.col(id_col).alias("id"), F.lit(level).alias("level"), F.col("component").alias("comp"))
-        keep = keep.checkpoint()
+        keep = reliable_checkpoint(keep)
         memb = keep if memb is None else memb.unionByName(keep)
-    memb = memb.checkpoint()
+    memb = reliable_checkpoint(memb)
 
     # parent component one level up, children counts
     up = memb.select("id", (F.col("level") + 1).alias("level"), F.col("comp").alias("pcomp"))
@@ -238,7 +238,7 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
 
     # cluster id per component, level by level: continue the parent's cluster when it is the only child
     cid = roots.select("level", "comp", F.col("level").alias("blevel"), F.col("comp").alias("bcomp"))
-    cid = cid.checkpoint()
+    cid = reliable_checkpoint(cid)
     all_cid = cid
     parent_of = {}
     for level in range(1, n_levels):
@@ -252,10 +252,11 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
                          F.when(F.col("nch") == 1, F.col("pb")).otherwise(F.lit(level)).alias("blevel"),
                          F.when(F.col("nch") == 1, F.col("pbc")).otherwise(F.col("comp")).alias("bcomp"),
                          F.when(F.col("nch") == 1, F.lit(None)).otherwise(F.col("pb")).alias("par_b"),
-                         F.when(F.col("nch") == 1, F.lit(None)).otherwise(F.col("pbc")).alias("par_c")).checkpoint()
+                         F.when(F.col("nch") == 1, F.lit(None)).otherwise(F.col("pbc")).alias("par_c"))
+        cid = reliable_checkpoint(cid)
         parent_of[level] = cid.where(F.col("par_b").isNotNull()).select("blevel", "bcomp", "par_b", "par_c").distinct()
         all_cid = all_cid.unionByName(cid.select("level", "comp", "blevel", "bcomp"))
-    all_cid = all_cid.checkpoint()
+    all_cid = reliable_checkpoint(all_cid)
 
     # stability per cluster (blevel, bcomp)
     lam_at = F.element_at(F.array(*[F.lit(x) for x in lam]), F.col("_lvl") + 1)
@@ -268,7 +269,7 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
         tree = par if tree is None else tree.unionByName(par)
     nodes = stab.join(tree, ["blevel", "bcomp"], "left") if tree is not None else \
         stab.withColumn("par_b", F.lit(None).cast("int")).withColumn("par_c", F.lit(None).cast("long"))
-    nodes = nodes.select("blevel", "bcomp", "stability", "par_b", "par_c").checkpoint()
+    nodes = reliable_checkpoint(nodes.select("blevel", "bcomp", "stability", "par_b", "par_c"))
     is_root = (F.col("blevel") == 0) & F.lit(single_root)
 
     # bottom-up (deepest birth level first): value = own stability if kept, else the children's sum
@@ -287,7 +288,7 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
         step = cur.select("blevel", "bcomp", keep.alias("keep_self"),
                           F.when(keep, F.col("stability")).otherwise(F.coalesce("_cv", F.lit(0.0))).alias("value"))
         vals = step if vals is None else vals.unionByName(step)
-        vals = vals.checkpoint()
+        vals = reliable_checkpoint(vals)
 
     # top-down: a cluster is selected when it keeps itself and no ancestor is selected
     state = None
@@ -302,7 +303,7 @@ def density_hierarchy(df: DataFrame, eps_ladder: Sequence[float], m: int = 5, mi
         blocked = F.coalesce(F.col("_pblock"), F.lit(False))
         step = cur.select("blevel", "bcomp", blocked.alias("blocked"), (F.col("keep_self") & ~blocked).alias("selected"))
         state = step if state is None else state.unionByName(step)
-        state = state.checkpoint()
+        state = reliable_checkpoint(state)
     sel = state.where(F.col("selected")).select("blevel", "bcomp")
     labelled = memb.join(all_cid, ["level", "comp"]).join(sel, ["blevel", "bcomp"]).select(
         F.col("id").alias(id_col), F.col("bcomp").alias("cluster")).distinct()

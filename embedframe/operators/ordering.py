@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T  # noqa: F401
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, reliable_checkpoint
 
 
 def running_sum_before(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
@@ -43,7 +43,7 @@ def running_sum_before(df: DataFrame, order_cols: Sequence[str | Column], group_
     # checkpoint folder): both uses below read the same cut of the key space, however the
     # optimiser prunes them, and a lost executor re-reads instead of re-sampling the bounds.
     checkpoint_dir(df.sparkSession)
-    ranged = base.repartitionByRange(n_parts, *key_exprs).withColumn("_pid", F.spark_partition_id()).checkpoint()
+    ranged = reliable_checkpoint(base.repartitionByRange(n_parts, *key_exprs).withColumn("_pid", F.spark_partition_id()))
     # running sum inside each range partition: a window keyed by the partition id (JVM, codegen)
     w_local = (Window.partitionBy("_pid", *group_cols).orderBy(*key_exprs[len(group_cols):])
                .rowsBetween(Window.unboundedPreceding, -1))

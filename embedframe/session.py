@@ -62,3 +62,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder (never ``localCheckpoint``)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
