@@ -221,21 +221,47 @@ def ladder_recall(nn: DataFrame, truth_dim: int, dim_col: str = "dim") -> DataFr
     return per.select(dim_col, "query_id", (F.col("_hits") / n_truth).alias("accuracy"))
 
 
-def describe_groups(df: DataFrame, by: Sequence[str], value_col: str, digits: int = 6) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], value_col: str, qs: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles per group without holding a group in one task:
+    rows are numbered inside each group by value (distributed running sums), the two rows
+    around position (n − 1)·q are picked and interpolated.  Output: ``*by, q, value``."""
+    from .ordering import global_row_number
+
+    by = list(by)
+    v = df.select(*by, F.col(value_col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    numbered = global_row_number(v, ["_v"], by, out_col="_pos")
+    n = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    targets = n.select(*by, F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q"), "_n") \
+               .withColumn("_h", (F.col("_n") - 1) * F.col("q")) \
+               .withColumn("_lo", F.floor("_h").cast("long") + 1).withColumn("_hi", F.ceil("_h").cast("long") + 1)
+    lo = targets.join(numbered.withColumnRenamed("_pos", "_lo").withColumnRenamed("_v", "_vlo"), [*by, "_lo"])
+    both = lo.join(numbered.withColumnRenamed("_pos", "_hi").withColumnRenamed("_v", "_vhi"), [*by, "_hi"])
+    frac = F.col("_h") - F.floor("_h")
+    return both.select(*by, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("value"))
+
+
+def describe_groups(df: DataFrame, by: Sequence[str], value_col: str, digits: int = 6,
+                    bounded_values: bool = False) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per group.
 
-    ``percentile`` is exact; it keeps a value → count map per group, which stays small for
-    discrete metrics such as recall@k (at most k + 1 values).  For continuous values on very
-    large groups use ``describe_groups_approx``.
-    """
+    ``bounded_values=True`` (the column has few distinct values, e.g. recall@k with at most
+    k + 1) uses the ``percentile`` aggregate, whose state is a value → count map.  Otherwise
+    the quartiles come from ``exact_quantiles``, which never gathers a group in one task."""
+    by = list(by)
     v = F.col(value_col).cast("double")
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    return (df.groupBy(*by).agg(
-        F.count(v).alias("count"), F.mean(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"))
-        .select(*by, "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min")],
-                *[F.round(F.col("_q")[i], digits).alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
-                F.round("max", digits).alias("max")))
+    stats = df.groupBy(*by).agg(F.count(v).alias("count"), F.mean(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                                F.min(v).alias("min"), F.max(v).alias("max"),
+                                *([F.percentile(v, [0.25, 0.5, 0.75]).alias("_q")] if bounded_values else []))
+    if bounded_values:
+        quart = [F.col("_q")[i] for i in range(3)]
+    else:
+        qt = exact_quantiles(df, by, value_col, [0.25, 0.5, 0.75]).groupBy(*by).agg(
+            *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
+        stats = stats.join(qt, by, "left")
+        quart = [F.col(f"_q{i}") for i in range(3)]
+    return stats.select(*by, "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min")],
+                        *[F.round(qc, digits).alias(n) for qc, n in zip(quart, ("p25", "p50", "p75"))],
+                        F.round("max", digits).alias("max"))
 
 
 def describe_groups_approx(df: DataFrame, by: Sequence[str], value_col: str, accuracy: int = 10000) -> DataFrame:
@@ -262,4 +288,5 @@ def retrieval_benchmark(embeddings: DataFrame, dims: Sequence[int] = (64, 32, 16
     nn = knn(ladder, ladder, k, metric, id_col=id_col, vec_col=vec_col, by=["dim"], block_rows=block_rows)
     rec = ladder_recall(nn, truth_dim=dims[0])
     rec = rec.select(F.lit(model).alias("model"), F.col("dim").cast("int").alias("dimension"), "query_id", "accuracy")
-    return describe_groups(rec, ["model", "dimension"], "accuracy")
+    # recall@k takes at most k + 1 distinct values: the percentile state stays tiny
+    return describe_groups(rec, ["model", "dimension"], "accuracy", bounded_values=True)

@@ -79,20 +79,25 @@ def eps_links(points: DataFrame, eps: float, id_col: str = "vec_id", vec_col: st
                              block_rows=block_rows)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id", max_rounds: int | None = None) -> DataFrame:
     """(id, component) with component = smallest id in the component.
 
     Each round: every node takes the smallest label among itself and its neighbours (a
     grouped ``min`` with partial aggregation), then jumps to its label's label.  Labels are
     checkpointed to the shared checkpoint folder each round, so lineage stays one round deep
-    and a lost executor recomputes at most one round.
+    and a lost executor recomputes at most one round.  Rounds continue until no label
+    changes (an explicit ``max_rounds`` raises instead of returning partial components).
     """
     checkpoint_dir(nodes.sparkSession)
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b"))
     e = reliable_checkpoint(e)
     labels = reliable_checkpoint(nodes.select(F.col(id_col).cast("long").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
+        rounds += 1
         nb = e.join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b") \
               .groupBy("a").agg(F.min("lb").alias("m"))
         step = labels.join(nb.withColumnRenamed("a", "id"), "id", "left") \

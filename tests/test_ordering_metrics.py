@@ -128,3 +128,19 @@ def test_pooling_strategies(spark):
     layered = df.withColumn("layer", F.col("pos").cast("int"))
     with pytest.raises(ValueError):
         M.last_k_layers(layered, "layer", 4, ["g"])
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from embedframe.operators.knn import describe_groups, exact_quantiles
+
+    rng = np.random.default_rng(9)
+    g = np.where(rng.random(2000) < 0.4, 0, rng.integers(1, 6, 2000))
+    v = np.round(rng.normal(size=2000), 3)
+    pdf = pd.DataFrame({"g": g, "v": v})
+    df = spark.createDataFrame(pdf)
+    got = exact_quantiles(df, ["g"], "v", [0.25, 0.5, 0.75]).toPandas()
+    for _, r in got.iterrows():
+        assert r.value == pytest.approx(np.quantile(pdf.v[pdf.g == r.g], r.q))
+    a = describe_groups(df, ["g"], "v").toPandas().sort_values("g").reset_index(drop=True)
+    b = describe_groups(df, ["g"], "v", bounded_values=True).toPandas().sort_values("g").reset_index(drop=True)
+    assert a.equals(b)
