@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from ..session import reliable_checkpoint
 from .ordering import average_ranks, running_sum_before
 
 
@@ -31,27 +32,49 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits: int |
     return df.groupBy(*by).agg(_r(F.corr(F.col(x).cast("double"), F.col(y).cast("double")), digits).alias("pearson"))
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits: int | None = 6,
-             with_n: bool = False) -> DataFrame:
-    """Pearson correlation of average ranks, per group.  Rows with a NULL on either side are
-    dropped first (as pairwise-complete statistics do).
+def ranked_pairs(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _x, _y, _rx, _ry): both values of every complete row with their average ranks in
+    the group.  Rows with a NULL on either side are dropped (pairwise-complete statistics).
 
-    Both columns are ranked in one pass: the values are stacked with a side tag that becomes
-    part of the rank group, so one range partitioning serves x and y."""
+    The compact (group, row id, x, y) table is written once (reliable checkpoint): the
+    often join-heavy input is evaluated a single time and row ids stay fixed on retries.  Both
+    columns are ranked in one pass — the values are stacked with a side tag that becomes part
+    of the rank group — so one range partitioning serves x and y."""
     by = list(by)
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    base = reliable_checkpoint(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.monotonically_increasing_id().alias("_row"), F.col(x).cast("double").alias("_x"),
-        F.col(y).cast("double").alias("_y"))
+        F.col(y).cast("double").alias("_y")))
     stacked = base.select(*by, "_row", F.explode(F.array(
         F.struct(F.lit(0).alias("_side"), F.col("_x").alias("_v")),
         F.struct(F.lit(1).alias("_side"), F.col("_y").alias("_v")))).alias("_s")).select(*by, "_row", "_s._side", "_s._v")
     ranked = average_ranks(stacked, "_v", [*by, "_side"], "_r")
-    paired = ranked.groupBy(*by, "_row").agg(F.max(F.when(F.col("_side") == 0, F.col("_r"))).alias("_rx"),
-                                             F.max(F.when(F.col("_side") == 1, F.col("_r"))).alias("_ry"))
+    side = lambda k, c: F.max(F.when(F.col("_side") == k, F.col(c)))
+    return ranked.groupBy(*by, "_row").agg(side(0, "_v").alias("_x"), side(1, "_v").alias("_y"),
+                                           side(0, "_r").alias("_rx"), side(1, "_r").alias("_ry")).drop("_row")
+
+
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits: int | None = 6,
+             with_n: bool = False) -> DataFrame:
+    """Pearson correlation of average ranks, per group (see ``ranked_pairs``)."""
     aggs = [_r(F.corr("_rx", "_ry"), digits).alias("spearman")]
     if with_n:
         aggs.append(F.count(F.lit(1)).alias("n"))
-    return paired.groupBy(*by).agg(*aggs)
+    return ranked_pairs(df, x, y, by).groupBy(*by).agg(*aggs)
+
+
+def pair_statistics(df: DataFrame, gold: str, pred: str, by: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
+    """Spearman, Pearson and the error metrics of ``pred`` against ``gold`` in one grouped
+    aggregation over the ranked pairs (the input is evaluated once)."""
+    rp = ranked_pairs(df, gold, pred, by)
+    err = F.col("_y") - F.col("_x")
+    return rp.groupBy(*by).agg(
+        _r(F.avg(F.abs(err)), digits).alias("mae"),
+        _r(F.avg(err * err), digits).alias("mse"),
+        _r(F.sqrt(F.avg(err * err)), digits).alias("rmse"),
+        _r(F.max(F.abs(err)), digits).alias("max_error"),
+        _r(F.avg(F.when(F.col("_x") != 0, F.abs(err / F.col("_x")))) * 100.0, digits).alias("mape"),
+        _r(F.corr("_rx", "_ry"), digits).alias("spearman"),
+        _r(F.corr("_x", "_y"), digits).alias("pearson"))
 
 
 def _betacf(a: float, b: float, x: float) -> float:

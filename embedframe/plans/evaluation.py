@@ -82,9 +82,8 @@ def evaluate_pairs(spark, sf):
     sp = parts[0]
     for x in parts[1:]:
         sp = sp.unionByName(x)
-    s = M.spearman(sp, "label", "score", ["similarity_fn", "dim"])
-    p = M.pearson(sp, "label", "score", ["similarity_fn", "dim"])
-    return s.join(p, ["similarity_fn", "dim"]).select("similarity_fn", "dim", "spearman", "pearson")
+    return M.pair_statistics(sp, "label", "score", ["similarity_fn", "dim"]).select(
+        "similarity_fn", "dim", "spearman", "pearson")
 
 
 def value_counts(spark, sf):

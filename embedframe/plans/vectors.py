@@ -186,11 +186,7 @@ def _precision_scores(spark, sf):
 
 
 def precision_sweep(spark, sf):
-    s = _precision_scores(spark, sf)
-    err = M.error_metrics(s, "gold", "pred", ["precision", "dim"])
-    sp = M.spearman(s, "gold", "pred", ["precision", "dim"])
-    pe = M.pearson(s, "gold", "pred", ["precision", "dim"])
-    return err.join(sp, ["precision", "dim"]).join(pe, ["precision", "dim"])
+    return M.pair_statistics(_precision_scores(spark, sf), "gold", "pred", ["precision", "dim"])
 
 
 def metric_delta(spark, sf):
