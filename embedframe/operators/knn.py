@@ -166,13 +166,50 @@ def blocked_cogroup(queries: DataFrame, corpus: DataFrame, fn, schema: T.StructT
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(fn, schema)
 
 
+BROADCAST_QUERY_BYTES = 32 * 1024 * 1024
+
+
+def _broadcast_topk(qpdf: pd.DataFrame, by: Sequence[str], k: int, metric: str, exclude_self: bool,
+                    bits_width: int | None, chunk_cells: int = 4_000_000):
+    """mapInPandas body: the (size-checked) query matrix travels with the task; every chunk of
+    corpus rows emits its local top-k per query (the window after it keeps k per query)."""
+    by = list(by)
+    groups = {}
+    for key, part in (qpdf.groupby(by, sort=False) if by else [((), qpdf)]):
+        key = key if isinstance(key, tuple) else (key,)
+        groups[key] = part.reset_index(drop=True)
+    local = _local_topk(by, k, metric, exclude_self, bits_width)
+
+    def run(batches):
+        for pdf in batches:
+            parts = pdf.groupby(by, sort=False) if by else [((), pdf)]
+            for key, cpart in parts:
+                key = key if isinstance(key, tuple) else (key,)
+                qpart = groups.get(key)
+                if qpart is None or len(cpart) == 0:
+                    continue
+                step = max(64, chunk_cells // max(1, len(qpart)))
+                for i in range(0, len(cpart), step):
+                    out = local(None, qpart, cpart.iloc[i:i + step].reset_index(drop=True))
+                    if len(out):
+                        yield out
+
+    return run
+
+
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *, id_col: str = "vec_id",
         vec_col: str = "embedding", by: Sequence[str] = (), exclude_self: bool = True,
-        block_rows: int = 1024, bits_width: int | None = None) -> DataFrame:
+        block_rows: int = 1024, bits_width: int | None = None, strategy: str = "auto",
+        broadcast_bytes: int = BROADCAST_QUERY_BYTES) -> DataFrame:
     """Top-k corpus rows per query row (``knn_exact`` / ``knn_metric``).
 
     ``by`` columns must match between a query and a corpus row (for example the truncation
     ``dim`` of a ladder).  Result: ``*by, query_id, neighbor_id, similarity, rank``.
+
+    ``strategy``: ``"blocked"`` (both sides hashed into blocks, see ``blocked_cogroup``),
+    ``"broadcast"`` (the query matrix is shipped to every corpus task — the corpus is read once
+    and never shuffled; refused when the queries exceed ``broadcast_bytes``) or ``"auto"``
+    (broadcast when the measured query size fits, blocked otherwise).
     """
     metric = (metric or "cosine").lower()
     if metric not in METRICS:
@@ -186,6 +223,21 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
         + [T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
            T.StructField("similarity", T.DoubleType())]
     )
+    if strategy not in ("blocked", "broadcast", "auto"):
+        raise ValueError("strategy must be 'blocked', 'broadcast' or 'auto'")
+    if strategy != "blocked":
+        # measured size bound of the query side: rows × vector width × 8 bytes
+        q = queries.select(*by, F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
+        rows, width = q.agg(F.count(F.lit(1)), F.max(F.size("_qv"))).first()
+        size = (rows or 0) * (bits_width or width or 0) * 8
+        if size <= broadcast_bytes:
+            qpdf = q.toPandas()  # bounded by the check above
+            c = corpus.select(*by, F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
+            local = c.mapInPandas(_broadcast_topk(qpdf, by, k, metric, exclude_self, bits_width), schema)
+            w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
+            return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if strategy == "broadcast":
+            raise ValueError(f"query side is {size} bytes, above the broadcast limit of {broadcast_bytes}")
     local = blocked_cogroup(queries, corpus, _local_topk(by, k, metric, exclude_self, bits_width), schema, id_col=id_col,
                             vec_col=vec_col, by=by, block_rows=block_rows)
     w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))

@@ -147,3 +147,16 @@ def test_density_hierarchy_splits_blobs(spark):
     for blob in range(3):
         members = labels[blob * 40:(blob + 1) * 40]
         assert (members == members[members >= 0][0]).mean() > 0.8
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "tanimoto"])
+def test_broadcast_strategy_equals_blocked(spark, metric):
+    df, m = _vectors(spark, n=250, d=8, seed=5)
+    queries = df.where("vec_id % 7 = 0")
+    a = K.knn(queries, df, 5, metric, strategy="broadcast").toPandas()
+    b = K.knn(queries, df, 5, metric, block_rows=40).toPandas()
+    key = ["query_id", "rank"]
+    assert a.sort_values(key).reset_index(drop=True)[["query_id", "neighbor_id", "similarity", "rank"]].equals(
+        b.sort_values(key).reset_index(drop=True)[["query_id", "neighbor_id", "similarity", "rank"]])
+    with pytest.raises(ValueError):
+        K.knn(queries, df, 5, metric, strategy="broadcast", broadcast_bytes=10)
