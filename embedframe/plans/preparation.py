@@ -269,7 +269,7 @@ ORACLE = {
     "pending_inputs": """WITH c AS (SELECT DISTINCT source FROM documents WHERE contains(source, 'src1') OR contains(source, 'src2')),
         d AS (SELECT DISTINCT d.source AS done FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1)
         SELECT source FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE instr(c.source, d.done) > 0)""",
-    "materialize_if_absent": "SELECT source, count(*) AS docs, sum(n_chars) AS chars FROM documents GROUP BY source",
+    "materialize_if_absent": "SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source",
     "vector_table_write": f"""SELECT 'prefix' AS model, CAST(d AS INTEGER) AS dim, vec_id, CAST(d AS INTEGER) AS n,
         round(CASE WHEN d < len(embedding) AND {_NORM} > 0 THEN 1.0 ELSE {_NORM} END, 6) AS norm
         FROM embeddings CROSS JOIN (VALUES (64), (32), (16), (8)) t(d)""",
