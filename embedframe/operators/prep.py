@@ -44,7 +44,9 @@ def seeded_key(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-TOP_N_LOCAL_LIMIT = 1_000_000
+# Up to this n a top-n is cheapest (each partition keeps n rows; one task merges n per
+# partition); above it the rows are numbered with the distributed ordering instead.
+TOP_N_LOCAL_LIMIT = 10_000
 
 
 def sample_exact(df: DataFrame, n: int, seed: int | str, id_col: str, on_short: str = "error") -> DataFrame:
@@ -52,7 +54,8 @@ def sample_exact(df: DataFrame, n: int, seed: int | str, id_col: str, on_short:
     raises when the table has fewer than n rows, ``'clip'`` returns them all.
 
     Small n runs as a top-n (each partition keeps n rows, one task merges ≤ n·partitions).
-    Large n numbers the rows with the distributed ordering instead, so no task holds n rows.
+    Large n numbers the rows with the distributed ordering instead, so no task merges
+    n rows from every partition.
     """
     if on_short not in ("error", "clip"):
         raise ValueError("on_short must be 'error' or 'clip'")
@@ -126,21 +129,23 @@ def label_head(df: DataFrame, label_col: str, label, n: int, order_col: str, pro
 
 # --- splits -----------------------------------------------------------------------------------
 
-def split_union(parts: Mapping[str, Mapping[str, DataFrame]], dataset_col: str = "dataset",
-                split_col: str = "split") -> DataFrame:
-    """Tag each (dataset, split) table and union them by name.  Dataset keys are checked over
-    all splits; a repeated key raises."""
-    seen: dict[str, str] = {}
-    out = None
-    for split, datasets in parts.items():
-        for name, df in datasets.items():
-            if (name, split) in seen:
-                raise ValueError(f"dataset {name!r} appears twice in split {split!r}")
-            seen[(name, split)] = split
-            tagged = df.withColumn(dataset_col, F.lit(name)).withColumn(split_col, F.lit(split))
-            out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    if out is None:
+def split_union(parts, dataset_col: str = "dataset", split_col: str = "split") -> DataFrame:
+    """Tag each (dataset, split) table and union them by name.
+
+    ``parts`` is ``{split: {dataset: df}}`` or a list of ``(split, dataset, df)`` entries; a
+    dataset key repeated within a split raises (checked for every split, not only train)."""
+    if isinstance(parts, Mapping):
+        entries = [(split, name, df) for split, datasets in parts.items() for name, df in datasets.items()]
+    else:
+        entries = list(parts)
+    for split in {e[0] for e in entries}:
+        check_unique_keys([name for s, name, _ in entries if s == split])
+    if not entries:
         raise ValueError("no datasets given")
+    out = None
+    for split, name, df in entries:
+        tagged = df.withColumn(dataset_col, F.lit(name)).withColumn(split_col, F.lit(split))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     return out
 
 

@@ -101,3 +101,35 @@ def test_library_update_rules(spark):
     assert out == [("f", 8.0), ("a", 5.0), ("e", 4.0)]
     empty = spark.createDataFrame([], "key string, score double")
     assert P.library_update(empty, cands, "key", "score", 10).count() == 4  # threshold 0.0, NULL dropped
+
+
+def test_sample_exact_large_n_path_matches_top_n(spark, monkeypatch):
+    df = _ids(spark, 300)
+    small = [r.id for r in P.sample_exact(df, 120, 3, "id").collect()]
+    monkeypatch.setattr(P, "TOP_N_LOCAL_LIMIT", 10)
+    big = sorted(r.id for r in P.sample_exact(df, 120, 3, "id").collect())
+    assert sorted(small) == big
+
+
+def test_int8_quantisation_matches_formula(spark):
+    import numpy as np
+
+    from embedframe.operators.quantize import quantize_int8
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(40, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, v array<double>")
+    lo, step = m.min(0), (m.max(0) - m.min(0)) / 255
+    got = {r.id: list(r.v) for r in quantize_int8(df, "v", signed=True).collect()}
+    want = np.trunc((m - lo) / step - 128).astype(int)
+    assert all(got[i] == want[i].tolist() for i in range(40))
+    got_u = {r.id: list(r.v) for r in quantize_int8(df, "v", signed=False).collect()}
+    assert all(got_u[i] == np.trunc((m[i] - lo) / step).astype(int).tolist() for i in range(40))
+
+
+def test_split_union_rejects_repeated_dataset(spark):
+    a, b = _ids(spark, 3), _ids(spark, 2)
+    out = P.split_union([("train", "x", a), ("train", "y", b), ("val", "x", b)])
+    assert out.count() == 7 and set(out.columns) == {"id", "dataset", "split"}
+    with pytest.raises(ValueError, match="duplicate"):
+        P.split_union([("train", "x", a), ("val", "y", b), ("train", "x", b)])
