@@ -24,7 +24,7 @@ DEFAULT_CONF = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "6g") -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cores}]").appName("embedframe")
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
