@@ -257,20 +257,26 @@ def recall_at_k(truth: DataFrame, pred: DataFrame, by: Sequence[str] = (), query
             .select(*by, query_col, (F.col("_hits") / F.col("_n_truth")).alias("accuracy")))
 
 
-def ladder_recall(nn: DataFrame, truth_dim: int, dim_col: str = "dim") -> DataFrame:
-    """Recall of each ladder step against the ``truth_dim`` step of the same neighbour table.
+def ladder_recall(nn: DataFrame, truth_dim: int, dim_col: str = "dim", model_col: str | None = None,
+                  truth_model: str | None = None) -> DataFrame:
+    """Recall of each (model,) ladder step against the truth step of the same neighbour table.
 
     One pass: group the neighbour rows by (query, neighbour), note whether the truth step
     holds the pair and which steps list it, then count hits per (step, query).  No join of
     the table with itself, so the k-NN stage runs once for truth and predictions alike.
     """
+    keys = ([model_col] if model_col else []) + [dim_col]
+    is_truth = F.col(dim_col) == truth_dim
+    if model_col:
+        is_truth = is_truth & (F.col(model_col) == truth_model)
     pairs = nn.groupBy("query_id", "neighbor_id").agg(
-        F.max(F.when(F.col(dim_col) == truth_dim, 1).otherwise(0)).alias("_in_truth"),
-        F.collect_list(dim_col).alias("_dims"))
-    per = (pairs.select("query_id", "_in_truth", F.explode("_dims").alias(dim_col))
-           .groupBy(dim_col, "query_id").agg(F.sum("_in_truth").alias("_hits")))
-    n_truth = F.sum(F.when(F.col(dim_col) == truth_dim, F.col("_hits"))).over(Window.partitionBy("query_id"))
-    return per.select(dim_col, "query_id", (F.col("_hits") / n_truth).alias("accuracy"))
+        F.max(F.when(is_truth, 1).otherwise(0)).alias("_in_truth"),
+        F.collect_list(F.struct(*keys)).alias("_steps"))  # one entry per ladder step: bounded
+    per = (pairs.select("query_id", "_in_truth", F.explode("_steps").alias("_s"))
+           .select("query_id", "_in_truth", *[F.col(f"_s.{c}").alias(c) for c in keys])
+           .groupBy(*keys, "query_id").agg(F.sum("_in_truth").alias("_hits")))
+    n_truth = F.sum(F.when(is_truth, F.col("_hits"))).over(Window.partitionBy("query_id"))
+    return per.select(*keys, "query_id", (F.col("_hits") / n_truth).alias("accuracy"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value_col: str, qs: Sequence[float]) -> DataFrame:
@@ -327,18 +333,42 @@ def describe_groups_approx(df: DataFrame, by: Sequence[str], value_col: str, acc
                 F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max"))
 
 
+PRECISIONS = ("float32", "float16", "binary")
+
+
+def precision_vectors(df: DataFrame, vec_col: str, precision: str) -> DataFrame:
+    """The vector column at a reduced precision, as doubles: float16 rounding or sign bits."""
+    if precision == "float32":
+        return df.withColumn(vec_col, V.as_double(vec_col))
+    if precision == "float16":
+        return df.withColumn(vec_col, V.half_round(vec_col))
+    if precision == "binary":
+        bits = F.slice(V.unpack_bits(V.quantize_binary(vec_col)), F.lit(1), F.size(vec_col))
+        return df.withColumn(vec_col, F.transform(bits, lambda b: b.cast("double")))
+    raise ValueError(f"unknown precision {precision!r}; expected one of {PRECISIONS}")
+
+
 def retrieval_benchmark(embeddings: DataFrame, dims: Sequence[int] = (64, 32, 16, 8), k: int = 10,
-                        metric: str = "cosine", model: str = "prefix", id_col: str = "vec_id",
+                        metric: str = "cosine", precisions: Sequence[str] = ("float32",), id_col: str = "vec_id",
                         vec_col: str = "embedding", block_rows: int = 1024) -> DataFrame:
-    """Flagship job: truth = top-k at full width; for each prefix width the top-k, its recall
-    against the truth, and the recall statistics per (model, dimension).
+    """Flagship job: truth = top-k at full width in float; for each (precision, prefix width)
+    the top-k, its recall against the truth, and the recall statistics per (model, dimension)
+    with model = ``prefix-<precision>``.
 
-    Every row is a query against the whole table (its own row excluded).
+    Every row is a query against the whole table (its own row excluded); all models and
+    widths go through one k-NN stage grouped by (model, dim).
     """
     dims = sorted({int(d) for d in dims}, reverse=True)
-    ladder = truncate_ladder(embeddings.select(id_col, vec_col), dims, vec_col)
-    nn = knn(ladder, ladder, k, metric, id_col=id_col, vec_col=vec_col, by=["dim"], block_rows=block_rows)
-    rec = ladder_recall(nn, truth_dim=dims[0])
-    rec = rec.select(F.lit(model).alias("model"), F.col("dim").cast("int").alias("dimension"), "query_id", "accuracy")
+    base = embeddings.select(id_col, vec_col)
+    variants = None
+    for p in dict.fromkeys(["float32", *precisions]):
+        v = precision_vectors(base, vec_col, p).withColumn("model", F.lit(f"prefix-{p}"))
+        variants = v if variants is None else variants.unionByName(v)
+    ladder = truncate_ladder(variants, dims, vec_col)
+    nn = knn(ladder, ladder, k, metric, id_col=id_col, vec_col=vec_col, by=["model", "dim"], block_rows=block_rows)
+    rec = ladder_recall(nn, dims[0], "dim", "model", "prefix-float32")
+    if "float32" not in precisions:
+        rec = rec.where(F.col("model") != "prefix-float32")
+    rec = rec.select("model", F.col("dim").cast("int").alias("dimension"), "query_id", "accuracy")
     # recall@k takes at most k + 1 distinct values: the percentile state stays tiny
     return describe_groups(rec, ["model", "dimension"], "accuracy", bounded_values=True)

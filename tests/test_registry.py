@@ -36,7 +36,7 @@ def duck():
 
 def test_entry(spark):
     df = E.entry(spark)
-    assert df.columns[:2] == ["model", "dimension"] and df.count() == 4
+    assert df.columns[:2] == ["model", "dimension"] and df.count() == 12
 
 
 def test_every_query_against_oracle(spark, duck):
