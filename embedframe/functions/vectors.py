@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from .. import constants as C
 
 ColumnLike = Column | str
 
@@ -106,7 +107,7 @@ def manhattan(a: ColumnLike, b: ColumnLike) -> Column:
     return -d1
 
 
-TANIMOTO_EPS = 1e-9
+TANIMOTO_EPS = C.TANIMOTO_EPS
 
 
 def tanimoto(a: ColumnLike, b: ColumnLike) -> Column:
@@ -139,7 +140,7 @@ def angle(a: ColumnLike, b: ColumnLike) -> Column:
 
 SimilarityFn = Callable[[ColumnLike, ColumnLike], Column]
 
-# The accepted similarity names and their alias.
+# names from constants.SIMILARITY_NAMES
 _SIMILARITIES: dict[str, SimilarityFn] = {
     "tanimoto": tanimoto,
     "cosine": cosine,
@@ -148,7 +149,7 @@ _SIMILARITIES: dict[str, SimilarityFn] = {
     "euclidean": euclidean,
     "manhattan": manhattan,
 }
-DEFAULT_SIMILARITY = "cosine"
+DEFAULT_SIMILARITY = C.DEFAULT_SIMILARITY
 
 
 def possible_values() -> list[str]:
@@ -191,7 +192,7 @@ def half_round_scalar(x: Column) -> Column:
         F.when(x.isNull(), F.lit(None).cast("double"))
         .when(x == 0, x)
         .when(F.isnan(x), x)
-        .when(F.abs(r) > 65504.0, inf)
+        .when(F.abs(r) > C.HALF_MAX, inf)
         .otherwise(r)
     )
 
@@ -241,7 +242,8 @@ def clip01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 
 
-def composite_score(score: ColumnLike, sim: ColumnLike, score_cutoff: float = 0.9, sim_cutoff: float = 0.7) -> Column:
+def composite_score(score: ColumnLike, sim: ColumnLike, score_cutoff: float = C.SCORE_CUTOFF,
+                    sim_cutoff: float = C.SIMILARITY_CUTOFF) -> Column:
     """clip(score/score_cutoff, 0, 1) + clip(sim/sim_cutoff, 0, 1), in [0, 2]."""
     return clip01(_dbl(_c(score)) / F.lit(score_cutoff)) + clip01(_dbl(_c(sim)) / F.lit(sim_cutoff))
 

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from .ordering import global_row_number
+from .. import constants as C
 
 
 def score_candidates(refs: DataFrame, cands: DataFrame, ref_key: str, cand_key: str, base_score: Column,
-                     similarity: Column, score_cutoff: float = 0.9, sim_cutoff: float = 0.7,
+                     similarity: Column, score_cutoff: float = C.SCORE_CUTOFF, sim_cutoff: float = C.SIMILARITY_CUTOFF,
                      composite: bool = True) -> DataFrame:
     """Join each reference with its candidates (equi join), add ``base_score``, ``similarity``
     and ``score`` (composite, or the base score when switched off); drop rows with a NULL."""
@@ -132,8 +133,10 @@ def mask_segment(df: DataFrame, id_col: str, text_col: str, seed: int = 0, min_t
         n = F.lit(min_tokens) + F.pmod(hash_int(F.lit(seed), F.col(id_col), rnd, F.lit("len")), F.lit(max_tokens - min_tokens))
     out = df.withColumn("_segs", segs).withColumn("seg_pos", pos.cast("int")).withColumn("n_tokens", n.cast("int"))
     length = F.length(F.get(F.col("_segs"), F.col("seg_pos")))
-    out = out.withColumn("mask", F.concat(F.lit("[*{"), length.cast("string"), F.lit("-"),
-                                          (length + F.col("n_tokens")).cast("string"), F.lit("}]")))
+    head, rest = C.MASK_TEMPLATE.format(start="\0", end="\1").split("\0")
+    mid, tail = rest.split("\1")
+    out = out.withColumn("mask", F.concat(F.lit(head), length.cast("string"), F.lit(mid),
+                                          (length + F.col("n_tokens")).cast("string"), F.lit(tail)))
     # slices around the chosen segment: no lambda, so nothing per-row is re-evaluated per element
     masked = F.array_join(F.concat(F.slice("_segs", F.lit(1), F.col("seg_pos")), F.array(F.col("mask")),
                                    F.slice("_segs", F.col("seg_pos") + 2, F.greatest(F.size("_segs"), F.lit(1)))), sep)

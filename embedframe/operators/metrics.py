@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions import vectors as V
 from ..session import reliable_checkpoint
 from .ordering import average_ranks, running_sum_before
+from .. import constants as C
 
 
 def _r(c: Column, digits: int | None) -> Column:
@@ -242,7 +243,7 @@ def theta_pair_counts(df: DataFrame, batch_col: str, label_col: str) -> DataFram
     return below.groupBy(batch_col).agg(F.sum(F.col("_c") * F.col("_below")).cast("long").alias("n_pairs"))
 
 
-def cosent_loss(df: DataFrame, batch_col: str, label_col: str, score_col: str, scale: float = 20.0,
+def cosent_loss(df: DataFrame, batch_col: str, label_col: str, score_col: str, scale: float = C.COSENT_SCALE,
                 digits: int | None = 6) -> DataFrame:
     """CoSENT per batch: ln(1 + Σ_{label_i > label_j} exp(scale·(s_j − s_i))).
 
@@ -300,8 +301,9 @@ def softmax_loss(df: DataFrame, logits: str, label: str, by: Sequence[str] = (),
     return df.groupBy(*by).agg(_r(F.avg(ce), digits).alias("loss"))
 
 
-def self_adjusting_dice_loss(df: DataFrame, logits: str, label: str, by: Sequence[str] = (), alpha: float = 1.0,
-                             gamma: float = 1.0, reduction: str = "mean", digits: int | None = 6) -> DataFrame:
+def self_adjusting_dice_loss(df: DataFrame, logits: str, label: str, by: Sequence[str] = (), alpha: float = C.DICE_ALPHA,
+                             gamma: float = C.DICE_GAMMA, reduction: str = C.DICE_REDUCTION,
+                             digits: int | None = 6) -> DataFrame:
     """p = softmax(logits)[label]; f = (1 − p)^α·p; loss = 1 − (2f + γ)/(f + 1 + γ); mean or sum."""
     if reduction not in ("mean", "sum"):
         raise NotImplementedError(f"reduction {reduction!r} is not supported")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import global_row_number
+from .. import constants as C
 
 # --- canonical schemas ------------------------------------------------------------------------
 
@@ -171,7 +172,7 @@ def split_sizes(tagged: DataFrame, dataset_col: str = "dataset", split_col: str
     return per.join(tot, split_col).select(
         dataset_col, split_col, "rows", "split_rows",
         F.round(F.lit(lr_base) * F.sqrt(F.lit(b)), 12).alias("scaled_lr"),
-        F.round(F.lit(0.05) * F.sqrt(F.lit(b) / (F.col("split_rows") * b * epochs)), 12).alias("weight_decay"))
+        F.round(F.lit(C.WEIGHT_DECAY_FACTOR) * F.sqrt(F.lit(b) / (F.col("split_rows") * b * epochs)), 12).alias("weight_decay"))
 
 
 def pending_inputs(inputs: DataFrame, name_col: str, wanted: Sequence[str], completed: DataFrame,

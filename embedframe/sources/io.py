@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-# File extension → reader format; anything else is read as Parquet.
-EXTENSION_FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json"}
+from .. import constants as C
+
+EXTENSION_FORMATS = C.EXTENSION_FORMATS
 
 
 def format_for(path: str) -> str:
