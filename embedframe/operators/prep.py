@@ -175,18 +175,26 @@ def split_sizes(tagged: DataFrame, dataset_col: str = "dataset", split_col: str
         F.round(F.lit(C.WEIGHT_DECAY_FACTOR) * F.sqrt(F.lit(b) / (F.col("split_rows") * b * epochs)), 12).alias("weight_decay"))
 
 
+MAX_COMPLETED_NAMES = 100_000
+
+
 def pending_inputs(inputs: DataFrame, name_col: str, wanted: Sequence[str], completed: DataFrame,
-                   completed_col: str) -> DataFrame:
+                   completed_col: str, max_completed: int = MAX_COMPLETED_NAMES) -> DataFrame:
     """Names that contain any wanted substring and contain none of the completed names, sorted
-    descending.  The "completed" test is a substring test, so it is a non-equi anti join; the
-    completed side is the list of finished input names (one row per input file)."""
+    descending.  The "completed" test is a substring test, so it is a non-equi anti join that
+    compares each candidate with every completed name: the completed side is one row per
+    finished input file, its size is counted and it is broadcast only within ``max_completed``."""
     cond = None
     for w in wanted:
         term = F.col(name_col).contains(w)
         cond = term if cond is None else cond | term
     cand = inputs.select(name_col).distinct().where(cond)
     done = completed.select(F.col(completed_col).alias("_done")).distinct()
-    return cand.join(done, F.instr(F.col(name_col), F.col("_done")) > 0, "left_anti").orderBy(F.col(name_col).desc())
+    n_done = done.count()
+    if n_done > max_completed:
+        raise ValueError(f"{n_done} completed names exceed the broadcast limit of {max_completed}")
+    return (cand.join(F.broadcast(done), F.instr(F.col(name_col), F.col("_done")) > 0, "left_anti")
+            .orderBy(F.col(name_col).desc()))
 
 
 # --- set operations -------------------------------------------------------------------------
