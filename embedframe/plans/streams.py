@@ -126,6 +126,16 @@ ORACLE = {
         SELECT doc_id, CAST(i AS INTEGER) AS cand_idx,
           md5(array_to_string(list_concat(list_slice(segs, 1, i), list_slice(segs, i + 2, len(segs))), '.')) AS candidate_md5
         FROM i""",
+    "library_update_stream": """WITH docs AS (SELECT text AS key, CAST(n_chars AS DOUBLE) AS score, lang,
+            CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 AS part FROM documents),
+        lib0 AS (SELECT key, score FROM docs WHERE lang = 'en' ORDER BY score DESC, key LIMIT 50),""" + ",".join(
+        f"""
+        lib{i + 1} AS (SELECT key, score FROM (
+            SELECT key, score FROM lib{i}
+            UNION ALL SELECT key, score FROM docs WHERE lang <> 'en' AND part = {i} AND score IS NOT NULL
+              AND score > (SELECT coalesce(min(score), 0.0) FROM lib{i}) AND key NOT IN (SELECT key FROM lib{i}))
+          ORDER BY score DESC, key LIMIT 50)""" for i in range(3)) + """
+        SELECT md5(key) AS key_md5, score FROM lib3""",
     "custom_similarity": "WITH " + D.GOLD_PAIRS_SQL + f"SELECT id_a, id_b, round(({D._sql_cos('vec_a', 'vec_b')}) * "
                          f"({D._sql_cos('vec_a', 'vec_b')}), 6) AS similarity FROM gp",
 }
