@@ -19,7 +19,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T  # noqa: F401
 
 from ..session import checkpoint_dir, reliable_checkpoint
 

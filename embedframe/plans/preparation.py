@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import knn as K
 from ..operators import prep as P
 from ..operators.ordering import global_row_number
 from ..session import scratch_path

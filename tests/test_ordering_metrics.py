@@ -6,7 +6,6 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from embedframe.operators import metrics as M
