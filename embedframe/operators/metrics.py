@@ -145,7 +145,10 @@ def corr_p_values(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits:
     sp = spearman(df, x, y, by, digits=None, with_n=True)
     pe = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(
         F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"))
-    j = sp.join(pe, by) if by else sp.crossJoin(pe)  # one aggregated row each side when ungrouped
+    if by:
+        j = sp.join(pe, by)
+    else:  # one aggregated row each side: attach Pearson as a scalar
+        j = sp.withColumn("pearson", pe.select("pearson").scalar())
     return j.select(*by, "n",
                     _r(F.col("spearman"), digits).alias("spearman"),
                     _r(t_statistic(F.col("spearman"), F.col("n")), digits).alias("spearman_t"),
@@ -182,7 +185,10 @@ def join_baseline(df: DataFrame, config_col: str, baseline, keys: Sequence[str]
     side holds one row per key combination, i.e. as many rows as one configuration."""
     base = df.where(F.col(config_col) == F.lit(baseline)).select(
         *keys, *[F.col(c).alias(f"base_{c}") for c in value_cols])
-    return df.join(base, list(keys), "left") if keys else df.crossJoin(F.broadcast(base.limit(1)))
+    if keys:
+        return df.join(base, list(keys), "left")
+    # no keys: the baseline is one row; its values are attached as scalar subqueries
+    return df.select("*", *[base.select(F.first(f"base_{c}")).scalar().alias(f"base_{c}") for c in value_cols])
 
 
 CORRELATION_METRICS = ("spearman", "pearson")
@@ -209,10 +215,11 @@ def perf_summary(df: DataFrame, config_col: str, seconds_col: str, memory_col: s
     if memory_col:
         aggs.append(F.avg(F.col(memory_col).cast("double")).alias("memory"))
     per = df.groupBy(config_col).agg(*aggs)
-    base_cols = [F.col("mean_s").alias("_bm")] + ([F.col("memory").alias("_bmem")] if memory_col else [])
-    base = per.where(F.col(config_col) == F.lit(baseline)).select(*base_cols)
-    # One row per configuration on each side; the baseline side is a single row.
-    j = per.crossJoin(F.broadcast(base))
+    # the baseline configuration's figures are single values: scalar subqueries
+    base = per.where(F.col(config_col) == F.lit(baseline))
+    j = per.withColumn("_bm", base.select(F.first("mean_s")).scalar())
+    if memory_col:
+        j = j.withColumn("_bmem", base.select(F.first("memory")).scalar())
     out = [config_col, "runs", _r(F.col("mean_s"), digits).alias("mean_s"), _r(F.col("std_s"), digits).alias("std_s"),
            _r(F.lit(float(samples)) / F.col("mean_s"), digits).alias("throughput"),
            _r(F.col("_bm") / F.col("mean_s"), digits).alias("speedup")]
