@@ -51,6 +51,19 @@ def scored_pairs(spark: SparkSession, sf: str, metric: str = "cosine", dims=LADD
                     "dim", "label", F.round(score, 6).alias("score"))
 
 
+def scored_pairs_multi(spark: SparkSession, sf: str, metrics, dims=LADDER) -> DataFrame:
+    """``scored_pairs`` for several similarity functions from one pair join: the scores are
+    computed side by side in one projection and unpivoted into ``similarity_fn, score``."""
+    p = gold_pairs(spark, sf)
+    p = p.withColumn("label", F.round(V.cosine("vec_a", "vec_b"), 6))
+    p = p.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in dims])))
+    a, b = V.truncate("vec_a", F.col("dim")), V.truncate("vec_b", F.col("dim"))
+    scores = F.array(*[F.struct(F.lit(m).alias("similarity_fn"), F.round(V.by_name(m)(a, b), 6).alias("score"))
+                       for m in metrics])
+    return p.select((F.col("id_a") % N_BATCHES).cast("int").alias("batch_id"), "id_a", "id_b", "label_a", "label_b",
+                    "dim", "label", F.explode(scores).alias("_s")).select("*", "_s.similarity_fn", "_s.score").drop("_s")
+
+
 def _sql_cos(a: str, b: str) -> str:
     return (f"CASE WHEN list_dot_product({a},{a}) > 0 AND list_dot_product({b},{b}) > 0 THEN "
             f"list_dot_product({a},{b}) / (sqrt(list_dot_product({a},{a})) * sqrt(list_dot_product({b},{b}))) ELSE 0 END")

@@ -30,14 +30,13 @@ def join_paired(spark, sf):
 
 
 def sim_by_name(spark, sf):
+    """Every name of the dispatcher on the 16-wide prefixes of the gold pairs, from one pair
+    join (the scores are computed side by side and unpivoted)."""
     p = D.gold_pairs(spark, sf)
-    parts = [p.select("id_a", "id_b", F.lit(n).alias("name"),
-                      F.round(V.similarity(n, V.truncate("vec_a", 16), V.truncate("vec_b", 16)), 6).alias("similarity"))
-             for n in SIMS]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    a, b = V.truncate("vec_a", 16), V.truncate("vec_b", 16)
+    scores = F.array(*[F.struct(F.lit(n).alias("name"), F.round(V.similarity(n, a, b), 6).alias("similarity"))
+                       for n in SIMS])
+    return p.select("id_a", "id_b", F.explode(scores).alias("_s")).select("id_a", "id_b", "_s.name", "_s.similarity")
 
 
 def _sp(metric="cosine"):
@@ -75,13 +74,9 @@ def nonzero_mask(spark, sf):
 
 
 def evaluate_pairs(spark, sf):
-    """Spearman and Pearson per (similarity function, dimension): the scored pairs of every
-    function are stacked into one table, so each statistic is one grouped job."""
-    parts = [D.scored_pairs(spark, sf, n).withColumn("similarity_fn", F.lit(n))
-             for n in ("cosine", "tanimoto", "euclidean", "manhattan", "dot")]
-    sp = parts[0]
-    for x in parts[1:]:
-        sp = sp.unionByName(x)
+    """Spearman and Pearson per (similarity function, dimension): one pair join scores every
+    function side by side; the statistics are one grouped pass over the stacked scores."""
+    sp = D.scored_pairs_multi(spark, sf, ("cosine", "tanimoto", "euclidean", "manhattan", "dot"))
     return M.pair_statistics(sp, "label", "score", ["similarity_fn", "dim"]).select(
         "similarity_fn", "dim", "spearman", "pearson")
 
