@@ -82,43 +82,56 @@ def _stack(col: pd.Series, bits_width: int | None = None) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in col])
 
 
-def _local_topk(by: Sequence[str], k: int, metric: str, exclude_self: bool, bits_width: int | None = None):
+def _local_topk(by: Sequence[str], k: int, metric, exclude_self: bool, bits_width: int | None = None):
+    """Task body: local top-k per query of one block pair, for one metric or a list of them
+    (then a ``metric`` column is added; the vectors are stacked once for all metrics)."""
+    metrics = [metric] if isinstance(metric, str) else list(metric)
+    multi = not isinstance(metric, str)
+
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        cols = list(by) + ["query_id", "neighbor_id", "similarity"]
+        cols = list(by) + (["metric"] if multi else []) + ["query_id", "neighbor_id", "similarity"]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: [] for c in cols})
         q, c = _stack(left["_qv"], bits_width), _stack(right["_cv"], bits_width)
         if q.shape[1] != c.shape[1]:
             raise ValueError(f"dimension mismatch: queries {q.shape[1]} vs corpus {c.shape[1]}")
-        s = _round_half_up(similarity_matrix(q, c, metric))
         qid = left["_qid"].to_numpy()
         cid = right["_cid"].to_numpy()
-        valid = np.ones_like(s, dtype=bool)
+        valid = np.ones((len(qid), len(cid)), dtype=bool)
         if exclude_self:
             valid &= qid[:, None] != cid[None, :]
-        s_masked = np.where(valid, s, -np.inf)
         n_valid = valid.sum(1)
         kk = min(k, c.shape[0])
-        kth = np.partition(s_masked, c.shape[0] - kk, axis=1)[:, c.shape[0] - kk]
-        out_q, out_c, out_s = [], [], []
-        for i in range(q.shape[0]):
-            take = min(kk, int(n_valid[i]))
-            if take == 0:
+        frames = []
+        for m in metrics:
+            s = _round_half_up(similarity_matrix(q, c, m))
+            s_masked = np.where(valid, s, -np.inf)
+            kth = np.partition(s_masked, c.shape[0] - kk, axis=1)[:, c.shape[0] - kk]
+            out_q, out_c, out_s = [], [], []
+            for i in range(q.shape[0]):
+                take = min(kk, int(n_valid[i]))
+                if take == 0:
+                    continue
+                cand = np.nonzero(valid[i] & (s_masked[i] >= kth[i]))[0]
+                order = np.lexsort((cid[cand], -s_masked[i, cand]))[:take]
+                sel = cand[order]
+                out_q.append(np.full(len(sel), qid[i]))
+                out_c.append(cid[sel])
+                out_s.append(s[i, sel])
+            if not out_q:
                 continue
-            cand = np.nonzero(valid[i] & (s_masked[i] >= kth[i]))[0]
-            order = np.lexsort((cid[cand], -s_masked[i, cand]))[:take]
-            sel = cand[order]
-            out_q.append(np.full(len(sel), qid[i]))
-            out_c.append(cid[sel])
-            out_s.append(s[i, sel])
-        if not out_q:
+            res = pd.DataFrame({
+                "query_id": np.concatenate(out_q).astype(np.int64),
+                "neighbor_id": np.concatenate(out_c).astype(np.int64),
+                "similarity": np.concatenate(out_s).astype(np.float64),
+            })
+            if multi:
+                res.insert(0, "metric", m)
+            frames.append(res)
+        if not frames:
             return pd.DataFrame({c: [] for c in cols})
-        res = pd.DataFrame({
-            "query_id": np.concatenate(out_q).astype(np.int64),
-            "neighbor_id": np.concatenate(out_c).astype(np.int64),
-            "similarity": np.concatenate(out_s).astype(np.float64),
-        })
-        for name in by:
+        res = pd.concat(frames, ignore_index=True)
+        for name in reversed(list(by)):
             res.insert(0, name, left[name].iloc[0])
         return res[cols]
 
@@ -207,22 +220,29 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
     ``dim`` of a ladder).  Result: ``*by, query_id, neighbor_id, similarity, rank``.
 
     ``strategy``: ``"blocked"`` (both sides hashed into blocks, see ``blocked_cogroup``),
+    ``metric`` may be a list: every block pair is then scored with each metric (vectors are
+    stacked once) and a ``metric`` column is added.
+
     ``"broadcast"`` (the query matrix is shipped to every corpus task — the corpus is read once
     and never shuffled; refused when the queries exceed ``broadcast_bytes``) or ``"auto"``
     (broadcast when the measured query size fits, blocked otherwise).
     """
-    metric = (metric or "cosine").lower()
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
+    multi = not isinstance(metric, str) and metric is not None
+    metric = [m.lower() for m in metric] if multi else (metric or "cosine").lower()
+    for m in (metric if multi else [metric]):
+        if m not in METRICS:
+            raise ValueError(f"unknown metric {m!r}; expected one of {METRICS}")
     if k < 1:
         raise ValueError("k must be ≥ 1")
     by = list(by)
     by_fields = [f for f in queries.schema.fields if f.name in by]
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in by_fields]
+        + ([T.StructField("metric", T.StringType())] if multi else [])
         + [T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
            T.StructField("similarity", T.DoubleType())]
     )
+    part = [*by, "metric"] if multi else list(by)
     if strategy not in ("blocked", "broadcast", "auto"):
         raise ValueError("strategy must be 'blocked', 'broadcast' or 'auto'")
     if strategy != "blocked":
@@ -234,13 +254,13 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
             qpdf = q.toPandas()  # bounded by the check above
             c = corpus.select(*by, F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
             local = c.mapInPandas(_broadcast_topk(qpdf, by, k, metric, exclude_self, bits_width), schema)
-            w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
+            w = Window.partitionBy(*part, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
             return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         if strategy == "broadcast":
             raise ValueError(f"query side is {size} bytes, above the broadcast limit of {broadcast_bytes}")
     local = blocked_cogroup(queries, corpus, _local_topk(by, k, metric, exclude_self, bits_width), schema, id_col=id_col,
                             vec_col=vec_col, by=by, block_rows=block_rows)
-    w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
+    w = Window.partitionBy(*part, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

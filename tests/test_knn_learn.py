@@ -160,3 +160,13 @@ def test_broadcast_strategy_equals_blocked(spark, metric):
         b.sort_values(key).reset_index(drop=True)[["query_id", "neighbor_id", "similarity", "rank"]])
     with pytest.raises(ValueError):
         K.knn(queries, df, 5, metric, strategy="broadcast", broadcast_bytes=10)
+
+
+@pytest.mark.parametrize("strategy", ["blocked", "broadcast"])
+def test_multi_metric_equals_single_calls(spark, strategy):
+    df, _ = _vectors(spark, n=150, d=6, seed=8)
+    multi = K.knn(df, df, 4, ["cosine", "manhattan"], strategy=strategy, block_rows=40).toPandas()
+    for m in ("cosine", "manhattan"):
+        one = K.knn(df, df, 4, m, strategy=strategy, block_rows=40).toPandas()
+        got = multi[multi.metric == m].drop(columns="metric").sort_values(["query_id", "rank"]).reset_index(drop=True)
+        assert got.equals(one.sort_values(["query_id", "rank"]).reset_index(drop=True)[got.columns])
