@@ -27,19 +27,26 @@ def _run_available(stream_df: DataFrame, checkpoint: str, fn: Callable[[DataFram
         raise RuntimeError(str(q.exception()))
 
 
+def write_vector_batch(batch: DataFrame, batch_id: int, sink_dir: str, dims: Sequence[int], model: str,
+                       id_col: str = "vec_id", vec_col: str = "embedding", base_dim: int | None = None) -> None:
+    """One micro-batch → one vector row per (row, dimension), truncated and renormalised when
+    d < base dimension, written with overwrite into ``batch_id=<id>``: a replayed batch
+    replaces its own output."""
+    rows = batch.select(id_col, vec_col).withColumn("dim", F.explode(F.array(*[F.lit(int(d)) for d in dims])))
+    vec = V.truncate_renorm(vec_col, F.col("dim")) if base_dim is None else \
+        F.when(F.col("dim") < base_dim, V.normalize(V.truncate(vec_col, F.col("dim")))).otherwise(V.as_double(vec_col))
+    out = rows.withColumn(vec_col, vec).withColumn("model", F.lit(model))
+    out.write.mode("overwrite").partitionBy("model", "dim").parquet(f"{sink_dir}/batch_id={batch_id}")
+
+
 def ingest_vectors(spark: SparkSession, source_dir: str, schema: T.StructType | str, sink_dir: str, checkpoint: str,
                    dims: Sequence[int], model: str, id_col: str = "vec_id", vec_col: str = "embedding",
                    base_dim: int | None = None) -> None:
-    """Process the files of ``source_dir`` not seen yet: one vector row per (row, dimension),
-    truncated and renormalised when d < base dimension, written per micro-batch."""
+    """Process the files of ``source_dir`` not seen yet (see ``write_vector_batch``)."""
     src = spark.readStream.schema(schema).parquet(source_dir)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(id_col, vec_col).withColumn("dim", F.explode(F.array(*[F.lit(int(d)) for d in dims])))
-        vec = V.truncate_renorm(vec_col, F.col("dim")) if base_dim is None else \
-            F.when(F.col("dim") < base_dim, V.normalize(V.truncate(vec_col, F.col("dim")))).otherwise(V.as_double(vec_col))
-        out = rows.withColumn(vec_col, vec).withColumn("model", F.lit(model))
-        out.write.mode("overwrite").partitionBy("model", "dim").parquet(f"{sink_dir}/batch_id={batch_id}")
+        write_vector_batch(batch, batch_id, sink_dir, dims, model, id_col, vec_col, base_dim)
 
     _run_available(src, checkpoint, write)
 

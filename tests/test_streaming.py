@@ -44,3 +44,12 @@ def test_library_stream_matches_batch_for_one_batch(spark):
     streamed = [tuple(r) for r in S.current_library(spark, f"{base}/lib").orderBy("key").collect()]
     batch = [tuple(r) for r in library_update(lib, cands, "key", "score", 3).orderBy("key").collect()]
     assert streamed == batch == [("a", 5.0), ("c", 4.0), ("e", 9.0)]
+
+
+def test_replayed_batch_is_not_duplicated(spark):
+    base = scratch_path(spark, "test-replay")
+    df = spark.createDataFrame([(i, [1.0, 2.0, 2.0]) for i in range(7)], "vec_id long, embedding array<double>")
+    for _ in range(2):  # the same micro-batch delivered twice
+        S.write_vector_batch(df, 3, f"{base}/sink", [3, 2], "m", base_dim=3)
+    out = spark.read.parquet(f"{base}/sink")
+    assert out.count() == 14 and out.select("batch_id").distinct().first()[0] == 3
