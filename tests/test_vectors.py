@@ -114,6 +114,7 @@ def _png(width: int, height: int) -> str:
 
 
 def test_image_dims(spark):
-    df = spark.createDataFrame([(_png(212, 194),), (_png(1, 65535),)], "img string")
+    junk = "data:image/png;base64," + base64.b64encode(b"not a png at all, just text").decode()
+    df = spark.createDataFrame([(_png(212, 194),), (_png(1, 65535),), (junk,), (None,)], "img string")
     got = [tuple(r) for r in df.select(image_dims("img")).collect()]
-    assert got == [(212, 194), (1, 65535)]
+    assert got == [(212, 194), (1, 65535), (None, None), (None, None)]
