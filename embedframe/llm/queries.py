@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing
-from .common import table
+from . import bpe, packing, ppm
+from .common import fold, table
 
 
 def op3_best_fit_packing(spark, sf_dir):
@@ -19,9 +19,16 @@ def op6_byte_bpe(spark, sf_dir):
                              public_tokenizers.PATTERN)
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = ppm.identify(docs, fold("doc_id", 5) != 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE: dict[str, str] = {}
