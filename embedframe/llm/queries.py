@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, ppm
+from . import bpe, kdtree, packing, ppm
 from .common import fold, table
 
 
@@ -25,10 +25,17 @@ def op8_language_id(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_kd_sharding(spark, sf_dir):
+    out = kdtree.shard(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
+    "op9_kd_sharding": op9_kd_sharding,
 }
 
 ORACLE: dict[str, str] = {}
