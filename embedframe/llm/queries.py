@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, packing, ppm
+from . import bpe, kdtree, packing, ppm, toxicity
 from .common import fold, table
 
 
+def op2_toxicity(spark, sf_dir):
+    out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
                                   public_tokenizers.PATTERN, capacity=1024, end_id=2)
@@ -32,6 +37,7 @@ def op9_kd_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
