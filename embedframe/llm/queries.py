@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, packing, ppm, toxicity
+from . import bpe, kdtree, packing, ppm, quality, toxicity
 from .common import fold, table
 
 
@@ -19,6 +19,11 @@ def op3_best_fit_packing(spark, sf_dir):
                                   public_tokenizers.PATTERN, capacity=1024, end_id=2)
 
 
+def op4_quality(spark, sf_dir):
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
                              public_tokenizers.PATTERN)
@@ -39,6 +44,7 @@ def op9_kd_sharding(spark, sf_dir):
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality": op4_quality,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_kd_sharding": op9_kd_sharding,
