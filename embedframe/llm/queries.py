@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, packing, ppm, quality, toxicity
+from . import bpe, kdtree, ngram_join, packing, ppm, quality, toxicity
 from .common import fold, table
 
 
@@ -41,6 +41,10 @@ def op9_kd_sharding(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_ngram_jaccard(spark, sf_dir):
+    return ngram_join.components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_kd_sharding": op9_kd_sharding,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE: dict[str, str] = {}
