@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -209,7 +209,8 @@ def _chance(toxic: int, n: int, base: float) -> float:
 
 
 def word_sets(texts: list[str]) -> list[set[str]]:
-    return [{w for w in re.findall(r"\w+", t.lower()) if not w.isdigit()} for t in texts]
+    one: dict[str, str] = {}  # equal words of different texts are one string
+    return [{one.setdefault(w, w) for w in re.findall(r"\w+", t.lower()) if not w.isdigit()} for t in texts]
 
 
 def learn_lexicon(words: list[set[str]], cluster: list[int], labels: list[int], least_support: int = 3,
@@ -222,11 +223,16 @@ def learn_lexicon(words: list[set[str]], cluster: list[int], labels: list[int],
     total = [len({c for c, y in zip(cluster, labels, strict=True) if bool(y) == k}) for k in (False, True)]
     if not total[0] or not total[1]:
         return {}, {}
-    toxic_in: dict[str, set[int]] = defaultdict(set)
-    for ws, c, y in zip(words, cluster, labels, strict=True):
-        if y:
-            for key in {w + "$" for w in ws} | {w[:n] for w in ws for n in STEMS if len(w) >= n}:
-                toxic_in[key].add(c)
+    def keys(ws: set[str]) -> set[str]:
+        return {w + "$" for w in ws} | {w[:n] for w in ws for n in STEMS if len(w) >= n}
+
+    toxic = [(ws, c) for ws, c, y in zip(words, cluster, labels, strict=True) if y]
+    often = Counter(key for ws, _ in toxic for key in keys(ws))
+    toxic_in: dict[str, set[int]] = {k: set() for k, n in often.items() if n >= least_support}
+    del often
+    for ws, c in toxic:
+        for key in keys(ws) & toxic_in.keys():
+            toxic_in[key].add(c)
     toxic_in = {k: v for k, v in toxic_in.items() if len(v) >= least_support}
     clean_in: dict[str, set[int]] = {k: set() for k in toxic_in}
     for ws, c, y in zip(words, cluster, labels, strict=True):
@@ -314,12 +320,12 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text", carry: list
     return common.with_columns(docs, [(score_col, T.DoubleType())], text_col, compute, carry)
 
 
-def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int = 10_000) -> Grammar:
+def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int = 6_000) -> Grammar:
     """Fit on at most ``max_rows`` labelled documents that ``in_training`` admits."""
     return fit(common.labelled_sample(docs, labels, "toxic", in_training, max_rows))
 
 
-def classify(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int = 10_000, threshold: float = 0.5,
+def classify(docs: DataFrame, labels: DataFrame, in_training: Column, max_rows: int = 6_000, threshold: float = 0.5,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every document.  Repeated rows get equal results, other columns are
     ignored, empty tables give empty results."""
