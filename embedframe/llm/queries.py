@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, kdtree, ngram_join, packing, ppm, quality, toxicity
+from . import bit_sliced, bpe, kdtree, ngram_join, packing, ppm, pstable, quality, toxicity
 from .common import fold, table
 
 
+def op1_bit_sliced_topk(spark, sf_dir):
+    return bit_sliced.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def op2_toxicity(spark, sf_dir):
     out = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
@@ -45,14 +49,37 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark, sf_dir):
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
+    "op1_bit_sliced_topk": op1_bit_sliced_topk,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality": op4_quality,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_bit_sliced_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+}
