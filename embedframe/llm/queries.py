@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, kdtree, ngram_join, packing, ppm, pstable, quality, toxicity
+from . import bit_sliced, bpe, kdtree, licenses, ngram_join, packing, ppm, pstable, quality, toxicity
 from .common import fold, table
 
 
@@ -28,6 +28,10 @@ def op4_quality(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op5_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")),
                              public_tokenizers.PATTERN)
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality": op4_quality,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_language_id": op8_language_id,
