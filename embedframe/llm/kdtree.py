@@ -165,7 +165,8 @@ def shard(docs: DataFrame, shards: int, slack: float = 0.005, id_col: str = "doc
     # rows of a group, in id order, go to its points' ranges
     cut = points.groupBy("gid").agg(F.count(F.lit(1)).alias("parts"), F.min("node").alias("shard"))
     parted = points.select(F.col("gid").alias("_gid"), "first", "n", F.col("node").alias("_shard"))
-    located = rows.join(cut, "gid")
+    # (written, for the numbering deals a large group over many tasks, and the join's tasks have it whole)
+    located = common.written(rows.join(cut, "gid"), "shard-located")
     # only the few groups that a cut runs through need their rows numbered: at most one for each cut
     inner = number_within(located.where(F.col("parts") > 1).drop("shard"), "gid", ["id", "text_crc32"], "_at")
     inner = inner.join(parted, (F.col("gid") == F.col("_gid")) & (F.col("_at") >= F.col("first")) & (F.col("_at") < F.col("first") + F.col("n")))
