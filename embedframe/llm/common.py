@@ -53,27 +53,28 @@ def with_columns(df: DataFrame, added: list[tuple[str, T.DataType]], text_col: s
     makes from the texts of a batch.  Rows pass through as Arrow columns; nothing is shuffled."""
     small_batches(df.sparkSession)
     keep = df.columns if carry is None else carry
+    passed = text_col in keep and isinstance(df.schema[text_col].dataType, T.StringType)  # then it travels once
     tmp = fresh(df, "_text")
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(tmp))
+    src = df.select(*[F.col(f"`{c}`") for c in keep], *([] if passed else [F.col(f"`{text_col}`").cast("string").alias(tmp)]))
     schema = T.StructType([*src.drop(tmp).schema.fields, *[T.StructField(n, t) for n, t in added]])
     names = [n for n, _ in added]
+    at, n_keep = keep.index(text_col) if passed else len(keep), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            arrays = [b.column(i) for i in range(b.num_columns - 1)] + compute(texts)
+            arrays = [b.column(i) for i in range(n_keep)] + compute(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays(arrays, [*keep, *names])
 
     return src.mapInArrow(run, schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, in_training: Column, max_rows: int,
-                    id_col: str = "doc_id", text_col: str = "text", group_col: str | None = None) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(label, text) of at most ``max_rows`` labelled rows that ``in_training`` (an expression on
     the id) admits: those of the smallest id hashes, so the same rows for the same table.  At most
     ``max_rows`` ids are broadcast; the documents are read where they lie."""
     picked = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-              .where(F.col("_id").isNotNull() & F.col("_label").isNotNull()).dropDuplicates(["_id"])
+              .where(F.col("_id").isNotNull() & F.col("_label").isNotNull()).groupBy("_id").agg(F.max("_label").alias("_label"))
               .withColumnRenamed("_id", id_col).where(in_training).withColumnRenamed(id_col, "_id")
               .orderBy(F.xxhash64("_id"), "_id").limit(int(max_rows)))
     return (docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").alias("_t"))
