@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .ngram_join import shingle_sets
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 
@@ -176,9 +177,10 @@ class _Classes(dict):
         return (_Classes, (self.grammar, self.most))
 
 
-def _distinct(words: list[set[str]]) -> list[int]:
-    """A cluster number for each document: those that share two of four minimum word hashes."""
-    parent = list(range(len(words)))
+def near_copies(texts: list[str]) -> list[int]:
+    """A cluster number for each text: those that share two of four minimum hashes of their three-word
+    shingles are near copies."""
+    parent = list(range(len(texts)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -187,18 +189,15 @@ def _distinct(words: list[set[str]]) -> list[int]:
         return i
 
     seen: dict[tuple, int] = {}
-    for i, ws in enumerate(words):
-        hashes = [xxhash.xxh64_intdigest(w) for w in ws]
-        if not hashes:
+    for i, x in enumerate(shingle_sets(texts, 3)):
+        if not len(x):
             continue
-        x = np.array(hashes, np.uint64)
         least = [int((x * np.uint64(a)).min()) for a in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
         for a in range(4):
             for b in range(a):
-                key = (a, b, least[a], least[b])
-                j = seen.setdefault(key, i)
+                j = seen.setdefault((a, b, least[a], least[b]), i)
                 parent[root(i)] = root(j)
-    return [root(i) for i in range(len(words))]
+    return [root(i) for i in range(len(texts))]
 
 
 def _chance(toxic: int, n: int, base: float) -> float:
@@ -286,7 +285,7 @@ def fit(sample: DataFrame) -> Grammar:
     rows = sorted(sample.collect(), key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))
     texts, labels = [r["text"] for r in rows], [int(r["label"]) for r in rows]
     words = word_sets(texts)
-    cluster = _distinct(words)
+    cluster = near_copies(texts)
     grammar = Grammar(*learn_lexicon(words, cluster, labels))
     if 0 < sum(labels) < len(labels):
         # the curve is fitted on features from lexicons that have not seen the document
