@@ -1,6 +1,9 @@
 """Exact k-nearest-neighbour search and the retrieval benchmark built on it.
 
-Exact search is quadratic by nature (every query meets every corpus row).  It is done
+There is one plan, whatever the table sizes: nothing is collected or shipped by the driver.
+Where the metric allows it (cosine, euclidean, manhattan) and ``pivots`` are asked for, rows lie in
+the cells of a few pivots; each query meets its own cell first, and then only the cells that the
+triangle inequality leaves a chance (``knn_pivots``).  Rows of a cell, or of the whole table, meet
 without a cross join: both sides are hashed into blocks of bounded size, each (query
 block, corpus block) pair meets in one ``cogroup`` task, numpy computes the similarity
 matrix of that block pair and the task emits only its local top-k per query.  A
@@ -57,7 +60,15 @@ def similarity_matrix(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
         denom = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - d
         return d / np.maximum(denom, V.TANIMOTO_EPS)
     if metric == "euclidean":
-        d2 = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * (q @ c.T)
+        centre = c.mean(0) if len(c) else 0.0
+        q, c = q - centre, c - centre
+        size = (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :]
+        d2 = size - 2.0 * (q @ c.T)
+        # digits cancel where the distance is small against the vectors: those from differences
+        near = np.nonzero(d2 < 1e-3 * size)
+        for i in range(0, len(near[0]), 1 << 16):
+            a, b = near[0][i:i + (1 << 16)], near[1][i:i + (1 << 16)]
+            d2[a, b] = ((q[a] - c[b]) ** 2).sum(1)
         return -np.sqrt(np.maximum(d2, 0.0))
     if metric == "manhattan":
         out = np.empty((q.shape[0], c.shape[0]))
@@ -179,53 +190,22 @@ def blocked_cogroup(queries: DataFrame, corpus: DataFrame, fn, schema: T.StructT
     return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(fn, schema)
 
 
-BROADCAST_QUERY_BYTES = 32 * 1024 * 1024
-
-
-def _broadcast_topk(qpdf: pd.DataFrame, by: Sequence[str], k: int, metric: str, exclude_self: bool,
-                    bits_width: int | None, chunk_cells: int = 4_000_000):
-    """mapInPandas body: the (size-checked) query matrix travels with the task; every chunk of
-    corpus rows emits its local top-k per query (the window after it keeps k per query)."""
-    by = list(by)
-    groups = {}
-    for key, part in (qpdf.groupby(by, sort=False) if by else [((), qpdf)]):
-        key = key if isinstance(key, tuple) else (key,)
-        groups[key] = part.reset_index(drop=True)
-    local = _local_topk(by, k, metric, exclude_self, bits_width)
-
-    def run(batches):
-        for pdf in batches:
-            parts = pdf.groupby(by, sort=False) if by else [((), pdf)]
-            for key, cpart in parts:
-                key = key if isinstance(key, tuple) else (key,)
-                qpart = groups.get(key)
-                if qpart is None or len(cpart) == 0:
-                    continue
-                step = max(64, chunk_cells // max(1, len(qpart)))
-                for i in range(0, len(cpart), step):
-                    out = local(None, qpart, cpart.iloc[i:i + step].reset_index(drop=True))
-                    if len(out):
-                        yield out
-
-    return run
+def _topk(local: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    w = Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *, id_col: str = "vec_id",
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str | Sequence[str] = "cosine", *, id_col: str = "vec_id",
         vec_col: str = "embedding", by: Sequence[str] = (), exclude_self: bool = True,
-        block_rows: int = 1024, bits_width: int | None = None, strategy: str = "auto",
-        broadcast_bytes: int = BROADCAST_QUERY_BYTES) -> DataFrame:
+        block_rows: int = 1024, bits_width: int | None = None, pivots: int = 0) -> DataFrame:
     """Top-k corpus rows per query row (``knn_exact`` / ``knn_metric``).
 
     ``by`` columns must match between a query and a corpus row (for example the truncation
     ``dim`` of a ladder).  Result: ``*by, query_id, neighbor_id, similarity, rank``.
 
-    ``strategy``: ``"blocked"`` (both sides hashed into blocks, see ``blocked_cogroup``),
     ``metric`` may be a list: every block pair is then scored with each metric (vectors are
-    stacked once) and a ``metric`` column is added.
-
-    ``"broadcast"`` (the query matrix is shipped to every corpus task — the corpus is read once
-    and never shuffled; refused when the queries exceed ``broadcast_bytes``) or ``"auto"``
-    (broadcast when the measured query size fits, blocked otherwise).
+    stacked once) and a ``metric`` column is added.  ``pivots`` > 0 prunes with that many pivots
+    (see ``knn_pivots``; one metric, no ``by``); the result is the same.
     """
     multi = not isinstance(metric, str) and metric is not None
     metric = [m.lower() for m in metric] if multi else (metric or "cosine").lower()
@@ -235,46 +215,118 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", *
     if k < 1:
         raise ValueError("k must be ≥ 1")
     by = list(by)
-    by_fields = [f for f in queries.schema.fields if f.name in by]
+    if pivots:
+        if by or multi or bits_width:
+            raise ValueError("pivots go with one metric and no groups")
+        return knn_pivots(queries, corpus, k, metric, pivots, id_col, vec_col, exclude_self, block_rows)
     schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in by_fields]
+        [T.StructField(f.name, f.dataType) for f in queries.schema.fields if f.name in by]
         + ([T.StructField("metric", T.StringType())] if multi else [])
         + [T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
            T.StructField("similarity", T.DoubleType())]
     )
-    part = [*by, "metric"] if multi else list(by)
-    if strategy not in ("blocked", "broadcast", "auto"):
-        raise ValueError("strategy must be 'blocked', 'broadcast' or 'auto'")
-    if strategy != "blocked":
-        # measured size bound of the query side: rows × vector width × 8 bytes
-        q = queries.select(*by, F.col(id_col).cast("long").alias("_qid"), F.col(vec_col).alias("_qv"))
-        rows, width = q.agg(F.count(F.lit(1)), F.max(F.size("_qv"))).first()
-        size = (rows or 0) * (bits_width or width or 0) * 8
-        if size <= broadcast_bytes:
-            qpdf = q.toPandas()  # bounded by the check above
-            c = corpus.select(*by, F.col(id_col).cast("long").alias("_cid"), F.col(vec_col).alias("_cv"))
-            local = c.mapInPandas(_broadcast_topk(qpdf, by, k, metric, exclude_self, bits_width), schema)
-            w = Window.partitionBy(*part, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
-            return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if strategy == "broadcast":
-            raise ValueError(f"query side is {size} bytes, above the broadcast limit of {broadcast_bytes}")
     local = blocked_cogroup(queries, corpus, _local_topk(by, k, metric, exclude_self, bits_width), schema, id_col=id_col,
                             vec_col=vec_col, by=by, block_rows=block_rows)
-    w = Window.partitionBy(*part, "query_id").orderBy(F.col("similarity").desc(), F.col("neighbor_id"))
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _topk(local, [*by, "metric"] if multi else by, k)
+
+
+PIVOT_METRICS = ("cosine", "euclidean", "manhattan")
+
+
+def _pivot_distances(x: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    """Distances that obey the triangle inequality: of unit vectors for cosine."""
+    if metric == "cosine":
+        n = np.sqrt((x * x).sum(1, keepdims=True))
+        x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        return np.sqrt(np.maximum(2.0 - 2.0 * (x @ pivots.T), 0.0))
+    return -similarity_matrix(x, pivots, metric)
+
+
+def pivot_cells(queries: DataFrame, corpus: DataFrame, metric: str, pivots: int, id_col: str,
+                vec_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries with ``cell`` and all pivot distances ``_pd``, corpus with ``cell``, (cell, radius, rows)).
+
+    Pivots are ``pivots`` corpus rows, those of the smallest id hashes: a parameter's worth of vectors.
+    Zero vectors, which cosine gives no direction, lie in cell -1, near everything."""
+    picked = corpus.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(pivots).select(vec_col).collect()
+    centres = np.array([r[0] for r in picked], dtype=np.float64)
+    if metric == "cosine" and len(centres):
+        n = np.sqrt((centres * centres).sum(1, keepdims=True))
+        centres = (centres / np.where(n > 0, n, 1.0))[n.ravel() > 0]
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def distances(vs: pd.Series) -> pd.Series:
+        x = _stack(vs)
+        if not len(x) or not len(centres):
+            return pd.Series([[] for _ in range(len(vs))])
+        d = _pivot_distances(x, centres, metric)
+        if metric == "cosine":
+            d[~(x * x).any(axis=1)] = 0.0
+        return pd.Series(list(d))
+
+    zero = ~F.exists(F.col(vec_col), lambda v: v != 0) if metric == "cosine" else F.lit(False)
+    cell = F.when(zero | (F.size("_pd") == 0), F.lit(-1)).otherwise((F.array_position("_pd", F.array_min("_pd")) - 1).cast("int"))
+    q = queries.select(id_col, vec_col, distances(vec_col).alias("_pd")).withColumn("cell", cell)
+    c = corpus.select(id_col, vec_col, distances(vec_col).alias("_pd")).withColumn("cell", cell)
+    c = c.withColumn("_d", F.when(F.col("cell") >= 0, F.array_min("_pd")).otherwise(F.lit(0.0))).drop("_pd")
+    cells = c.groupBy("cell").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("rows"))
+    return q, c.drop("_d"), cells
+
+
+def pivot_visits(q: DataFrame, first: DataFrame, cells: DataFrame, k: int, metric: str, id_col: str) -> DataFrame:
+    """Queries (columns of ``q``) with each further cell that may hold one of their k nearest.
+
+    ``first`` has the k best of the query's own cell; the k-th bounds the distance.  A cell is passed
+    over when its pivot is farther than that bound plus its radius; 1e-5 covers the rounding of the
+    similarities."""
+    kth = first.where(F.col("rank") == k).select(F.col("query_id").alias("_qid"), F.col("similarity").alias("_kth"))
+    bound = F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * (F.col("_kth") - 1e-5))) if metric == "cosine" else -F.col("_kth")
+    table = cells.agg(F.collect_list(F.struct("cell", "radius")).alias("_cells")).scalar()  # a row for each pivot at most
+    out = (q.join(kth, F.col(id_col).cast("long") == F.col("_qid"), "left").withColumn("_bound", F.when(F.col("_kth").isNull(), F.lit(float("inf"))).otherwise(bound))
+           .withColumn("_cells", table).withColumn("_c", F.explode("_cells")))
+    distance = F.when(F.col("_c.cell") >= 0, F.get(F.col("_pd"), F.col("_c.cell"))).otherwise(F.lit(0.0))
+    near = distance - F.col("_c.radius") <= F.col("_bound") + 1e-5
+    return (out.where((F.col("_c.cell") != F.col("cell")) & (near | (F.col("cell") < 0) | (F.col("_c.cell") < 0)))
+            .select(*[c for c in q.columns if c not in ("cell", "_pd")], F.col("_c.cell").alias("cell")))
+
+
+def knn_pivots(queries: DataFrame, corpus: DataFrame, k: int, metric: str, pivots: int, id_col: str = "vec_id",
+               vec_col: str = "embedding", exclude_self: bool = True, block_rows: int = 1024) -> DataFrame:
+    """Exact top-k that skips cells by the triangle inequality (see ``pivot_visits``)."""
+    from ..session import reliable_checkpoint
+
+    if metric not in PIVOT_METRICS:
+        raise ValueError(f"pivots need one of {PIVOT_METRICS}")
+    q, c, cells = pivot_cells(queries, corpus, metric, pivots, id_col, vec_col)
+    q, c = reliable_checkpoint(q), reliable_checkpoint(c)
+    cells = c.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).join(cells.select("cell", "radius"), "cell")
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("neighbor_id", T.LongType()),
+                           T.StructField("similarity", T.DoubleType())])
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return blocked_cogroup(rows, c, _local_topk((), k, metric, exclude_self), schema, id_col=id_col, vec_col=vec_col,
+                               by=["cell"], block_rows=block_rows)
+
+    first = reliable_checkpoint(_topk(scored(q.drop("_pd")), (), k))
+    more = scored(pivot_visits(q, first, cells, k, metric, id_col))
+    return _topk(first.drop("rank").unionByName(more), (), k)
 
 
 def recall_at_k(truth: DataFrame, pred: DataFrame, by: Sequence[str] = (), query_col: str = "query_id",
                 item_col: str = "neighbor_id") -> DataFrame:
-    """|truth ∩ predicted| / |truth| per query (and ``by`` group); zero overlap stays 0."""
+    """|truth ∩ predicted| / |truth| per truth query; no predictions, or none that hit, give 0.
+    With ``by``, per group of ``pred``, for every truth query in each group."""
     by = list(by)
     t = truth.select(query_col, item_col).distinct()
+    hit = pred.select(*by, query_col, item_col).distinct().join(t, [query_col, item_col])
+    hits = hit.groupBy(*by, query_col).agg(F.count(F.lit(1)).alias("_hits"))
     sizes = t.groupBy(query_col).agg(F.count(F.lit(1)).alias("_n_truth"))
-    hits = (pred.select(*by, query_col, item_col)
-            .join(t.withColumn("_hit", F.lit(1)), [query_col, item_col], "left")
-            .groupBy(*by, query_col).agg(F.sum(F.coalesce("_hit", F.lit(0))).alias("_hits")))
-    return (hits.join(sizes, query_col)
-            .select(*by, query_col, (F.col("_hits") / F.col("_n_truth")).alias("accuracy")))
+    if by:  # the groups are the steps of a ladder: a short list
+        groups = pred.select(*by).distinct().agg(F.collect_list(F.struct(*by))).scalar()
+        sizes = sizes.withColumn("_g", groups).withColumn("_g", F.explode("_g"))
+        sizes = sizes.select(*[F.col(f"_g.{c}").alias(c) for c in by], query_col, "_n_truth")
+    return (sizes.join(hits, [*by, query_col], "left")
+            .select(*by, query_col, (F.coalesce("_hits", F.lit(0)) / F.col("_n_truth")).alias("accuracy")))
 
 
 def ladder_recall(nn: DataFrame, truth_dim: int, dim_col: str = "dim", model_col: str | None = None,
@@ -283,7 +335,8 @@ def ladder_recall(nn: DataFrame, truth_dim: int, dim_col: str = "dim", model_col
 
     One pass: group the neighbour rows by (query, neighbour), note whether the truth step
     holds the pair and which steps list it, then count hits per (step, query).  No join of
-    the table with itself, so the k-NN stage runs once for truth and predictions alike.
+    the table with itself, so the k-NN stage runs once for truth and predictions alike.  Every
+    query of the truth step has a row for every step, 0 where the step lists none of its neighbours.
     """
     keys = ([model_col] if model_col else []) + [dim_col]
     is_truth = F.col(dim_col) == truth_dim
@@ -291,12 +344,14 @@ def ladder_recall(nn: DataFrame, truth_dim: int, dim_col: str = "dim", model_col
         is_truth = is_truth & (F.col(model_col) == truth_model)
     pairs = nn.groupBy("query_id", "neighbor_id").agg(
         F.max(F.when(is_truth, 1).otherwise(0)).alias("_in_truth"),
-        F.collect_list(F.struct(*keys)).alias("_steps"))  # one entry per ladder step: bounded
-    per = (pairs.select("query_id", "_in_truth", F.explode("_steps").alias("_s"))
-           .select("query_id", "_in_truth", *[F.col(f"_s.{c}").alias(c) for c in keys])
-           .groupBy(*keys, "query_id").agg(F.sum("_in_truth").alias("_hits")))
-    n_truth = F.sum(F.when(is_truth, F.col("_hits"))).over(Window.partitionBy("query_id"))
-    return per.select(*keys, "query_id", (F.col("_hits") / n_truth).alias("accuracy"))
+        F.collect_set(F.struct(*keys)).alias("_steps"))  # one entry per ladder step: bounded
+    # per query: truth size, and the steps of its truth neighbours (at most k lists)
+    per = pairs.where("_in_truth = 1").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.flatten(F.collect_list("_steps")).alias("_hits"))
+    steps = nn.select(*keys).distinct().agg(F.collect_list(F.struct(*keys))).scalar()
+    per = per.withColumn("_all", steps).withColumn("_s", F.explode("_all"))
+    hits = F.size(F.filter("_hits", lambda h: h == F.col("_s")))
+    return per.select(*[F.col(f"_s.{c}").alias(c) for c in keys], "query_id", (hits / F.col("_n")).alias("accuracy"))
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value_col: str, qs: Sequence[float]) -> DataFrame:
@@ -318,28 +373,18 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value_col: str, qs: Sequen
     return both.select(*by, "q", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).alias("value"))
 
 
-def describe_groups(df: DataFrame, by: Sequence[str], value_col: str, digits: int = 6,
-                    bounded_values: bool = False) -> DataFrame:
-    """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per group.
-
-    ``bounded_values=True`` (the column has few distinct values, e.g. recall@k with at most
-    k + 1) uses the ``percentile`` aggregate, whose state is a value → count map.  Otherwise
-    the quartiles come from ``exact_quantiles``, which never gathers a group in one task."""
+def describe_groups(df: DataFrame, by: Sequence[str], value_col: str, digits: int = 6) -> DataFrame:
+    """count, mean, sample std, min, 25/50/75 % (linear interpolation), max per group.  The quartiles
+    come from ``exact_quantiles``, which never gathers a group in one task."""
     by = list(by)
     v = F.col(value_col).cast("double")
     stats = df.groupBy(*by).agg(F.count(v).alias("count"), F.mean(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                                F.min(v).alias("min"), F.max(v).alias("max"),
-                                *([F.percentile(v, [0.25, 0.5, 0.75]).alias("_q")] if bounded_values else []))
-    if bounded_values:
-        quart = [F.col("_q")[i] for i in range(3)]
-    else:
-        qt = exact_quantiles(df, by, value_col, [0.25, 0.5, 0.75]).groupBy(*by).agg(
-            *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"_q{i}") for i, q in enumerate((0.25, 0.5, 0.75))])
-        stats = stats.join(qt, by, "left")
-        quart = [F.col(f"_q{i}") for i in range(3)]
-    return stats.select(*by, "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min")],
-                        *[F.round(qc, digits).alias(n) for qc, n in zip(quart, ("p25", "p50", "p75"))],
-                        F.round("max", digits).alias("max"))
+                                F.min(v).alias("min"), F.max(v).alias("max"))
+    names = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    qt = exact_quantiles(df, by, value_col, list(names)).groupBy(*by).agg(
+        *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(n) for q, n in names.items()])
+    return stats.join(qt, by, "left").select(
+        *by, "count", *[F.round(c, digits).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def describe_groups_approx(df: DataFrame, by: Sequence[str], value_col: str, accuracy: int = 10000) -> DataFrame:
@@ -390,5 +435,4 @@ def retrieval_benchmark(embeddings: DataFrame, dims: Sequence[int] = (64, 32, 16
     if "float32" not in precisions:
         rec = rec.where(F.col("model") != "prefix-float32")
     rec = rec.select("model", F.col("dim").cast("int").alias("dimension"), "query_id", "accuracy")
-    # recall@k takes at most k + 1 distinct values: the percentile state stays tiny
-    return describe_groups(rec, ["model", "dimension"], "accuracy", bounded_values=True)
+    return describe_groups(rec, ["model", "dimension"], "accuracy")

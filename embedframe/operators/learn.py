@@ -30,10 +30,13 @@ from ..session import checkpoint_dir, reliable_checkpoint
 from . import knn as K
 
 
+PIVOTS = 16
+
+
 def core_distance(df: DataFrame, m: int, id_col: str = "vec_id", vec_col: str = "embedding",
                   block_rows: int = 1024) -> DataFrame:
     """(id, core): Euclidean distance to the m-th nearest other row (rounded to 6 decimals)."""
-    nn = K.knn(df, df, m, "euclidean", id_col=id_col, vec_col=vec_col, block_rows=block_rows)
+    nn = K.knn(df, df, m, "euclidean", id_col=id_col, vec_col=vec_col, block_rows=block_rows, pivots=PIVOTS)
     return nn.where(F.col("rank") == m).select(F.col("query_id").alias(id_col), (-F.col("similarity")).alias("core"))
 
 
@@ -152,9 +155,10 @@ def cluster_sweep(comps: DataFrame, ids: DataFrame, min_sizes: Sequence[int], id
 
 def assign_clusters(new_rows: DataFrame, clustered: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
                     vec_col: str = "embedding", block_rows: int = 1024) -> DataFrame:
-    """Label new rows by their nearest clustered core point; probability = min(1, core/dist)."""
+    """Label new rows by their nearest clustered core point; probability = min(1, core/dist).  A new row
+    that equals a member, or has its id, meets that member like any other."""
     members = vectors.join(clustered.where(F.col("cluster") >= 0).select(id_col, "cluster", "core"), id_col)
-    nn = K.knn(new_rows, members, 1, "euclidean", id_col=id_col, vec_col=vec_col, block_rows=block_rows)
+    nn = K.knn(new_rows, members, 1, "euclidean", id_col=id_col, vec_col=vec_col, block_rows=block_rows, exclude_self=False, pivots=PIVOTS)
     j = nn.join(members.select(F.col(id_col).alias("neighbor_id"), "cluster", "core"), "neighbor_id")
     dist = -F.col("similarity")
     prob = F.when(dist <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("core") / dist))

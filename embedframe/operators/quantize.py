@@ -8,7 +8,7 @@ that does not grow with the table); it reaches the rows as a scalar subquery.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,16 +20,26 @@ def int8_ranges(df: DataFrame, vec_col: str) -> DataFrame:
     return per.agg(F.array_sort(F.collect_list(F.struct("pos", "lo", "step"))).alias("ranges"))
 
 
-def quantize_int8(df: DataFrame, vec_col: str, signed: bool = True, ranges: DataFrame | None = None) -> DataFrame:
-    """int8: trunc((x − lo)/step − 128); uint8: trunc((x − lo)/step).  ``ranges`` may come from
-    another table (calibrate on a corpus, apply to queries)."""
-    r = (ranges if ranges is not None else int8_ranges(df, vec_col)).select("ranges").scalar()
-    shift = 128.0 if signed else 0.0
+def quantize_arrays(df: DataFrame, vec_cols: list[str], ranges: Column, signed: bool = True) -> DataFrame:
+    """The columns ``vec_cols`` quantised in place; ``ranges`` is the array of ``int8_ranges`` as a scalar.
+    Values outside the calibration take the nearest end."""
+    shift, top = (128.0, 127.0) if signed else (0.0, 255.0)
 
     def q(x, i):
         cal = F.get(F.col("_cal"), i)
-        return (F.try_divide(x.cast("double") - cal["lo"], cal["step"]) - F.lit(shift)).cast("int").cast("smallint")
+        v = F.try_divide(x.cast("double") - cal["lo"], cal["step"]) - F.lit(shift)
+        return F.least(F.greatest(v, F.lit(-shift)), F.lit(top)).cast("int").cast("smallint")
 
     # The scalar subquery is evaluated once per query; higher-order functions cannot hold a
     # subquery, so it is attached as a column first.
-    return df.withColumn("_cal", r).withColumn(vec_col, F.transform(F.col(vec_col), q)).drop("_cal")
+    out = df.withColumn("_cal", ranges)
+    for c in vec_cols:
+        out = out.withColumn(c, F.transform(F.col(c), q))
+    return out.drop("_cal")
+
+
+def quantize_int8(df: DataFrame, vec_col: str, signed: bool = True, ranges: DataFrame | None = None) -> DataFrame:
+    """int8: trunc((x − lo)/step − 128); uint8: trunc((x − lo)/step).  ``ranges`` may come from
+    another table (calibrate on a corpus, apply to queries)."""
+    r = (ranges if ranges is not None else int8_ranges(df, vec_col)).select("ranges").scalar()
+    return quantize_arrays(df, [vec_col], r, signed)

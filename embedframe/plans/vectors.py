@@ -11,7 +11,7 @@ from ..operators import metrics as M
 from ..operators import quantize as Q
 from ..sources.tables import table
 from . import derived as D
-from .retrieval import _COSINE_TOPK_SQL, _LADDER_SQL
+from .retrieval import _COSINE_TOPK_SQL, _LADDER_SQL, _half_sql
 
 
 def _long(df: DataFrame, vec: str, value_name: str = "value", digits: int = 6) -> DataFrame:
@@ -31,8 +31,7 @@ def vec_l2_norm(spark, sf):
 
 
 def vec_normalize(spark, sf):
-    e = _emb(spark, sf).select("vec_id", V.normalize(V.truncate("embedding", 16)).alias("v"))
-    return _long(e, "v")
+    return _long(_emb(spark, sf).select("vec_id", V.normalize("embedding").alias("v")), "v")
 
 
 def vec_truncate(spark, sf):
@@ -86,16 +85,19 @@ def quantize_uint8(spark, sf):
         "vec_id", F.col("pos").cast("int").alias("pos"), F.col("value").cast("int").alias("value"))
 
 
+PIVOTS = 32
+
+
 def knn_exact(spark, sf):
     e = _emb(spark, sf)
-    nn = K.knn(e, e, 10, "cosine")
+    nn = K.knn(e, e, 10, "cosine", pivots=PIVOTS)
     return nn.select("query_id", "neighbor_id", "similarity", F.col("rank").cast("int").alias("rank"))
 
 
 def knn_metric(spark, sf):
-    """Top-10 under each of the five similarities, all scored in the same tasks."""
-    lad = K.truncate_ladder(_emb(spark, sf).select("vec_id", "embedding"), [16])
-    nn = K.knn(lad, lad, 10, ["tanimoto", "cosine", "dot", "euclidean", "manhattan"])
+    """Top-10 of whole vectors under each of the five similarities, all scored in the same tasks."""
+    e = _emb(spark, sf).select("vec_id", "embedding")
+    nn = K.knn(e, e, 10, ["tanimoto", "cosine", "dot", "euclidean", "manhattan"])
     return nn.select("metric", "query_id", "neighbor_id", "similarity", F.col("rank").cast("int").alias("rank"))
 
 
@@ -153,30 +155,25 @@ PRECISIONS = ("float32", "float16", "int8", "binary")
 
 def _precision_scores(spark, sf):
     """Gold = full-width float cosine of the pairs; prediction = cosine of both vectors after
-    truncation to d and the precision reduction of the configuration."""
+    truncation to d and the precision reduction of the configuration.  The pairs carry both whole
+    vectors once; every configuration is derived from them in the same rows."""
     e = _emb(spark, sf).select("vec_id", "embedding")
-    configs = []
-    for prec in PRECISIONS:
-        if prec == "float32":
-            v = e.select("vec_id", V.as_double("embedding").alias("v"))
-        elif prec == "float16":
-            v = e.select("vec_id", V.half_round("embedding").alias("v"))
-        elif prec == "int8":
-            v = Q.quantize_int8(e, "embedding", signed=True).select(
-                "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-        else:
-            v = e.select("vec_id", F.transform(V.unpack_bits(V.quantize_binary("embedding")), lambda x: x.cast("double")).alias("v"))
-        configs.append(v.withColumn("precision", F.lit(prec)))
-    vecs = configs[0]
-    for c in configs[1:]:
-        vecs = vecs.unionByName(c)
-    vecs = vecs.withColumn("dim", F.explode(F.array(*[F.lit(d) for d in D.LADDER])))
-    vecs = vecs.withColumn("v", V.truncate("v", F.col("dim")))
-    p = D.gold_pairs(spark, sf).select("id_a", "id_b", F.round(V.cosine("vec_a", "vec_b"), 6).alias("gold"))
-    a = vecs.select(F.col("vec_id").alias("id_a"), "precision", "dim", F.col("v").alias("va"))
-    b = vecs.select(F.col("vec_id").alias("id_b"), "precision", "dim", F.col("v").alias("vb"))
-    j = p.join(a, "id_a").join(b, ["id_b", "precision", "dim"])
-    return j.select("precision", "dim", "id_a", "id_b", "gold", F.round(V.cosine("va", "vb"), 6).alias("pred"))
+    ranges = Q.int8_ranges(e, "embedding").select("ranges").scalar()
+    p = D.gold_pairs(spark, sf).select("id_a", "id_b", "vec_a", "vec_b", F.round(V.cosine("vec_a", "vec_b"), 6).alias("gold"))
+
+    def bits(v):
+        return F.transform(F.col(v), lambda x: F.when(x > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+    for side in ("a", "b"):
+        p = p.withColumn(f"int8_{side}", F.col(f"vec_{side}")).withColumn(f"half_{side}", V.half_round(f"vec_{side}"))
+        p = p.withColumn(f"bit_{side}", bits(f"vec_{side}"))
+    p = Q.quantize_arrays(p, ["int8_a", "int8_b"], ranges)
+    sides = {"float32": "vec", "float16": "half", "int8": "int8", "binary": "bit"}
+    scores = [F.struct(F.lit(prec).alias("precision"), F.lit(d).alias("dim"),
+                       F.round(V.cosine(V.truncate(V.as_double(f"{c}_a"), d), V.truncate(V.as_double(f"{c}_b"), d)), 6).alias("pred"))
+              for prec, c in sides.items() for d in D.LADDER]
+    return p.select("id_a", "id_b", "gold", F.explode(F.array(*scores)).alias("_s")).select(
+        "_s.precision", "_s.dim", "id_a", "id_b", "gold", "_s.pred")
 
 
 def precision_sweep(spark, sf):
@@ -219,12 +216,6 @@ _E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddin
 _EX = "ex AS (SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS INTEGER) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"
 
 
-def _half_sql(x: str) -> str:
-    ulp = f"pow(2.0, greatest(floor(log2(abs({x}))), -14) - 10)"
-    r = f"(round_even({x} / {ulp}, 0) * {ulp})"
-    return f"(CASE WHEN {x} = 0 THEN {x} WHEN abs({r}) > 65504 THEN sign({x}) * 'inf'::DOUBLE ELSE {r} END)"
-
-
 def _norm_sql(v: str) -> str:
     return f"sqrt(list_dot_product({v}, {v}))"
 
@@ -260,8 +251,8 @@ sw AS (SELECT precision, dim, round(avg(abs(pred - gold)), 6) AS mae, round(avg(
 ORACLE = {
     "vec_l2_norm": f"SELECT vec_id, round({_norm_sql('list_slice(CAST(embedding AS DOUBLE[]), 1, 16)')}, 6) AS norm16, "
                    f"round({_norm_sql('CAST(embedding AS DOUBLE[])')}, 6) AS norm FROM embeddings",
-    "vec_normalize": f"""WITH {_EX}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ex WHERE pos < 16 GROUP BY vec_id)
-        SELECT vec_id, pos, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS value FROM ex JOIN n USING (vec_id) WHERE pos < 16""",
+    "vec_normalize": f"""WITH {_EX}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ex GROUP BY vec_id)
+        SELECT vec_id, pos, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS value FROM ex JOIN n USING (vec_id)""",
     "vec_truncate": f"WITH {_EX} SELECT vec_id, pos, round(x, 6) AS value FROM ex WHERE pos < 8",
     "vec_truncate_renorm": f"""WITH {_EX}, n AS (SELECT vec_id, sqrt(sum(x * x)) AS n FROM ex WHERE pos < 16 GROUP BY vec_id)
         SELECT vec_id, pos, round(CASE WHEN n > 0 THEN x / n ELSE x END, 6) AS value FROM ex JOIN n USING (vec_id) WHERE pos < 16""",
@@ -276,7 +267,7 @@ ORACLE = {
     "quantize_int8": "WITH " + _INT8_SQL.format(shift=" - 128"),
     "quantize_uint8": "WITH " + _INT8_SQL.format(shift=""),
     "knn_exact": "WITH " + _COSINE_TOPK_SQL + " SELECT query_id, neighbor_id, similarity, CAST(rank AS INTEGER) AS rank FROM top WHERE dim = 64",
-    "knn_metric": "WITH " + _LADDER_SQL + ", q AS (SELECT vec_id, v FROM n WHERE dim = 16)" + " UNION ALL ".join(
+    "knn_metric": "WITH " + _LADDER_SQL + ", q AS (SELECT vec_id, v FROM n WHERE dim = 64)" + " UNION ALL ".join(
         f""" SELECT '{m}' AS metric, query_id, neighbor_id, similarity, CAST(rank AS INTEGER) AS rank FROM (
              SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round({D.sql_similarity(m, 'a.v', 'b.v')}, 6) AS similarity,
                     row_number() OVER (PARTITION BY a.vec_id ORDER BY round({D.sql_similarity(m, 'a.v', 'b.v')}, 6) DESC, b.vec_id) AS rank
@@ -284,8 +275,8 @@ ORACLE = {
         for m in ("tanimoto", "cosine", "dot", "euclidean", "manhattan")),
     "recall_at_k": "WITH " + _COSINE_TOPK_SQL + """, truth AS (SELECT query_id, neighbor_id FROM top WHERE dim = 64),
         pred AS (SELECT query_id, neighbor_id FROM top WHERE dim = 16)
-        SELECT p.query_id, round(CAST(count(t.neighbor_id) AS DOUBLE) / 10, 6) AS accuracy
-        FROM pred p LEFT JOIN truth t USING (query_id, neighbor_id) GROUP BY p.query_id""",
+        SELECT t.query_id, round(CAST(count(p.neighbor_id) AS DOUBLE) / count(*), 6) AS accuracy
+        FROM truth t LEFT JOIN pred p USING (query_id, neighbor_id) GROUP BY t.query_id""",
     "join_overlap": "WITH " + _COSINE_TOPK_SQL + """, tt AS (SELECT query_id, neighbor_id FROM top WHERE dim = 64),
         pp AS (SELECT query_id, neighbor_id FROM top WHERE dim = 8)
         SELECT tt.query_id, count(pp.neighbor_id) AS common FROM tt LEFT JOIN pp USING (query_id, neighbor_id) GROUP BY tt.query_id""",
@@ -300,7 +291,7 @@ ORACLE = {
     "join_baseline": """WITH t AS (SELECT event_type AS config, user_id, round(avg(value), 6) AS mean_s FROM events GROUP BY event_type, user_id)
         SELECT t.config, t.user_id, t.mean_s, b.mean_s AS base_mean_s FROM t LEFT JOIN t b ON b.user_id = t.user_id AND b.config = 'click'""",
     "precision_sweep": "WITH " + _PREC_SQL + " SELECT * FROM sw",
-    "metric_delta": "WITH " + _PREC_SQL + ", lng AS (" + " UNION ALL ".join(
+    "metric_delta": "WITH " + _PREC_SQL.replace("sw AS (", "sw AS MATERIALIZED (") + ", lng AS (" + " UNION ALL ".join(
         f"SELECT precision || '@' || CAST(dim AS VARCHAR) AS config, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM sw"
         for m in ("mae", "mse", "rmse", "max_error", "spearman", "pearson")) + """),
         b AS (SELECT metric, value AS base FROM lng WHERE config = 'float32@64')

@@ -150,23 +150,20 @@ def test_density_hierarchy_splits_blobs(spark):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean", "tanimoto"])
-def test_broadcast_strategy_equals_blocked(spark, metric):
+def test_block_size_changes_nothing(spark, metric):
     df, m = _vectors(spark, n=250, d=8, seed=5)
     queries = df.where("vec_id % 7 = 0")
-    a = K.knn(queries, df, 5, metric, strategy="broadcast").toPandas()
+    a = K.knn(queries, df, 5, metric).toPandas()
     b = K.knn(queries, df, 5, metric, block_rows=40).toPandas()
     key = ["query_id", "rank"]
     assert a.sort_values(key).reset_index(drop=True)[["query_id", "neighbor_id", "similarity", "rank"]].equals(
         b.sort_values(key).reset_index(drop=True)[["query_id", "neighbor_id", "similarity", "rank"]])
-    with pytest.raises(ValueError):
-        K.knn(queries, df, 5, metric, strategy="broadcast", broadcast_bytes=10)
 
 
-@pytest.mark.parametrize("strategy", ["blocked", "broadcast"])
-def test_multi_metric_equals_single_calls(spark, strategy):
+def test_multi_metric_equals_single_calls(spark):
     df, _ = _vectors(spark, n=150, d=6, seed=8)
-    multi = K.knn(df, df, 4, ["cosine", "manhattan"], strategy=strategy, block_rows=40).toPandas()
+    multi = K.knn(df, df, 4, ["cosine", "manhattan"], block_rows=40).toPandas()
     for m in ("cosine", "manhattan"):
-        one = K.knn(df, df, 4, m, strategy=strategy, block_rows=40).toPandas()
+        one = K.knn(df, df, 4, m, block_rows=40).toPandas()
         got = multi[multi.metric == m].drop(columns="metric").sort_values(["query_id", "rank"]).reset_index(drop=True)
         assert got.equals(one.sort_values(["query_id", "rank"]).reset_index(drop=True)[got.columns])
