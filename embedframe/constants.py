@@ -4,8 +4,7 @@ Fixed values (kept together, in natural order; everything else in the package is
 from these or is our own choice):
 """
 
-# Similarity names accepted by name, the alias, and the default.
-SIMILARITY_NAMES = ("tanimoto", "cosine", "dot", "dot_product", "euclidean", "manhattan")
+# The similarity used when none is named.
 DEFAULT_SIMILARITY = "cosine"
 
 # Floor of the continuous Tanimoto denominator.
@@ -26,8 +25,8 @@ SIMILARITY_CUTOFF = 0.7
 # Count simulation thresholds of hashed fingerprints (one bit each per bucket).
 COUNT_THRESHOLDS = (1, 2, 4, 8)
 
-# The mask written over a segment, "[*{start-end}]".
-MASK_TEMPLATE = "[*{{{start}-{end}}}]"
+# The mask written over a segment, from its length to its longest length.
+MASK_TEMPLATE = "[*{%d-%d}]"
 
 # Largest finite IEEE half-precision value.
 HALF_MAX = 65504.0
@@ -37,6 +36,3 @@ WEIGHT_DECAY_FACTOR = 0.05
 
 # File extension → reader format (anything else is read as Parquet).
 EXTENSION_FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json"}
-
-# Quartiles reported by describe.
-DESCRIBE_QUANTILES = (0.25, 0.5, 0.75)

@@ -23,6 +23,7 @@ from . import vectors as V
 
 Encoder = Callable[[list[str]], np.ndarray]
 
+MAX_CACHED_TOKENS = 200_000  # in a worker; the rest is hashed again
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
 
@@ -37,6 +38,8 @@ def hashed_token_encoder(dim: int = 64) -> Encoder:
         b = cache.get(tok)
         if b is None:
             b = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim
+            if len(cache) >= MAX_CACHED_TOKENS:
+                cache.clear()
             cache[tok] = b
         return b
 
@@ -104,7 +107,7 @@ def _ratio(text: Column, pattern: str) -> Column:
     return F.when(n > 0, hits.cast("double") / n).otherwise(F.lit(0.0))
 
 
-# The built-in scorer names.
+# The built-in scorers by name.
 _SCORERS: dict[str, Callable[[Column], Column]] = {
     "n_chars": lambda t: F.length(t).cast("double"),
     "n_tokens": _n_tokens,
@@ -142,30 +145,27 @@ def sentence_drop_generator(num_generate: int = 3, sep: str = ".") -> Callable[[
     return factory
 
 
-def generate_candidates(df: DataFrame, id_col: str, text_col: str, lane_col: str, n_lanes: int,
+def generate_candidates(df: DataFrame, id_col: str, text_col: str, lane_col: str,
                         generator_factory: Callable[[], Generator]) -> DataFrame:
-    """(id, cand_idx, candidate) for every reference; rows are spread over ``n_lanes`` tasks by
-    their lane, and each task builds its generator once."""
-    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("cand_idx", T.IntegerType()),
-                           T.StructField("candidate", T.StringType())])
+    """(id, lane, cand_idx, candidate, error) for every reference.  Rows are dealt by (lane, id), so a
+    lane that holds most rows takes many tasks; each task builds its generator once.  A reference whose
+    generator fails gives one row with the error and no candidate, so failures can be counted."""
+    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField(lane_col, T.IntegerType()), T.StructField("cand_idx", T.IntegerType()),
+                           T.StructField("candidate", T.StringType()), T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = generator_factory()
         for pdf in batches:
-            ids, idx, cands = [], [], []
-            for rid, text in zip(pdf[id_col], pdf[text_col]):
+            rows = []
+            for rid, text, lane in zip(pdf[id_col].tolist(), pdf[text_col].tolist(), pdf[lane_col].tolist()):
                 try:
-                    out = gen(text) if text is not None else []
-                except Exception:  # noqa: BLE001 - a failed reference gives no candidates
-                    out = []
-                for j, c in enumerate(out):
-                    ids.append(int(rid))
-                    idx.append(j)
-                    cands.append(c)
-            yield pd.DataFrame({id_col: pd.Series(ids, dtype="int64"), "cand_idx": pd.Series(idx, dtype="int32"),
-                                "candidate": pd.Series(cands, dtype=object)})
-
-    return df.select(id_col, text_col, lane_col).repartition(n_lanes, lane_col).mapInPandas(run, schema)
+                    rows += [(rid, lane, j, c, None) for j, c in enumerate(gen(text) if text is not None else [])]
+                except Exception as e:  # noqa: BLE001 - one failed reference must not end the job
+                    rows.append((rid, lane, None, None, f"{type(e).__name__}: {e}"))
+            out = pd.DataFrame(rows, columns=[f.name for f in schema.fields])
+            yield out.astype({id_col: "int64", lane_col: "int32", "cand_idx": "Int32"})
+
+    return df.select(id_col, text_col, F.col(lane_col).cast("int").alias(lane_col)).repartition(lane_col, id_col).mapInPandas(run, schema)
 
 
 def cosine_squared(a, b) -> Column:

@@ -140,7 +140,6 @@ def angle(a: ColumnLike, b: ColumnLike) -> Column:
 
 SimilarityFn = Callable[[ColumnLike, ColumnLike], Column]
 
-# names from constants.SIMILARITY_NAMES
 _SIMILARITIES: dict[str, SimilarityFn] = {
     "tanimoto": tanimoto,
     "cosine": cosine,

@@ -49,8 +49,8 @@ def topk_per_group(df: DataFrame, group_cols: Sequence[str], order: Sequence[Col
 def best_per_group(df: DataFrame, group_cols: Sequence[str], score_col: str, tiebreak: Sequence[str]) -> DataFrame:
     """The best row per group (highest score, then the smallest tiebreak columns)."""
     others = [c for c in df.columns if c not in group_cols]
-    key = F.struct(F.col(score_col), *[(-F.col(c)) for c in tiebreak])
-    return (df.groupBy(*group_cols).agg(F.max_by(F.struct(*others), key).alias("_b"))
+    key = F.struct(F.col(score_col).isNull(), -F.col(score_col), *tiebreak)  # smallest first; any orderable tiebreak
+    return (df.groupBy(*group_cols).agg(F.min_by(F.struct(*others), key).alias("_b"))
             .select(*group_cols, *[F.col(f"_b.{c}").alias(c) for c in others]))
 
 
@@ -67,12 +67,13 @@ def batch_index(df: DataFrame, order_cols: Sequence[str], size: int) -> DataFram
 
 
 def check_lanes(fractions: Sequence[float], lanes: Sequence[int]) -> None:
-    if len(fractions) != len(lanes):
-        raise ValueError(f"number of fractions ({len(fractions)}) must match number of segments ({len(lanes)})")
-    if abs(sum(fractions) - 1.0) > 1e-5:
-        raise ValueError(f"fractions must sum to 1.0, got {sum(fractions)}")
-    if any(m < 1 for m in lanes):
-        raise ValueError("every segment needs at least one lane")
+    """Each segment has a share of the rows and a positive number of lanes; shares make up the whole."""
+    if empty := [i for i, m in enumerate(lanes) if m < 1]:
+        raise ValueError(f"segments without a lane: {empty}")
+    if len(lanes) != len(fractions):
+        raise ValueError(f"{len(lanes)} lane counts for {len(fractions)} shares")
+    if abs(1.0 - (whole := sum(fractions))) > 1e-5:
+        raise ValueError(f"the shares make up {whole:g} of the rows, not 1")
 
 
 def weighted_lanes(df: DataFrame, order_cols: Sequence[str], fractions: Sequence[float],
@@ -133,10 +134,7 @@ def mask_segment(df: DataFrame, id_col: str, text_col: str, seed: int = 0, min_t
         n = F.lit(min_tokens) + F.pmod(hash_int(F.lit(seed), F.col(id_col), rnd, F.lit("len")), F.lit(max_tokens - min_tokens))
     out = df.withColumn("_segs", segs).withColumn("seg_pos", pos.cast("int")).withColumn("n_tokens", n.cast("int"))
     length = F.length(F.get(F.col("_segs"), F.col("seg_pos")))
-    head, rest = C.MASK_TEMPLATE.format(start="\0", end="\1").split("\0")
-    mid, tail = rest.split("\1")
-    out = out.withColumn("mask", F.concat(F.lit(head), length.cast("string"), F.lit(mid),
-                                          (length + F.col("n_tokens")).cast("string"), F.lit(tail)))
+    out = out.withColumn("mask", F.format_string(C.MASK_TEMPLATE, length, length + F.col("n_tokens")))
     # slices around the chosen segment: no lambda, so nothing per-row is re-evaluated per element
     masked = F.array_join(F.concat(F.slice("_segs", F.lit(1), F.col("seg_pos")), F.array(F.col("mask")),
                                    F.slice("_segs", F.col("seg_pos") + 2, F.greatest(F.size("_segs"), F.lit(1)))), sep)
@@ -175,7 +173,7 @@ def fragment_pair_combine(fragments: DataFrame, frag_col: str, seed: int = 0, jo
                                   F.concat(F.col("left"), F.lit(joiner), F.col("right")).alias("combined"))
 
 
-# The feature families and the pattern that marks each (re-aimed at text).
+# The feature families and the pattern that marks each (re-aimed at text).
 FEATURE_FAMILIES: Mapping[str, str] = {
     "digit": r"[0-9]",
     "email": r"[\w.+-]+@[\w-]+\.[\w.]+",

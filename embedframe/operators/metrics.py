@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from ..session import reliable_checkpoint
-from .ordering import average_ranks, running_sum_before
+from .ordering import running_logsumexp_before, average_ranks, running_sum_before
 from .. import constants as C
 
 
@@ -253,26 +253,27 @@ def cosent_loss(df: DataFrame, batch_col: str, label_col: str, score_col: str, s
                 digits: int | None = 6) -> DataFrame:
     """CoSENT per batch: ln(1 + Σ_{label_i > label_j} exp(scale·(s_j − s_i))).
 
-    Σ_{i,j} exp(λ s_j)·exp(−λ s_i) = Σ_j exp(λ(s_j − m))·A_j with m = min s of the batch and
-    A_j = Σ_{label_i > label_j} exp(−λ(s_i − m)), a suffix sum over the label order computed by
-    ``running_sum_before`` on the (batch, label) table.  Terms stay ≤ exp(λ·range).
+    With I(l) = log Σ_{label = l} exp(−λ s) and J(l) = log Σ_{label = l} exp(λ s), the sum's logarithm is the
+    log-sum-exp over labels of J(l) plus the log-sum-exp of I over greater labels, a running one on
+    the (batch, label) table.  All sums are relative to their maxima, so scores of any range do.
     """
     lam = float(scale)
-    s = F.col(score_col).cast("double")
-    base = df.select(batch_col, label_col, s.alias("_s"))
-    m = base.groupBy(batch_col).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    b = base.join(m, batch_col)
-    per_label = b.groupBy(batch_col, label_col, "_lo", "_hi").agg(
-        F.sum(F.exp(-lam * (F.col("_s") - F.col("_lo")))).alias("_wi"),
-        F.sum(F.exp(lam * (F.col("_s") - F.col("_hi")))).alias("_wj"))
-    # A for a label = Σ of _wi over strictly greater labels: running sum in descending order.
-    suff = running_sum_before(per_label, [F.col(label_col).desc()], [batch_col], "_wi", "_above")
-    # Σ_j exp(λ(s_j − m))·A_j = exp(λ(M − m)) · Σ_labels _wj · A
-    tot = suff.groupBy(batch_col, "_lo", "_hi").agg(F.sum(F.col("_wj") * F.col("_above")).alias("_t"))
-    log_t = F.log(F.col("_t")) + lam * (F.col("_hi") - F.col("_lo"))
-    softplus = F.when(F.col("_t") <= 0, F.lit(0.0)).otherwise(
+    base = df.select(batch_col, label_col, F.col(score_col).cast("double").alias("_s"))
+    ends = base.groupBy(batch_col, label_col).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    ends = ends.select(F.col(batch_col).alias("_b"), F.col(label_col).alias("_l"), "_lo", "_hi")
+    b = base.join(ends, F.col(batch_col).eqNullSafe(F.col("_b")) & F.col(label_col).eqNullSafe(F.col("_l")))
+    per_label = b.groupBy(batch_col, label_col).agg(
+        (F.log(F.sum(F.exp(-lam * (F.col("_s") - F.col("_lo"))))) - lam * F.first("_lo")).alias("_i"),
+        (F.log(F.sum(F.exp(lam * (F.col("_s") - F.col("_hi"))))) + lam * F.first("_hi")).alias("_j"))
+    above = running_logsumexp_before(per_label, [F.col(label_col).desc()], [batch_col], "_i", "_above")
+    terms = above.select(batch_col, (F.col("_j") + F.col("_above")).alias("_t"))
+    top = terms.groupBy(batch_col).agg(F.max("_t").alias("_top")).withColumnRenamed(batch_col, "_b")
+    total = (terms.join(top, F.col(batch_col).eqNullSafe(F.col("_b"))).groupBy(batch_col)
+             .agg(F.first("_top").alias("_top"), F.sum(F.exp(F.col("_t") - F.col("_top"))).alias("_sum")))
+    log_t = F.col("_top") + F.log("_sum")
+    softplus = F.when(F.col("_top") == float("-inf"), F.lit(0.0)).otherwise(
         F.greatest(log_t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(log_t))))
-    return tot.select(batch_col, _r(softplus, digits).alias("loss"))
+    return total.select(batch_col, _r(softplus, digits).alias("loss"))
 
 
 # --- pointwise and classification losses ------------------------------------------------------
@@ -312,7 +313,7 @@ def self_adjusting_dice_loss(df: DataFrame, logits: str, label: str, by: Sequenc
                              digits: int | None = 6) -> DataFrame:
     """p = softmax(logits)[label]; f = (1 − p)^α·p; loss = 1 − (2f + γ)/(f + 1 + γ); mean or sum."""
     if reduction not in ("mean", "sum"):
-        raise NotImplementedError(f"reduction {reduction!r} is not supported")
+        raise ValueError(f"unknown reduction {reduction!r}; expected 'mean' or 'sum'")
     p = F.exp(F.get(F.col(logits), F.col(label)).cast("double") - V.logsumexp(logits))
     f = F.pow(F.lit(1.0) - p, F.lit(alpha)) * p
     loss = F.lit(1.0) - (2.0 * f + gamma) / (f + 1.0 + gamma)

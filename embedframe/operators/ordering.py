@@ -15,10 +15,13 @@ task.  ``running_sum_before`` computes the same positions in three distributed s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, reliable_checkpoint
 
@@ -64,6 +67,52 @@ def running_sum_before(df: DataFrame, order_cols: Sequence[str | Column], group_
     return out.drop(*drop)
 
 
+def running_logsumexp_before(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str], value_col: str,
+                             out_col: str = "_before", partitions: int | None = None) -> DataFrame:
+    """Adds ``out_col`` = log Σ exp(``value_col``) over the rows strictly before this one in
+    ``(group_cols, order_cols)`` order, within the group; −∞ for the first.
+
+    The same three steps as ``running_sum_before``, in the log domain, so values of any size neither
+    overflow nor vanish.  The order must be unique within a group."""
+    spark = df.sparkSession
+    group_cols = list(group_cols)
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    ranged = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_local", T.DoubleType()), T.StructField("_upto", T.DoubleType())])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, so_far = None, -np.inf
+        for pdf in batches:
+            before = np.empty(len(pdf))
+            upto = np.empty(len(pdf))
+            group = pdf[group_cols].apply(tuple, axis=1).tolist() if group_cols else [()] * len(pdf)
+            cuts = [i for i in range(len(group)) if not i or group[i] != group[i - 1]] + [len(group)]
+            for a, b in zip(cuts, cuts[1:]):
+                if group[a] != at:
+                    at, so_far = group[a], -np.inf
+                run = np.logaddexp.accumulate(np.concatenate([[so_far], pdf[value_col].to_numpy(np.float64)[a:b]]))
+                before[a:b], upto[a:b], so_far = run[:-1], run[1:], run[-1]
+            yield pdf.assign(_local=before, _upto=upto)
+
+    local = reliable_checkpoint(ranged.mapInPandas(scan, schema))
+    totals = local.groupBy("_pid", *group_cols).agg(F.max("_upto").alias("_tot"))
+    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.withColumn("_all", F.collect_list("_tot").over(w)).where(F.size("_all") > 0)  # at most a value per partition
+    top = F.array_max("_all")
+    off = top + F.log(F.aggregate("_all", F.lit(0.0), lambda acc, x: acc + F.exp(x - top)))
+    offsets = earlier.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(["_pid", *group_cols])], off.alias("_off"))
+    cond = None
+    for i, c in enumerate(["_pid", *group_cols]):
+        term = local[c].eqNullSafe(offsets[f"_o{i}"])
+        cond = term if cond is None else cond & term
+    # only the first group of a partition can continue an earlier one: a row per partition at most
+    joined = local.join(F.broadcast(offsets), cond, "left")
+    hi, lo = F.greatest("_local", "_off"), F.least("_local", "_off")
+    both = F.when(F.col("_off").isNull(), F.col("_local")).when(lo == float("-inf"), hi).otherwise(hi + F.log1p(F.exp(lo - hi)))
+    return joined.withColumn(out_col, both).select(*df.columns, out_col)
+
+
 def global_row_number(df: DataFrame, order_cols: Sequence[str | Column], group_cols: Sequence[str] = (),
                       out_col: str = "row_number", partitions: int | None = None) -> DataFrame:
     """1-based position of each row in ``(group, order)`` order, distributed (see module doc)."""

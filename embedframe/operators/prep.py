@@ -45,30 +45,19 @@ def seeded_key(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-# Up to this n a top-n is cheapest (each partition keeps n rows; one task merges n per
-# partition); above it the rows are numbered with the distributed ordering instead.
-TOP_N_LOCAL_LIMIT = 10_000
-
-
 def sample_exact(df: DataFrame, n: int, seed: int | str, id_col: str, on_short: str = "error") -> DataFrame:
     """Exactly ``n`` rows chosen by the seeded md5 order (ties by id).  ``on_short='error'``
     raises when the table has fewer than n rows, ``'clip'`` returns them all.
 
-    Small n runs as a top-n (each partition keeps n rows, one task merges ≤ n·partitions).
-    Large n numbers the rows with the distributed ordering instead, so no task merges
-    n rows from every partition.
-    """
+    The rows are numbered with the distributed ordering, so no task merges n rows from every
+    partition, however large n is."""
     if on_short not in ("error", "clip"):
         raise ValueError("on_short must be 'error' or 'clip'")
-    if on_short == "error":
-        total = df.count()
-        if total < n:
-            raise ValueError(f"requested {n} rows but the table has {total}")
-    key = seeded_key(seed, id_col)
-    if n <= TOP_N_LOCAL_LIMIT:
-        return df.orderBy(key, F.col(id_col)).limit(n)
-    numbered = global_row_number(df.withColumn("_sk", key), ["_sk", id_col], out_col="_rn")
-    return numbered.where(F.col("_rn") <= n).drop("_sk", "_rn")
+    numbered = global_row_number(df.withColumn("_sk", seeded_key(seed, id_col)), ["_sk", id_col], out_col="_rn")
+    out = numbered.where(F.col("_rn") <= n).drop("_sk", "_rn")
+    if on_short == "error" and (total := df.count()) < n:
+        raise ValueError(f"requested {n} rows but the table has {total}")
+    return out
 
 
 # --- de-duplication ---------------------------------------------------------------------------
@@ -78,17 +67,23 @@ def dedupe_keep_first(df: DataFrame, key_cols: Sequence[str], order_col: str) ->
 
     ``min_by`` over a struct of the row is an ordinary aggregate with a map-side partial
     step, so a key repeated in a third of the table is collapsed on every partition before
-    the shuffle instead of being sorted in one window task.
+    the shuffle instead of being sorted in one window task.  NULLs of ``order_col`` come last; a key
+    with nothing else keeps one of its rows.
     """
     others = [c for c in df.columns if c not in key_cols]
-    agg = df.groupBy(*key_cols).agg(F.min_by(F.struct(*others), F.col(order_col)).alias("_first"))
+    first = F.struct(F.col(order_col).isNull(), F.col(order_col))
+    agg = df.groupBy(*key_cols).agg(F.min_by(F.struct(*others), first).alias("_first"))
     return agg.select(*key_cols, *[F.col(f"_first.{c}").alias(c) for c in others]).select(*df.columns)
 
 
+DAMAGED = r"[\x00-\x08\x0E-\x1F\x{FFFD}]"
+
+
 def canonical_text(text: Column) -> Column:
-    """Primary canonical form: lower case, whitespace runs collapsed, trimmed; NULL if empty."""
+    """Primary canonical form: lower case, whitespace runs collapsed, trimmed; NULL if empty, or if the
+    text is damaged (control or replacement characters)."""
     t = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    return F.when(F.length(t) > 0, t)
+    return F.when((F.length(t) > 0) & ~text.rlike(DAMAGED), t)
 
 
 def fallback_text(text: Column) -> Column:
@@ -175,26 +170,27 @@ def split_sizes(tagged: DataFrame, dataset_col: str = "dataset", split_col: str
         F.round(F.lit(C.WEIGHT_DECAY_FACTOR) * F.sqrt(F.lit(b) / (F.col("split_rows") * b * epochs)), 12).alias("weight_decay"))
 
 
-MAX_COMPLETED_NAMES = 100_000
-
-
 def pending_inputs(inputs: DataFrame, name_col: str, wanted: Sequence[str], completed: DataFrame,
-                   completed_col: str, max_completed: int = MAX_COMPLETED_NAMES) -> DataFrame:
+                   completed_col: str) -> DataFrame:
     """Names that contain any wanted substring and contain none of the completed names, sorted
-    descending.  The "completed" test is a substring test, so it is a non-equi anti join that
-    compares each candidate with every completed name: the completed side is one row per
-    finished input file, its size is counted and it is broadcast only within ``max_completed``."""
+    descending.
+
+    "Contains a completed name" is an equality join: each candidate is cut into its substrings of
+    the lengths that completed names have (names are short, so there are few lengths), and one
+    that equals a completed name rules the candidate out."""
     cond = None
     for w in wanted:
         term = F.col(name_col).contains(w)
         cond = term if cond is None else cond | term
     cand = inputs.select(name_col).distinct().where(cond)
-    done = completed.select(F.col(completed_col).alias("_done")).distinct()
-    n_done = done.count()
-    if n_done > max_completed:
-        raise ValueError(f"{n_done} completed names exceed the broadcast limit of {max_completed}")
-    return (cand.join(F.broadcast(done), F.instr(F.col(name_col), F.col("_done")) > 0, "left_anti")
-            .orderBy(F.col(name_col).desc()))
+    done = completed.select(F.col(completed_col).alias("_done")).where(F.col("_done").isNotNull()).distinct()
+    lengths = done.agg(F.collect_set(F.length("_done"))).scalar()
+    cut = cand.withColumn("_lengths", lengths).withColumn("_n", F.explode("_lengths"))
+    cut = cut.withColumn("_at", F.explode(F.when(F.col("_n") == 0, F.array(F.lit(1))).when(
+        F.length(name_col) >= F.col("_n"), F.sequence(F.lit(1), F.length(name_col) - F.col("_n") + 1)).otherwise(F.array().cast("array<int>"))))
+    cut = cut.select(name_col, F.substring(F.col(name_col), F.col("_at"), F.col("_n")).alias("_done"))
+    seen = cut.join(done, "_done", "left_semi").select(name_col).distinct()
+    return cand.join(seen, name_col, "left_anti").orderBy(F.col(name_col).desc())
 
 
 # --- set operations -------------------------------------------------------------------------
@@ -214,9 +210,11 @@ def library_update(library: DataFrame, candidates: DataFrame, key_col: str, scor
     """Drop candidates with a NULL score, a score not above the current minimum (0.0 for an
     empty library) or a key already in the library; append the rest; keep the n best.
 
-    The minimum is one aggregated value (scalar subquery); the seen-check is an anti join."""
+    A key is held once, with its best score.  The minimum is one aggregated value (scalar subquery);
+    the seen-check is an anti join."""
     current_min = library.agg(F.coalesce(F.min(score_col).cast("double"), F.lit(0.0))).scalar()
     fresh = (candidates.where(F.col(score_col).isNotNull() & (F.col(score_col).cast("double") > current_min))
              .join(library.select(key_col), key_col, "left_anti"))
     merged = library.select(key_col, score_col).unionByName(fresh.select(key_col, score_col))
-    return merged.orderBy(F.col(score_col).desc(), F.col(key_col)).limit(top_n)
+    best = merged.groupBy(key_col).agg(F.max(score_col).alias(score_col))
+    return best.orderBy(F.col(score_col).desc(), F.col(key_col)).limit(top_n)

@@ -12,8 +12,6 @@ from ..sources import io
 from ..sources.tables import table
 from . import derived as D
 
-LANGS = ("en", "fr", "de", "es")
-
 
 def _docs(spark, sf):
     return table(spark, sf, "documents")
@@ -30,7 +28,7 @@ def scan_required_columns(spark, sf):
 def scan_headerless(spark, sf):
     path = scratch_path(spark, "headerless")
     _docs(spark, sf).select("source", F.col("doc_id").cast("string")).write.option("sep", " ").csv(path)
-    return io.scan_headerless(spark, path, ("smiles", "zinc_id"))
+    return io.scan_headerless(spark, path, ("source", "doc_id"))
 
 
 def scan_row_range(spark, sf, offset: int = 100, n: int = 500):
@@ -38,22 +36,17 @@ def scan_row_range(spark, sf, offset: int = 100, n: int = 500):
     return numbered.where((F.col("row_number") > offset) & (F.col("row_number") <= offset + n))
 
 
-def _split_parts(spark, sf):
-    d = _docs(spark, sf).select("doc_id", P.hash_split("doc_id").alias("_split"))
-    docs = _docs(spark, sf)
-    parts = {}
-    for split in ("train", "val", "test"):
-        parts[split] = {lang: docs.where(F.col("lang") == lang).join(d.where(F.col("_split") == split), "doc_id")
-                        .select("doc_id") for lang in LANGS}
-    return parts
+def _tagged(spark, sf):
+    """Every document with its dataset (the language) and split: one scan, two columns."""
+    return _docs(spark, sf).select(F.col("lang").alias("dataset"), P.hash_split("doc_id").alias("split"), "doc_id")
 
 
 def split_union(spark, sf):
-    return P.split_union(_split_parts(spark, sf)).select("dataset", "split", "doc_id")
+    return _tagged(spark, sf)
 
 
 def split_sizes(spark, sf):
-    return P.split_sizes(P.split_union(_split_parts(spark, sf)), batch_size=32)
+    return P.split_sizes(_tagged(spark, sf), batch_size=32)
 
 
 def pending_inputs(spark, sf):
@@ -170,7 +163,7 @@ def label_head(spark, sf):
 
 def union_all(spark, sf):
     docs = _docs(spark, sf).select("doc_id", "lang")
-    return P.union_all([docs.where(F.col("lang") == lang) for lang in LANGS])
+    return P.union_all([docs.where(P.hash_split("doc_id") == s) for s in ("train", "val", "test")])
 
 
 def union_distinct(spark, sf):
@@ -189,7 +182,7 @@ def except_ids(spark, sf):
 
 def library_update(spark, sf):
     docs = _docs(spark, sf).select(F.col("text").alias("key"), F.col("n_chars").cast("double").alias("score"), "lang")
-    lib = docs.where(F.col("lang") == "en").orderBy(F.desc("score"), "key").limit(50).select("key", "score")
+    lib = docs.where(F.col("lang") == "en").groupBy("key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "key").limit(50)
     cand = docs.where(F.col("lang") != "en").select("key", "score")
     return P.library_update(lib, cand, "key", "score", 50).select(F.md5("key").alias("key_md5"), "score")
 
@@ -247,7 +240,7 @@ QUERIES = {
 
 _SPLIT = ("CASE WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 8 THEN 'train' "
           "WHEN CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 9 THEN 'val' ELSE 'test' END")
-_TAGGED = f"tg AS (SELECT lang AS dataset, {_SPLIT} AS split, doc_id FROM documents WHERE lang IN ('en', 'fr', 'de', 'es'))"
+_TAGGED = f"tg AS (SELECT lang AS dataset, {_SPLIT} AS split, doc_id FROM documents)"
 _NORM = "sqrt(list_dot_product(CAST(list_slice(embedding, 1, d) AS DOUBLE[]), CAST(list_slice(embedding, 1, d) AS DOUBLE[])))"
 
 ORACLE = {
@@ -257,7 +250,7 @@ ORACLE = {
         AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.source <= 'src3' AND l.text = d.text)""",
     "scan_by_extension": "SELECT doc_id, lang, n_chars FROM documents",
     "scan_required_columns": "SELECT source, doc_id, lang FROM documents",
-    "scan_headerless": "SELECT source AS smiles, CAST(doc_id AS VARCHAR) AS zinc_id FROM documents",
+    "scan_headerless": "SELECT source, CAST(doc_id AS VARCHAR) AS doc_id FROM documents",
     "scan_row_range": """SELECT doc_id, lang, row_number FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS row_number
         FROM documents) WHERE row_number > 100 AND row_number <= 600""",
     "split_union": f"WITH {_TAGGED} SELECT dataset, split, doc_id FROM tg",
@@ -291,7 +284,7 @@ ORACLE = {
     "dedupe_keep_first": """SELECT doc_id, lang, source FROM documents
         QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
     "dedupe_canonical": r"""WITH k AS (SELECT doc_id, coalesce(
-            nullif(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ''),
+            CASE WHEN NOT regexp_matches(text, '[\x00-\x08\x0E-\x1F\x{FFFD}]') THEN nullif(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '') END,
             nullif(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g'), '')) AS canonical FROM documents)
         SELECT doc_id, md5(canonical) AS key_md5 FROM k WHERE canonical IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY doc_id) = 1""",
@@ -302,15 +295,15 @@ ORACLE = {
     "label_head": """SELECT vec_id, label, CAST(label AS VARCHAR) || ' - prob: ' ||
         format('{:.2f}', round(abs(CAST(embedding[1] AS DOUBLE)), 2)) AS legend
         FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 5""",
-    "union_all": "SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'es')",
+    "union_all": "SELECT doc_id, lang FROM documents",
     "union_distinct": "SELECT md5(text) AS text_md5 FROM documents UNION SELECT md5(text) FROM benchmark",
     "intersect_ids": "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels",
     "except_ids": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "library_update": """WITH docs AS (SELECT text AS key, CAST(n_chars AS DOUBLE) AS score, lang FROM documents),
-        lib AS (SELECT key, score FROM docs WHERE lang = 'en' ORDER BY score DESC, key LIMIT 50),
+        lib AS (SELECT key, max(score) AS score FROM docs WHERE lang = 'en' GROUP BY key ORDER BY score DESC, key LIMIT 50),
         mn AS (SELECT coalesce(min(score), 0.0) AS m FROM lib),
         fresh AS (SELECT key, score FROM docs, mn WHERE lang <> 'en' AND score IS NOT NULL AND score > m
                   AND key NOT IN (SELECT key FROM lib)),
-        merged AS (SELECT * FROM lib UNION ALL SELECT * FROM fresh)
+        merged AS (SELECT key, max(score) AS score FROM (SELECT * FROM lib UNION ALL SELECT * FROM fresh) GROUP BY key)
         SELECT md5(key) AS key_md5, score FROM merged ORDER BY score DESC, key LIMIT 50""",
 }

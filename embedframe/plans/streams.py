@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import udfs as U
 from ..functions import vectors as V
 from ..operators import candidates as C
-from ..operators import prep as P
 from ..session import scratch_path
 from ..sources.tables import table
 from ..streaming import ingest as S
@@ -31,22 +30,19 @@ def ingest_incremental(spark, sf):
                        "vec_id", F.size("embedding").alias("n"), F.round(V.l2_norm("embedding"), 6).alias("norm"))
 
 
-DONE_BEFORE = 512  # batch start reached by the earlier (interrupted) run
-
-
 def resume_by_batch(spark, sf):
+    """Two of three batches were written by an interrupted run of parallel writers; the others remain."""
     indexed = C.batch_index(table(spark, sf, "documents").select("doc_id"), ["doc_id"], 64)
     path = scratch_path(spark, "resume-sink")
-    indexed.where(F.col("batch_start") < DONE_BEFORE).write.parquet(path)
-    sink = spark.read.parquet(path)
-    return S.remaining_rows(indexed, sink, "batch_start", 64).select("doc_id", "batch_start")
+    indexed.where(F.floor(F.col("batch_start") / 64) % 3 != 1).write.parquet(path)
+    return S.remaining_rows(indexed, spark.read.parquet(path), "batch_start").select("doc_id", "batch_start")
 
 
 def library_update_stream(spark, sf):
     base = scratch_path(spark, "library")
     docs = table(spark, sf, "documents").select(F.col("text").alias("key"), F.col("n_chars").cast("double").alias("score"),
                                                 "lang", "doc_id")
-    lib0 = docs.where(F.col("lang") == "en").orderBy(F.desc("score"), "key").limit(50).select("key", "score")
+    lib0 = docs.where(F.col("lang") == "en").groupBy("key").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "key").limit(50)
     lib0.write.parquet(f"{base}/lib/v=0")
     cands = docs.where(F.col("lang") != "en")
     for part in range(3):
@@ -67,18 +63,18 @@ SCORERS = ("n_chars", "n_tokens", "digit_ratio", "upper_ratio")
 
 
 def score_function(spark, sf):
+    """Every scorer in one pass over the documents."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    parts = [d.select("doc_id", F.lit(n).alias("name"), F.round(U.score_function(n)(F.col("text")), 6).alias("score"))
-             for n in SCORERS]
-    return P.union_all(parts)
+    scores = [F.struct(F.lit(n).alias("name"), F.round(U.score_function(n)(F.col("text")), 6).alias("score")) for n in SCORERS]
+    return d.select("doc_id", F.explode(F.array(*scores)).alias("_s")).select("doc_id", "_s.name", "_s.score")
 
 
 def generate_candidates(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     lanes = C.weighted_lanes(d.select("doc_id"), ["doc_id"], [0.4, 0.6], [2, 1])
     refs = d.join(lanes, "doc_id")
-    out = U.generate_candidates(refs, "doc_id", "text", "lane", 3, U.sentence_drop_generator(3))
-    return out.select("doc_id", "cand_idx", F.md5("candidate").alias("candidate_md5"))
+    out = U.generate_candidates(refs, "doc_id", "text", "lane", U.sentence_drop_generator(3))
+    return out.where("error IS NULL").select("doc_id", "cand_idx", F.md5("candidate").alias("candidate_md5"))
 
 
 def custom_similarity(spark, sf):
@@ -106,7 +102,7 @@ ORACLE = {
         CAST(d AS INTEGER) AS n, round(CASE WHEN d < 64 AND {_NORM} > 0 THEN 1.0 ELSE {_NORM} END, 6) AS norm
         FROM embeddings CROSS JOIN (VALUES (64), (32), (16), (8)) t(d)""",
     "resume_by_batch": """SELECT doc_id, batch_start FROM (SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64) * 64 AS batch_start
-        FROM documents) WHERE batch_start >= 512""",
+        FROM documents) WHERE (batch_start // 64) % 3 = 1""",
     "embed_batches": f"""WITH tk AS (SELECT doc_id, unnest({_TOK}) AS tok FROM documents),
         c AS (SELECT doc_id, CAST(CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % 64 AS INTEGER) AS pos, count(*) AS cnt
               FROM tk GROUP BY ALL),
@@ -128,13 +124,13 @@ ORACLE = {
         FROM i""",
     "library_update_stream": """WITH docs AS (SELECT text AS key, CAST(n_chars AS DOUBLE) AS score, lang,
             CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 3 AS part FROM documents),
-        lib0 AS (SELECT key, score FROM docs WHERE lang = 'en' ORDER BY score DESC, key LIMIT 50),""" + ",".join(
+        lib0 AS (SELECT key, max(score) AS score FROM docs WHERE lang = 'en' GROUP BY key ORDER BY score DESC, key LIMIT 50),""" + ",".join(
         f"""
-        lib{i + 1} AS (SELECT key, score FROM (
+        lib{i + 1} AS (SELECT key, max(score) AS score FROM (
             SELECT key, score FROM lib{i}
             UNION ALL SELECT key, score FROM docs WHERE lang <> 'en' AND part = {i} AND score IS NOT NULL
               AND score > (SELECT coalesce(min(score), 0.0) FROM lib{i}) AND key NOT IN (SELECT key FROM lib{i}))
-          ORDER BY score DESC, key LIMIT 50)""" for i in range(3)) + """
+          GROUP BY key ORDER BY score DESC, key LIMIT 50)""" for i in range(3)) + """
         SELECT md5(key) AS key_md5, score FROM lib3""",
     "custom_similarity": "WITH " + D.GOLD_PAIRS_SQL + f"SELECT id_a, id_b, round(({D._sql_cos('vec_a', 'vec_b')}) * "
                          f"({D._sql_cos('vec_a', 'vec_b')}), 6) AS similarity FROM gp",

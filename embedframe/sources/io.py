@@ -8,12 +8,12 @@ headerless inputs and exports, an append-only results table instead of a single
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from .. import constants as C
 
@@ -49,26 +49,40 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
-def scan_headerless(spark: SparkSession, path: str, names: Sequence[str] = ("smiles", "zinc_id"),
+def scan_headerless(spark: SparkSession, path: str, names: Sequence[str] = ("text", "id"),
                     sep: str = " ") -> DataFrame:
     """Separator-delimited text without a header: all columns are strings, named in order."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     return spark.read.schema(schema).option("sep", sep).option("header", "false").csv(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("parquet").load(path).schema  # noqa: B018 - resolves the listing only
-        return True
-    except AnalysisException:
-        return False
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) through Spark's own Hadoop client, for any store that Spark reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ended: its success marker is there."""
+    fs, p = _hadoop(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return bool(fs.exists(p))
 
 
 def materialize_if_absent(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                           codec: str = "zstd") -> DataFrame:
-    """Reuse a derived table cached next to its source; build and write it when absent."""
-    if not path_exists(spark, path):
-        build().write.mode("overwrite").option("compression", codec).parquet(path)
+    """Reuse a derived table cached next to its source; build and write it when absent.
+
+    The table is written beside ``path`` and renamed, so ``path`` only ever holds a whole write; what an
+    interrupted one left there, without a success marker, is replaced."""
+    if not is_complete(spark, path):
+        part = f"{path.rstrip('/')}.part-{uuid.uuid4().hex[:12]}"
+        build().write.option("compression", codec).parquet(part)
+        fs, target = _hadoop(spark, path)
+        if fs.exists(target):
+            fs.delete(target, True)
+        if not fs.rename(_hadoop(spark, part)[1], target):
+            raise OSError(f"cannot rename {part} to {path}")
     return spark.read.parquet(path)
 
 

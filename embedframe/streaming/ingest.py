@@ -56,27 +56,29 @@ def resume_point(sink: DataFrame, batch_col: str = "batch_start", size: int = 64
     return sink.agg(F.coalesce(F.max(batch_col) + F.lit(size), F.lit(0))).scalar()
 
 
-def remaining_rows(indexed: DataFrame, sink: DataFrame, batch_col: str = "batch_start", size: int = 64) -> DataFrame:
-    """Rows whose batch starts at or after the resume point and that the sink does not hold."""
-    start = resume_point(sink, batch_col, size)
-    return indexed.where(F.col(batch_col) >= start)
+def remaining_rows(indexed: DataFrame, sink: DataFrame, batch_col: str = "batch_start") -> DataFrame:
+    """Rows of the batches that the sink does not hold, holes left by parallel writers included."""
+    return indexed.join(sink.select(batch_col).distinct(), batch_col, "left_anti").select(*indexed.columns)
 
 
 def library_stream(spark: SparkSession, source_dir: str, schema: T.StructType | str, library_dir: str,
                    checkpoint: str, key_col: str, score_col: str, top_n: int) -> None:
     """``library_update`` fed by micro-batches.  Versions are written to ``v=<batch_id>``
-    folders (overwrite, so replays are idempotent); the current library is the highest one."""
+    folders (overwrite); batch N starts from the highest version up to N, so a replayed batch gives
+    the same version again."""
     src = spark.readStream.schema(schema).parquet(source_dir)
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        lib = current_library(spark, library_dir)
+        lib = current_library(spark, library_dir, batch_id)
         new = P.library_update(lib.select(key_col, score_col), batch.select(key_col, score_col), key_col, score_col, top_n)
         new.write.mode("overwrite").parquet(f"{library_dir}/v={batch_id + 1}")
 
     _run_available(src, checkpoint, update)
 
 
-def current_library(spark: SparkSession, library_dir: str) -> DataFrame:
+def current_library(spark: SparkSession, library_dir: str, upto: int | None = None) -> DataFrame:
+    """The highest version (not above ``upto``)."""
     lib = spark.read.parquet(library_dir)
+    lib = lib if upto is None else lib.where(F.col("v") <= upto)
     last = lib.agg(F.max("v")).scalar()
     return lib.where(F.col("v") == last).drop("v")

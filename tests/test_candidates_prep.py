@@ -86,7 +86,7 @@ def test_headerless_and_extension(spark):
     with open(path, "w") as fh:
         fh.write("CCO id1\nc1ccccc1 id2\n")
     rows = io.scan_headerless(spark, path).collect()
-    assert [(r.smiles, r.zinc_id) for r in rows] == [("CCO", "id1"), ("c1ccccc1", "id2")]
+    assert [(r.text, r.id) for r in rows] == [("CCO", "id1"), ("c1ccccc1", "id2")]
     assert io.format_for("a/b.jsonl") == "json" and io.format_for("a/b.smi") == "parquet"
     csv = os.path.join(d, "t.csv")
     with open(csv, "w") as fh:
@@ -103,12 +103,42 @@ def test_library_update_rules(spark):
     assert P.library_update(empty, cands, "key", "score", 10).count() == 4  # threshold 0.0, NULL dropped
 
 
-def test_sample_exact_large_n_path_matches_top_n(spark, monkeypatch):
+def test_sample_exact_takes_the_first_by_key(spark):
     df = _ids(spark, 300)
-    small = [r.id for r in P.sample_exact(df, 120, 3, "id").collect()]
-    monkeypatch.setattr(P, "TOP_N_LOCAL_LIMIT", 10)
-    big = sorted(r.id for r in P.sample_exact(df, 120, 3, "id").collect())
-    assert sorted(small) == big
+    want = sorted(r.id for r in df.orderBy(P.seeded_key(3, "id"), "id").limit(120).collect())
+    assert sorted(r.id for r in P.sample_exact(df, 120, 3, "id").collect()) == want
+
+
+def test_library_keeps_a_key_once(spark):
+    lib = spark.createDataFrame([("a", 5.0), ("a", 4.0)], "key string, score double")
+    cands = spark.createDataFrame([("c", 7.0), ("c", 9.0), ("c", 9.0), ("e", 8.0)], "key string, score double")
+    out = [(r.key, r.score) for r in P.library_update(lib, cands, "key", "score", 10).collect()]
+    assert out == [("c", 9.0), ("e", 8.0), ("a", 5.0)]
+
+
+def test_dedupe_keeps_row_contents_without_an_order(spark):
+    df = spark.createDataFrame([("k", None, "x"), ("m", 2, "y"), ("m", None, "z")], "key string, pos int, val string")
+    assert {(r.key, r.pos, r.val) for r in P.dedupe_keep_first(df, ["key"], "pos").collect()} == {("k", None, "x"), ("m", 2, "y")}
+
+
+def test_canonical_falls_back_on_damaged_text(spark):
+    df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "A\x01 b!"), (4, "ab"), (5, " \x02 ")], "id int, text string")
+    out = {r.id: r.canonical for r in P.dedupe_canonical(df, "text", "id").collect()}
+    assert out == {1: "a b", 3: "ab"}
+
+
+def test_pending_inputs_by_substring(spark):
+    names = spark.createDataFrame([("a/src1-x",), ("a/src1-y",), ("b/src2",), ("c/other",)], "name string")
+    done = spark.createDataFrame([("src1-x",), ("zzz-very-long-name-that-is-longer",)], "done string")
+    assert [r.name for r in P.pending_inputs(names, "name", ["src1", "src2"], done, "done").collect()] == ["b/src2", "a/src1-y"]
+    assert P.pending_inputs(names, "name", ["src"], done.limit(0), "done").count() == 3
+
+
+def test_best_per_group_with_string_tiebreak(spark):
+    from embedframe.operators import candidates as C
+
+    df = spark.createDataFrame([(1, 2.0, "b"), (1, 2.0, "a"), (1, None, "0"), (2, None, "q")], "g int, s double, name string")
+    assert sorted((r.g, r.name) for r in C.best_per_group(df, ["g"], "s", ["name"]).collect()) == [(1, "a"), (2, "q")]
 
 
 def test_int8_quantisation_matches_formula(spark):

@@ -53,3 +53,29 @@ def test_replayed_batch_is_not_duplicated(spark):
         S.write_vector_batch(df, 3, f"{base}/sink", [3, 2], "m", base_dim=3)
     out = spark.read.parquet(f"{base}/sink")
     assert out.count() == 14 and out.select("batch_id").distinct().first()[0] == 3
+
+
+def test_holes_below_the_highest_batch_remain(spark):
+    indexed = spark.createDataFrame([(i, i // 4 * 4) for i in range(20)], "id int, batch_start int")
+    sink = indexed.where("batch_start in (0, 4, 12)")  # batch 8 was never written, 16 neither
+    assert sorted(r.id for r in S.remaining_rows(indexed, sink).collect()) == [8, 9, 10, 11, 16, 17, 18, 19]
+
+
+def test_replayed_library_batch_reads_its_own_start(spark):
+    base = scratch_path(spark, "test-lib-replay")
+    spark.createDataFrame([("a", 5.0)], "key string, score double").write.parquet(f"{base}/lib/v=0")
+    for v, key in ((1, "b"), (2, "c")):
+        spark.createDataFrame([(key, float(v + 5))], "key string, score double").write.parquet(f"{base}/lib/v={v}")
+    assert [r.key for r in S.current_library(spark, f"{base}/lib", upto=1).collect()] == ["b"]
+    assert [r.key for r in S.current_library(spark, f"{base}/lib").collect()] == ["c"]
+
+
+def test_interrupted_write_is_not_taken_for_a_table(spark, tmp_path):
+    from embedframe.sources import io
+
+    path = f"file://{tmp_path}/table"
+    spark.range(3).write.parquet(path)
+    (tmp_path / "table" / "_SUCCESS").unlink()
+    assert not io.is_complete(spark, path)
+    assert io.materialize_if_absent(spark, path, lambda: spark.range(10)).count() == 10
+    assert io.materialize_if_absent(spark, path, lambda: spark.range(99)).count() == 10

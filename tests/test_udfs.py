@@ -60,8 +60,9 @@ def test_generator_errors_give_no_candidates(spark):
             return base(text)
         return gen
 
-    out = sorted((r.id, r.cand_idx, r.candidate) for r in U.generate_candidates(df, "id", "text", "lane", 2, factory).collect())
-    assert out == [(1, 0, "b.c"), (1, 1, "a.c")]
+    rows = U.generate_candidates(df, "id", "text", "lane", factory).collect()
+    assert sorted((r.id, r.cand_idx, r.candidate) for r in rows if r.error is None) == [(1, 0, "b.c"), (1, 1, "a.c")]
+    assert [(r.id, r.error) for r in rows if r.error] == [(2, "RuntimeError: service failed")]
 
 
 def test_custom_similarity_registry():
