@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,3 +86,54 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, in_train
 
 def broadcast_value(spark: SparkSession, value: Any):
     return spark.sparkContext.broadcast(value)
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], schema: T.StructType | str,
+             compute: Callable[[pa.RecordBatch], list[pa.Array] | None]) -> DataFrame:
+    """``compute`` on the rows of each group of ``keys``, sorted by ``order``; groups follow one another
+    in a task's Arrow stream, so very many small ones cost little.  A group is held in memory: keep
+    groups bounded."""
+    names = T._parse_datatype_string(schema).names if isinstance(schema, str) else schema.names
+    ranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and any(b.column(k)[0] != held[-1].column(k)[held[-1].num_rows - 1] for k in keys):
+                yield _joined(held)
+                held = []
+            change = np.zeros(b.num_rows - 1, bool)
+            for k in keys:
+                c = b.column(k)
+                change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), b.num_rows]
+            for i, (at, past) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                part = b.slice(at, past - at)
+                if i == len(cuts) - 2:  # may go on in the next batch
+                    held.append(part)
+                elif held:
+                    yield _joined([*held, part])
+                    held = []
+                else:
+                    yield part
+        if held:
+            yield _joined(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches):
+            arrays = compute(g)
+            if arrays:
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return ranged.mapInArrow(run, schema)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def rows_of(col: pa.Array, dtype) -> np.ndarray:
+    """A list column whose rows have one length, as a matrix."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False).reshape(len(col), -1)

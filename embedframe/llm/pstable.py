@@ -15,7 +15,6 @@ that meet two by two.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,19 +116,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, tables: int = 4
     placed = placed.select(*key, F.least("sub", "other").alias("a"), F.greatest("sub", "other").alias("b"), "sub", "class")
     full = placed.join(signed.select("class", "vec", "n", "keys"), "class")
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = int(pdf["a"].iloc[0]) == int(pdf["b"].iloc[0])
-        pdf = pdf.sort_values(["sub", "class"], kind="stable")
-        split = int((pdf["sub"] == pdf["a"]).sum())
-        x = np.stack(pdf["vec"].to_numpy())
+    def check(g: pa.RecordBatch) -> list[pa.Array] | None:
+        x = common.rows_of(g.column("vec"), np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-        counts, links = block_links(pdf["class"].tolist(), pdf["n"].to_numpy(np.int64), unit, np.stack(pdf["keys"].to_numpy()),
-                                    int(pdf["table"].iloc[0]), split, own, threshold)
-        out = [(c, None, n) for c, n in counts.items()] + [(a, b, None) for a, b in links]
-        return pd.DataFrame(out, columns=["src", "dst", "n"]).astype({"src": "int64", "dst": "Int64", "n": "Int64"})
-
-    found = common.written(full.groupBy(*key, "a", "b").applyInPandas(check, "src long, dst long, n long"), "lsh-found")
+        a, b = g.column("a")[0].as_py(), g.column("b")[0].as_py()
+        split = int((g.column("sub").to_numpy() == a).sum())
+        counts, links = block_links(g.column("class").to_pylist(), g.column("n").to_numpy(), unit, common.rows_of(g.column("keys"), np.int64),
+                                    g.column("table")[0].as_py(), split, a == b, threshold)
+        if not counts:
+            return None
+        src = [*counts, *(p for p, _ in links)]
+        dst = [None] * len(counts) + [q for _, q in links]
+        return [pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array([*counts.values()] + [None] * len(links), pa.int64())]
+
+    found = common.written(common.by_group(full, [*key, "a", "b"], ["sub", "class"], "src long, dst long, n long", check), "lsh-found")
     links = found.where("dst is not null").select("src", "dst").distinct()
     linked = found.where("dst is null").groupBy("src").agg(F.sum("n").alias("linked"))
     comps = connected_components(linked.select(F.col("src").alias("id")), links, "id").select(F.col("id").alias("class"), "component")
