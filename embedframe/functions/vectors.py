@@ -125,6 +125,19 @@ def tanimoto_bits(a: ColumnLike, b: ColumnLike) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(value)
 
 
+def tanimoto_packed(a: ColumnLike, b: ColumnLike) -> Column:
+    """``tanimoto_bits`` of fingerprints packed into integers: bit counts of AND and OR."""
+    a, b = _c(a), _c(b)
+
+    def ones(words: Column) -> Column:
+        return F.aggregate(words, F.lit(0), lambda acc, w: acc + F.bit_count(w))
+
+    inter = ones(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))).cast("double")
+    union = ones(F.zip_with(a, b, lambda x, y: x.bitwiseOR(y))).cast("double")
+    value = F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(value)
+
+
 def angle(a: ColumnLike, b: ColumnLike) -> Column:
     """Angle similarity in the complex plane (AnglE): each vector is split into a real and an
     imaginary half; the value is |Σ(ac + bd + bc − ad)| / (‖x‖·‖y‖)."""

@@ -367,6 +367,23 @@ def vec_pool(df: DataFrame, group_cols: Sequence[str], vec_col: str, position_co
     return out.select(*group_cols, F.col("_comp").cast("int").alias("pos"), _r(F.col("value"), digits).alias("value"))
 
 
+def vec_pool_all(df: DataFrame, group_cols: Sequence[str], vec_col: str, position_col: str,
+                 digits: int | None = 6) -> DataFrame:
+    """Every pooling of ``POOLING`` in one pass: ``*group_cols, pos, value, strategy``.  Positions get
+    their weights and the first one its mark; one grouped aggregation by (group, component) follows."""
+    group_cols = list(group_cols)
+    ranked = average_ranks(df, position_col, group_cols, "_w")
+    firsts = df.groupBy(*group_cols).agg(F.min(position_col).alias("_first"))
+    ex = (ranked.join(firsts, group_cols).select(*group_cols, "_w", (F.col(position_col) == F.col("_first")).alias("_is_first"),
+                                                 F.posexplode(vec_col).alias("pos", "_x")).withColumn("_x", F.col("_x").cast("double")))
+    values = {"mean": F.avg("_x"), "sum": F.sum("_x"), "max": F.max("_x"), "first": F.avg(F.when(F.col("_is_first"), F.col("_x"))),
+              "mean_sqrt_len": F.sum("_x") / F.sqrt(F.count("_x")), "weighted_mean": F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")}
+    g = ex.groupBy(*group_cols, "pos").agg(*[v.alias(f"_v_{n}") for n, v in values.items()])
+    each = F.array(*[F.struct(_r(F.col(f"_v_{n}"), digits).alias("value"), F.lit(n).alias("strategy")) for n in values])
+    return g.select(*group_cols, "pos", F.explode(each).alias("_s")).select(
+        *group_cols, F.col("pos").cast("int").alias("pos"), "_s.value", "_s.strategy")
+
+
 def last_k_layers(df: DataFrame, layer_col: str, k: int, group_cols: Sequence[str] = ()) -> DataFrame:
     """Rows of the last k layers (largest layer numbers) per group; fewer than k layers raises."""
     if k < 1:

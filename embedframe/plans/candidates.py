@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import candidates as C
 from ..operators import fingerprints as FP
+from ..session import reliable_checkpoint
 from ..sources.tables import table
 
 FP_SIZE = 2048
@@ -33,13 +35,15 @@ def fp_size_ladder(spark, sf):
 
 
 def _graph(spark, sf):
+    """A path graph per order: its line numbers in order.  The edges come from the node before and
+    after, within an order's few lines; no join of the table with itself."""
     li = table(spark, sf, "lineitem")
     nodes = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("lbl"))
-    a = nodes.select("l_orderkey", F.col("l_linenumber").alias("src"))
-    b = nodes.select("l_orderkey", F.col("l_linenumber").alias("dst"))
-    fwd = a.join(b, (a["l_orderkey"] == b["l_orderkey"]) & (b["dst"] == a["src"] + 1)).select(a["l_orderkey"], "src", "dst")
-    edges = fwd.unionByName(fwd.select("l_orderkey", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return nodes, edges
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    near = nodes.select("l_orderkey", F.col("l_linenumber").alias("src"),
+                        F.array(F.lag("l_linenumber").over(at), F.lead("l_linenumber").over(at)).alias("_near"))
+    edges = near.select("l_orderkey", "src", F.explode("_near").alias("dst"))
+    return nodes, edges.where(F.abs(F.col("dst") - F.col("src")) == 1)
 
 
 def fp_graph(spark, sf):
@@ -48,27 +52,35 @@ def fp_graph(spark, sf):
     return FP.bits_summary(bits, ["l_orderkey"]).withColumn("n_bits", F.col("n_bits").cast("long"))
 
 
-def _doc_bits(spark, sf):
-    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2)
-    return FP.bits_array(bits, ["doc_id"])
+#: Coarser classes of the node labels: returned or not.
+FUNCTIONAL_LABELS = {"AF": "returned", "RF": "returned", "NF": "kept", "NO": "kept"}
+
+
+def fp_graph_functional(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    bits = FP.graph_fingerprint(nodes, edges, "l_orderkey", "l_linenumber", "lbl", radius=2, fp_size=FP_SIZE,
+                                functional=FUNCTIONAL_LABELS)
+    return FP.bits_summary(bits, ["l_orderkey"]).withColumn("n_bits", F.col("n_bits").cast("long"))
 
 
 def _doc_pairs(spark, sf, offsets):
-    fp = _doc_bits(spark, sf)
-    a = fp.select(F.col("doc_id").alias("id_a"), F.col("bits").alias("bits_a"),
+    """(id, id + offset) with both fingerprints, packed into 32 integers each."""
+    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2)
+    fp = reliable_checkpoint(FP.packed_bits(bits, ["doc_id"], FP_SIZE))
+    a = fp.select(F.col("doc_id").alias("id_a"), F.col("words").alias("bits_a"),
                   F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
-    b = fp.select(F.col("doc_id").alias("id_b"), F.col("bits").alias("bits_b"))
+    b = fp.select(F.col("doc_id").alias("id_b"), F.col("words").alias("bits_b"))
     return a.join(b, b["id_b"] == a["id_a"] + a["_o"])
 
 
 def sim_tanimoto_bits(spark, sf):
     p = _doc_pairs(spark, sf, [1])
-    return p.select("id_a", "id_b", F.round(V.tanimoto_bits("bits_a", "bits_b"), 6).alias("similarity"))
+    return p.select("id_a", "id_b", F.round(V.tanimoto_packed("bits_a", "bits_b"), 6).alias("similarity"))
 
 
 def fp_similarity_pairs(spark, sf):
     p = _doc_pairs(spark, sf, [1, 2, 3, 4, 5])
-    return p.select("id_a", "id_b", F.round(V.tanimoto_bits("bits_a", "bits_b"), 6).alias("similarity"))
+    return p.select("id_a", "id_b", F.round(V.tanimoto_packed("bits_a", "bits_b"), 6).alias("similarity"))
 
 
 def _cands(spark, sf):
@@ -175,6 +187,7 @@ QUERIES = {
     "fp_shingle_functional": fp_shingle_functional,
     "fp_size_ladder": fp_size_ladder,
     "fp_graph": fp_graph,
+    "fp_graph_functional": fp_graph_functional,
     "sim_tanimoto_bits": sim_tanimoto_bits,
     "fp_similarity_pairs": fp_similarity_pairs,
     "join_reference_candidates": join_reference_candidates,
@@ -239,7 +252,8 @@ n2 AS (SELECT e.l_orderkey, e.src, sum(""" + _H40.format(h="h.h") + """) AS s, c
 h2 AS (SELECT h.l_orderkey, h.l_linenumber, md5(h.h || ':' || CAST(coalesce(n.s, 0) AS VARCHAR) || ':' ||
        CAST(coalesce(n.deg, 0) AS VARCHAR)) AS h FROM h1 h LEFT JOIN n2 n ON n.l_orderkey = h.l_orderkey AND n.src = h.l_linenumber),
 allh AS (SELECT l_orderkey, h FROM h0 UNION ALL SELECT l_orderkey, h FROM h1 UNION ALL SELECT l_orderkey, h FROM h2),
-b AS (SELECT DISTINCT l_orderkey, CAST(CAST(('0x' || substr(md5(h), 1, 8)) AS BIGINT) % 2048 AS INTEGER) AS bit FROM allh)"""
+c AS (SELECT l_orderkey, CAST(('0x' || substr(md5(h), 1, 8)) AS BIGINT) % 512 AS bucket, count(*) AS cnt FROM allh GROUP BY ALL),
+b AS (SELECT l_orderkey, CAST(bucket * 4 + j AS INTEGER) AS bit FROM c, (VALUES (0, 1), (1, 2), (2, 4), (3, 8)) th(j, t) WHERE cnt >= t)"""
 
 _SEG = "string_split(text, '.')"
 _HASH = "CAST(('0x' || substr(md5('{seed}:' || CAST(doc_id AS VARCHAR) || ':' || {rnd} || ':{tag}'), 1, 8)) AS BIGINT)"
@@ -267,6 +281,7 @@ ORACLE = {
         "AS gram FROM t)", "AS gram FROM t, (VALUES (2048), (1024), (256), (64)) s(fp_size))")
         + ", " + _bits_sql("fp_size", "doc_id, fp_size") + f" SELECT doc_id, fp_size, {_SUMMARY} FROM b GROUP BY doc_id, fp_size",
     "fp_graph": "WITH " + _GRAPH + f" SELECT l_orderkey, {_SUMMARY} FROM b GROUP BY l_orderkey",
+    "fp_graph_functional": "WITH " + _GRAPH.replace("md5(lbl)", "md5(CASE WHEN lbl IN ('AF', 'RF') THEN 'returned' WHEN lbl IN ('NF', 'NO') THEN 'kept' ELSE lbl END)") + f" SELECT l_orderkey, {_SUMMARY} FROM b GROUP BY l_orderkey",
     "sim_tanimoto_bits": _DOC_BITS + """ SELECT a.doc_id AS id_a, b.doc_id AS id_b, round(CASE WHEN len(list_distinct(list_concat(a.bits, b.bits))) > 0
         THEN len(list_intersect(a.bits, b.bits)) / len(list_distinct(list_concat(a.bits, b.bits))) ELSE 0 END, 6) AS similarity
         FROM fp a JOIN fp b ON b.doc_id = a.doc_id + 1""",

@@ -96,10 +96,22 @@ sp{suffix} AS (SELECT CAST(id_a % 20 AS INTEGER) AS batch_id, id_a, id_b, label_
 """
 
 
+N_CLASSES = 10
+#: The whole vector as ten logits: component i counts for class i mod 10.
+LOGITS_SQL = ("list_transform(range(0, 10), lambda c: list_sum(list_transform(range(c + 1, len(embedding) + 1, 10), "
+              "lambda i: CAST(embedding[i] AS DOUBLE))))")
+
+
 def logits_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Classification rows: logits = first 10 embedding values, class = ``label``, split by md5."""
+    """Classification rows: logits = the whole vector folded into ten classes, class = ``label``, split by md5."""
     e = embeddings(spark, sf)
-    return e.select("vec_id", F.slice("embedding", 1, 10).alias("logits"), "label", split_col())
+
+    def of_class(c: int):
+        return lambda x, i: i % N_CLASSES == c
+
+    logits = F.array(*[F.aggregate(F.filter("embedding", of_class(c)), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+                       for c in range(N_CLASSES)])
+    return e.select("vec_id", logits.alias("logits"), "label", split_col())
 
 
 def split_col() -> "F.Column":

@@ -30,11 +30,10 @@ def join_paired(spark, sf):
 
 
 def sim_by_name(spark, sf):
-    """Every name of the dispatcher on the 16-wide prefixes of the gold pairs, from one pair
-    join (the scores are computed side by side and unpivoted)."""
+    """Every name of the dispatcher on the gold pairs, from one pair join (the scores are computed
+    side by side and unpivoted)."""
     p = D.gold_pairs(spark, sf)
-    a, b = V.truncate("vec_a", 16), V.truncate("vec_b", 16)
-    scores = F.array(*[F.struct(F.lit(n).alias("name"), F.round(V.similarity(n, a, b), 6).alias("similarity"))
+    scores = F.array(*[F.struct(F.lit(n).alias("name"), F.round(V.similarity(n, "vec_a", "vec_b"), 6).alias("similarity"))
                        for n in SIMS])
     return p.select("id_a", "id_b", F.explode(scores).alias("_s")).select("id_a", "id_b", "_s.name", "_s.similarity")
 
@@ -69,8 +68,7 @@ def similarity_stats(spark, sf):
 
 
 def nonzero_mask(spark, sf):
-    sp = D.scored_pairs(spark, sf).where(F.col("dim") == 8)
-    return sp.where(F.col("label") != 0).select("id_a", "id_b", "label", "score")
+    return D.scored_pairs(spark, sf).where(F.col("label") != 0).select("dim", "id_a", "id_b", "label", "score")
 
 
 def evaluate_pairs(spark, sf):
@@ -103,59 +101,57 @@ def join_theta_order(spark, sf):
     return M.theta_pair_counts(sp, "batch_id", "label")
 
 
+def _cosent(sp, label="label", score="score", digits=6):
+    """CoSENT for every (dim, batch) of scored pairs in one pass."""
+    keyed = sp.withColumn("_batch", F.col("dim").cast("long") * D.N_BATCHES + F.col("batch_id"))
+    loss = M.cosent_loss(keyed, "_batch", label, score, digits=digits)
+    return loss.select(F.floor(F.col("_batch") / D.N_BATCHES).cast("int").alias("dim"),
+                       F.pmod("_batch", F.lit(D.N_BATCHES)).cast("int").alias("batch_id"), "loss")
+
+
 def loss_cosent(spark, sf):
-    sp = D.scored_pairs(spark, sf, "cosine").where(F.col("dim") == 16)
-    return M.cosent_loss(sp, "batch_id", "label", "score")
+    return _cosent(D.scored_pairs(spark, sf, "cosine"))
 
 
 def loss_tanimoto_sent(spark, sf):
-    sp = D.scored_pairs(spark, sf, "tanimoto").where(F.col("dim") == 16)
-    return M.cosent_loss(sp, "batch_id", "label", "score")
+    return _cosent(D.scored_pairs(spark, sf, "tanimoto"))
 
 
 def loss_angle(spark, sf):
     p = D.gold_pairs(spark, sf)
     sp = p.select((F.col("id_a") % D.N_BATCHES).cast("int").alias("batch_id"),
-                  F.round(V.cosine("vec_a", "vec_b"), 6).alias("label"),
-                  F.round(V.angle(V.truncate("vec_a", 16), V.truncate("vec_b", 16)), 6).alias("score"))
+                  F.round(V.cosine("vec_a", "vec_b"), 6).alias("label"), F.round(V.angle("vec_a", "vec_b"), 6).alias("score"))
     return M.cosent_loss(sp, "batch_id", "label", "score")
 
 
 MATRYOSHKA_WEIGHTS = (1.0, 1.0, 1.0, 1.0)
+BASE_LOSSES = {"cosent": "cosine", "tanimoto_sent": "tanimoto"}
 
 
 def loss_matryoshka(spark, sf):
-    """Σ_d w_d · CoSENT(prefix d, renormalised) per batch; weights checked (positive, non-decreasing)."""
+    """Σ_d w_d · base loss of the d-prefixes per batch, for each base loss by name; weights checked
+    (positive, non-decreasing).  All prefixes of a base loss share one pass."""
     dims = D.LADDER
     M.check_matryoshka_weights(dims, MATRYOSHKA_WEIGHTS)
-    sp = D.scored_pairs(spark, sf, "cosine")
     w = F.create_map(*[x for d, wt in zip(dims, MATRYOSHKA_WEIGHTS) for x in (F.lit(d), F.lit(wt))])
     per = None
-    for d in dims:
-        l_d = M.cosent_loss(sp.where(F.col("dim") == d), "batch_id", "label", "score", digits=None).withColumn("dim", F.lit(d))
-        per = l_d if per is None else per.unionByName(l_d)
-    return per.groupBy("batch_id").agg(F.round(F.sum(F.col("loss") * w[F.col("dim")]), 6).alias("loss"))
+    for name, metric in BASE_LOSSES.items():
+        own = _cosent(D.scored_pairs(spark, sf, metric), digits=None).withColumn("base", F.lit(name))
+        per = own if per is None else per.unionByName(own)
+    return per.groupBy("base", "batch_id").agg(F.round(F.sum(F.col("loss") * w[F.col("dim")]), 6).alias("loss"))
 
 
 def loss_pointwise(spark, sf):
     p = D.gold_pairs(spark, sf)
     sp = p.select((F.col("id_a") % D.N_BATCHES).cast("int").alias("batch_id"),
                   F.round(V.tanimoto("vec_a", "vec_b"), 6).alias("label"),
-                  F.round(V.tanimoto(V.truncate("vec_a", 16), V.truncate("vec_b", 16)), 6).alias("score"),
-                  F.when(F.col("label_a") == F.col("label_b"), 1).otherwise(-1).alias("sign"),
-                  F.round(V.cosine(V.truncate("vec_a", 16), V.truncate("vec_b", 16)), 6).alias("cos16"))
-    return M.pointwise_losses(sp, "label", "score", ["batch_id"], sign_label="sign", cosine_col="cos16")
+                  F.round(V.cosine("vec_a", "vec_b"), 6).alias("score"),
+                  F.when(F.col("label_a") == F.col("label_b"), 1).otherwise(-1).alias("sign"))
+    return M.pointwise_losses(sp, "label", "score", ["batch_id"], sign_label="sign", cosine_col="score")
 
 
 def vec_pool(spark, sf):
-    e = table(spark, sf, "embeddings")
-    parts = []
-    for s in M.POOLING:
-        parts.append(M.vec_pool(e, ["label"], "embedding", "vec_id", s).withColumn("strategy", F.lit(s)))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return M.vec_pool_all(table(spark, sf, "embeddings"), ["label"], "embedding", "vec_id")
 
 
 def vec_pool_last_k(spark, sf):
@@ -172,7 +168,7 @@ QUERIES = {
     "sim_euclidean": _pairs_sim(V.euclidean),
     "sim_manhattan": _pairs_sim(V.manhattan),
     "sim_tanimoto": _pairs_sim(V.tanimoto),
-    "sim_angle": _pairs_sim(lambda a, b: V.angle(V.truncate(a, 16), V.truncate(b, 16))),
+    "sim_angle": _pairs_sim(V.angle),
     "sim_by_name": sim_by_name,
     "agg_pearson": agg_pearson,
     "agg_spearman": agg_spearman,
@@ -199,11 +195,10 @@ QUERIES = {
 _COS = D._sql_cos
 _EVAL_SIMS = ("cosine", "tanimoto", "euclidean", "manhattan", "dot")
 _ANGLE_SQL = """
-(CASE WHEN list_dot_product(list_slice(vec_a,1,16), list_slice(vec_a,1,16)) > 0
-       AND list_dot_product(list_slice(vec_b,1,16), list_slice(vec_b,1,16)) > 0 THEN
-  abs(list_dot_product(list_slice(vec_a,1,8), list_slice(vec_b,1,8)) + list_dot_product(list_slice(vec_a,9,16), list_slice(vec_b,9,16))
-      + list_dot_product(list_slice(vec_a,9,16), list_slice(vec_b,1,8)) - list_dot_product(list_slice(vec_a,1,8), list_slice(vec_b,9,16)))
-  / (sqrt(list_dot_product(list_slice(vec_a,1,16), list_slice(vec_a,1,16))) * sqrt(list_dot_product(list_slice(vec_b,1,16), list_slice(vec_b,1,16))))
+(CASE WHEN list_dot_product(vec_a, vec_a) > 0 AND list_dot_product(vec_b, vec_b) > 0 THEN
+  abs(list_dot_product(list_slice(vec_a,1,32), list_slice(vec_b,1,32)) + list_dot_product(list_slice(vec_a,33,64), list_slice(vec_b,33,64))
+      + list_dot_product(list_slice(vec_a,33,64), list_slice(vec_b,1,32)) - list_dot_product(list_slice(vec_a,1,32), list_slice(vec_b,33,64)))
+  / (sqrt(list_dot_product(vec_a, vec_a)) * sqrt(list_dot_product(vec_b, vec_b)))
  ELSE 0 END)"""
 
 _RANKS_SQL = """
@@ -212,13 +207,12 @@ r AS (SELECT *, rank() OVER (PARTITION BY dim ORDER BY label) + (count(*) OVER (
       FROM sp)"""
 
 _COSENT_SQL = """
-SELECT a.batch_id, round(ln(1 + sum(exp(20 * (b.score - a.score)))), 6) AS loss
-FROM sp a JOIN sp b ON a.batch_id = b.batch_id AND a.label > b.label
-WHERE a.dim = {d} AND b.dim = {d}
-GROUP BY a.batch_id"""
+SELECT a.dim, a.batch_id, round(ln(1 + sum(CASE WHEN a.label > b.label THEN exp(20 * (b.score - a.score)) ELSE 0 END)), 6) AS loss
+FROM sp a JOIN sp b ON a.batch_id = b.batch_id AND a.dim = b.dim
+GROUP BY a.dim, a.batch_id"""
 
 _LOGITS_SQL = f"""
-lt AS (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 10) AS logits, label, {D.SPLIT_SQL} AS split FROM embeddings),
+lt AS (SELECT vec_id, {D.LOGITS_SQL} AS logits, label, {D.SPLIT_SQL} AS split FROM embeddings),
 lse AS (SELECT *, list_max(logits) + ln(list_sum(list_transform(logits, lambda x: exp(x - list_max(logits))))) AS lse FROM lt)"""
 
 _POOL_SQL = """
@@ -247,7 +241,7 @@ ORACLE = {
     "sim_tanimoto": _pairs_sim_sql(D.sql_similarity("tanimoto", "vec_a", "vec_b")),
     "sim_angle": _pairs_sim_sql(_ANGLE_SQL),
     "sim_by_name": "WITH " + D.GOLD_PAIRS_SQL + " UNION ALL ".join(
-        f" SELECT id_a, id_b, '{n}' AS name, round({D.sql_similarity(n, 'list_slice(vec_a,1,16)', 'list_slice(vec_b,1,16)')}, 6)"
+        f" SELECT id_a, id_b, '{n}' AS name, round({D.sql_similarity(n, 'vec_a', 'vec_b')}, 6)"
         f" AS similarity FROM gp" for n in SIMS),
     "agg_pearson": _sp() + "SELECT dim, round(corr(label, score), 6) AS pearson FROM sp GROUP BY dim",
     "agg_spearman": _sp() + "," + _RANKS_SQL + " SELECT dim, round(corr(rl, rs), 6) AS spearman FROM r GROUP BY dim",
@@ -258,7 +252,7 @@ ORACLE = {
         round(avg(CASE WHEN label <> 0 THEN abs((score - label) / label) END) * 100, 6) AS mape FROM sp GROUP BY dim""",
     "similarity_stats": _sp() + """SELECT dim, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std,
         round(min(score), 6) AS min, round(max(score), 6) AS max FROM sp GROUP BY dim""",
-    "nonzero_mask": _sp() + "SELECT id_a, id_b, label, score FROM sp WHERE dim = 8 AND label <> 0",
+    "nonzero_mask": _sp() + "SELECT CAST(dim AS INTEGER) AS dim, id_a, id_b, label, score FROM sp WHERE label <> 0",
     "evaluate_pairs": "WITH " + ",".join(D.scored_pairs_sql(n, f"_{n}") for n in _EVAL_SIMS) + "," + ",".join(
         f"""r_{n} AS (SELECT '{n}' AS similarity_fn, dim, label, score,
              rank() OVER (PARTITION BY dim ORDER BY label) + (count(*) OVER (PARTITION BY dim, label) - 1) / 2.0 AS rl,
@@ -274,18 +268,19 @@ ORACLE = {
         SELECT split, round(avg(1 - (2 * ((1 - p) * p) + 1) / (((1 - p) * p) + 1 + 1)), 6) AS loss FROM pr GROUP BY split""",
     "join_theta_order": _sp() + """SELECT a.batch_id, count(*) AS n_pairs FROM sp a JOIN sp b
         ON a.batch_id = b.batch_id AND a.label > b.label WHERE a.dim = 64 AND b.dim = 64 GROUP BY a.batch_id""",
-    "loss_cosent": _sp("cosine") + _COSENT_SQL.format(d=16),
-    "loss_tanimoto_sent": _sp("tanimoto") + _COSENT_SQL.format(d=16),
+    "loss_cosent": _sp("cosine") + _COSENT_SQL,
+    "loss_tanimoto_sent": _sp("tanimoto") + _COSENT_SQL,
     "loss_angle": "WITH " + D.GOLD_PAIRS_SQL + f""", sp AS (SELECT CAST(id_a % 20 AS INTEGER) AS batch_id, 16 AS dim,
-        round({_COS('vec_a', 'vec_b')}, 6) AS label, round({_ANGLE_SQL}, 6) AS score FROM gp)""" + _COSENT_SQL.format(d=16),
-    "loss_matryoshka": _sp("cosine") + """, per AS (SELECT a.dim, a.batch_id, ln(1 + sum(exp(20 * (b.score - a.score)))) AS loss
-        FROM sp a JOIN sp b ON a.batch_id = b.batch_id AND a.dim = b.dim AND a.label > b.label GROUP BY a.dim, a.batch_id)
-        SELECT batch_id, round(sum(loss * 1.0), 6) AS loss FROM per GROUP BY batch_id""",
+        round({_COS('vec_a', 'vec_b')}, 6) AS label, round({_ANGLE_SQL}, 6) AS score FROM gp)""" + _COSENT_SQL.replace("a.dim, a.batch_id, round", "a.batch_id, round"),
+    "loss_matryoshka": "WITH " + D.scored_pairs_sql("cosine", "_cosent") + "," + D.scored_pairs_sql("tanimoto", "_tanimoto_sent")
+        + ", per AS (" + " UNION ALL ".join(
+            f"""SELECT '{n}' AS base, a.dim, a.batch_id, ln(1 + sum(CASE WHEN a.label > b.label THEN exp(20 * (b.score - a.score)) ELSE 0 END)) AS loss
+            FROM sp_{n} a JOIN sp_{n} b ON a.batch_id = b.batch_id AND a.dim = b.dim GROUP BY a.dim, a.batch_id""" for n in BASE_LOSSES)
+        + ") SELECT base, batch_id, round(sum(loss * 1.0), 6) AS loss FROM per GROUP BY base, batch_id",
     "loss_pointwise": "WITH " + D.GOLD_PAIRS_SQL + f""", sp AS (SELECT CAST(id_a % 20 AS INTEGER) AS batch_id,
           round({D.sql_similarity('tanimoto', 'vec_a', 'vec_b')}, 6) AS y,
-          round({D.sql_similarity('tanimoto', 'list_slice(vec_a,1,16)', 'list_slice(vec_b,1,16)')}, 6) AS s,
-          CASE WHEN label_a = label_b THEN 1 ELSE -1 END AS sign,
-          round({_COS('list_slice(vec_a,1,16)', 'list_slice(vec_b,1,16)')}, 6) AS c FROM gp)
+          round({_COS('vec_a', 'vec_b')}, 6) AS s, CASE WHEN label_a = label_b THEN 1 ELSE -1 END AS sign,
+          round({_COS('vec_a', 'vec_b')}, 6) AS c FROM gp)
         SELECT batch_id, round(avg((s - y) * (s - y)), 6) AS mse, round(avg(abs(s - y)), 6) AS l1,
           round(avg(CASE WHEN abs(s - y) < 1 THEN 0.5 * (s - y) * (s - y) ELSE abs(s - y) - 0.5 END), 6) AS smooth_l1,
           round(avg(CASE WHEN abs(s - y) <= 1 THEN 0.5 * (s - y) * (s - y) ELSE abs(s - y) - 0.5 END), 6) AS huber,
