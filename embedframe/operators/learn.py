@@ -104,13 +104,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "id",
         nb = e.join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b") \
               .groupBy("a").agg(F.min("lb").alias("m"))
         step = labels.join(nb.withColumnRenamed("a", "id"), "id", "left") \
-                     .select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
+                     .select("id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = step.alias("x").join(step.select(F.col("id").alias("lid"), F.col("label").alias("ll")),
                                     F.col("x.label") == F.col("lid"), "left") \
-                   .select(F.col("x.id").alias("id"), F.least(F.col("x.label"), F.coalesce("ll", "x.label")).alias("label"))
+                   .select(F.col("x.id").alias("id"), F.col("x.old").alias("old"),
+                           F.least(F.col("x.label"), F.coalesce("ll", "x.label")).alias("label"))
         new = reliable_checkpoint(jump)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old")).limit(1).count()
-        labels = new
+        changed = new.where(F.col("label") != F.col("old")).limit(1).count()
+        labels = new.select("id", "label")
         if changed == 0:
             break
     return labels.select(F.col("id").alias(id_col), F.col("label").alias("component"))
