@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import approximate, candidates, evaluation, learning, preparation, retrieval, streams, vectors
+from . import approximate, candidates, chains, evaluation, learning, preparation, retrieval, streams, vectors
 
-_MODULES = [retrieval, evaluation, vectors, preparation, candidates, learning, approximate, streams]
+_MODULES = [retrieval, evaluation, vectors, preparation, candidates, learning, approximate, streams, chains]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
