@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import metrics as M
+from ..operators import prep as P
 from ..operators.ordering import average_ranks
 from ..sources.tables import table
 from . import derived as D
@@ -79,6 +80,27 @@ def evaluate_pairs(spark, sf):
         "similarity_fn", "dim", "spearman", "pearson")
 
 
+AXES_SIMS = ("cosine", "tanimoto")
+AXES_PRECISIONS = ("float32", "binary", "ubinary")
+
+
+def evaluate_pairs_axes(spark, sf):
+    """Spearman and Pearson per (dataset, precision, similarity function, dimension).  Datasets are the
+    splits of the first id; binary and ubinary vectors are packed, unpacked and cut to the dimension."""
+    p = D.gold_pairs(spark, sf).withColumn("label", F.round(V.cosine("vec_a", "vec_b"), 6)).withColumn("dataset", P.hash_split("id_a"))
+    whole = {"float32": V.as_double, "binary": lambda c: V.unpack_bits(V.quantize_binary(c), signed=True),
+             "ubinary": lambda c: V.unpack_bits(V.quantize_ubinary(c), signed=False)}
+    for prec in AXES_PRECISIONS:
+        for side in ("a", "b"):
+            p = p.withColumn(f"{prec}_{side}", F.transform(whole[prec](f"vec_{side}"), lambda x: x.cast("double")))
+    scores = [F.struct(F.lit(prec).alias("precision"), F.lit(fn).alias("similarity_fn"), F.lit(d).alias("dim"),
+                       F.round(V.by_name(fn)(V.truncate(f"{prec}_a", d), V.truncate(f"{prec}_b", d)), 6).alias("score"))
+              for prec in AXES_PRECISIONS for fn in AXES_SIMS for d in D.LADDER]
+    by = ["dataset", "precision", "similarity_fn", "dim"]
+    sp = p.select("dataset", "label", F.explode(F.array(*scores)).alias("_s")).select("dataset", "label", "_s.*")
+    return M.pair_statistics(sp, "label", "score", by).select(*by, "spearman", "pearson")
+
+
 def value_counts(spark, sf):
     return M.value_counts(table(spark, sf, "embeddings"), "label")
 
@@ -178,6 +200,7 @@ QUERIES = {
     "similarity_stats": similarity_stats,
     "nonzero_mask": nonzero_mask,
     "evaluate_pairs": evaluate_pairs,
+    "evaluate_pairs_axes": evaluate_pairs_axes,
     "value_counts": value_counts,
     "accuracy": accuracy,
     "loss_softmax": loss_softmax,
@@ -260,6 +283,20 @@ ORACLE = {
         for n in _EVAL_SIMS) + " UNION ALL ".join(
         f" SELECT similarity_fn, dim, round(corr(rl, rs), 6) AS spearman, round(corr(label, score), 6) AS pearson"
         f" FROM r_{n} GROUP BY similarity_fn, dim" for n in _EVAL_SIMS),
+    "evaluate_pairs_axes": "WITH " + D.GOLD_PAIRS_SQL + f""",
+        px AS (SELECT {D.SPLIT_SQL.replace("vec_id", "id_a")} AS dataset, round({_COS('vec_a', 'vec_b')}, 6) AS label, precision,
+                 CASE WHEN precision = 'float32' THEN vec_a ELSE list_transform(vec_a, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) END AS va,
+                 CASE WHEN precision = 'float32' THEN vec_b ELSE list_transform(vec_b, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) END AS vb
+               FROM gp CROSS JOIN (VALUES {", ".join(f"('{p}')" for p in AXES_PRECISIONS)}) t(precision)),
+        sp AS (""" + " UNION ALL ".join(
+            f"SELECT dataset, precision, '{fn}' AS similarity_fn, {d} AS dim, label, "
+            f"round({D.sql_similarity(fn, f'list_slice(va, 1, {d})', f'list_slice(vb, 1, {d})')}, 6) AS score FROM px"
+            for fn in AXES_SIMS for d in D.LADDER) + """),
+        r AS (SELECT *, rank() OVER (PARTITION BY dataset, precision, similarity_fn, dim ORDER BY label) + (count(*) OVER (PARTITION BY dataset, precision, similarity_fn, dim, label) - 1) / 2.0 AS rl,
+                rank() OVER (PARTITION BY dataset, precision, similarity_fn, dim ORDER BY score) + (count(*) OVER (PARTITION BY dataset, precision, similarity_fn, dim, score) - 1) / 2.0 AS rs
+              FROM sp)
+        SELECT dataset, precision, similarity_fn, dim, round(corr(rl, rs), 6) AS spearman, round(corr(label, score), 6) AS pearson
+        FROM r GROUP BY dataset, precision, similarity_fn, dim""",
     "value_counts": "SELECT label, count(*) AS count FROM embeddings GROUP BY label",
     "accuracy": "WITH " + _LOGITS_SQL + """ SELECT split, round(avg(CASE WHEN list_position(logits, list_max(logits)) - 1 = label
         THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM lse GROUP BY split""",
