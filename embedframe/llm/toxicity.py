@@ -22,6 +22,7 @@ copies count once) and hardly ever in others.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -279,11 +280,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, rounds: int
     return w
 
 
-def fit(sample: DataFrame) -> Grammar:
-    """The grammar of a bounded sample (id, label, text): see ``common.labelled_sample``.  A sample
-    without toxic rows gives an empty lexicon, and then every score is low."""
-    rows = sorted(sample.collect(), key=lambda r: xxhash.xxh64_intdigest(str(r["id"])))
-    texts, labels = [r["text"] for r in rows], [int(r["label"]) for r in rows]
+def learn(rows: list[tuple]) -> Grammar:
+    """The grammar of labelled texts (id, label, text).  Without toxic rows the lexicon is empty, and
+    then every score is low."""
+    rows = sorted(rows, key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
+    texts, labels = [r[2] for r in rows], [int(r[1]) for r in rows]
     words = word_sets(texts)
     cluster = near_copies(texts)
     grammar = Grammar(*learn_lexicon(words, cluster, labels))
@@ -301,6 +302,17 @@ def fit(sample: DataFrame) -> Grammar:
     return grammar
 
 
+def fit(sample: DataFrame) -> Grammar:
+    """``learn`` on a bounded sample (id, label, text; see ``common.labelled_sample``) in one task; only
+    the grammar comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learn(rows))], pa.binary())], ["grammar"])
+
+    found = sample.select("id", "label", "text").repartition(1).mapInArrow(run, "grammar binary").first()
+    return pickle.loads(found[0]) if found else Grammar({}, {})
+
+
 def _half(cluster: int) -> int:
     return xxhash.xxh64_intdigest(str(cluster)) & 1
 
