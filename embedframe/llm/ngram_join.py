@@ -5,14 +5,16 @@ Texts with equal shingle sets are one *node*.  Then filters come before any pair
 1. *Prefix under a global order.*  All shingles have a global order (of a hash).  Of a set of n
    shingles only the first n - ceil(t n) + l are kept; two sets of similarity t or more share at
    least min(l, l') of those.  Nodes whose prefix holds too few shingles that any other node's
-   prefix holds have no partner.  The others are joined to the smallest node of each shared
-   prefix shingle, never to one another, and the connected components of these links are
-   *families*: every linked pair lies in one.
-2. *Other global orders.*  Families are cut into cells by set size (similar sets differ by 1/t
-   at most) and bounded bytes.  Where two cells meet, a pair is a candidate only if it shares
+   prefix holds have no partner.
+2. *Order by rarity.*  What is left of a prefix is ordered by document frequency, and again only
+   the first part can hold the rarest shingle of a similar pair, so passages that very many texts
+   share drop out.  Nodes are joined to the smallest node of each shingle left, never to one
+   another; the connected components are *families*, and every linked pair lies in one.
+3. *More global orders.*  Large families are cut into cells by set size (similar sets differ
+   by 1/t at most) and bounded bytes.  Where two cells meet, a pair is a candidate only if it shares
    enough prefix shingles under every one of three orders, whose filters are intersected; only
    then are the whole sets compared.
-3. *Links that can't change the result are skipped.*  Pairs that are already connected need no
+4. *Links that can't change the result are skipped.*  Pairs that are already connected need no
    comparison.  Cells are compared within first, then with a few hubs of their family, and in
    the end all nodes outside their family's largest component with all nodes of similar size,
    so a family of many near copies costs about its size, and no link between different
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -48,7 +49,7 @@ _PLACE = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0
                    0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0xD6E8FEB86659FD93], np.uint64)
 _ORDERS = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D], np.uint64)
 CHUNK = 1 << 20
-CELL_SHINGLES = 1_500_000
+CELL_SHINGLES = 500_000
 HUBS = 32
 
 
@@ -233,7 +234,7 @@ class _Shared:
         old = np.where(known, self.node[np.minimum(at, max(0, len(self.key) - 1))], node[head]) if len(self.key) else node[head]
         shared = (count > 1) | known & (old != node[head])
         take = np.repeat(shared, count)
-        before = known & shared & ~(self.told[np.minimum(at, max(0, len(self.key) - 1))] if len(self.key) else False)
+        before = known & shared & ~(self.told[np.minimum(at, len(self.key) - 1)] if len(self.key) else known)
         out = (np.concatenate([key[take], key[head][before]]), np.concatenate([node[take], old[before]]))
         if len(self.key):
             self.told[at[known & shared]] = True
@@ -274,27 +275,24 @@ def shared_postings(packed: DataFrame, parts: int, block: int = 2_000_000) -> Da
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "token long, node long")
 
 
-def _size_rule(rule: Rule):
-    """ceil(t n) and least_shared(n) as expressions of a column."""
-    def need(n):
-        return F.floor((n * rule.num + (rule.den - 1)) / rule.den)
-
-    return need, lambda n: F.greatest(F.lit(1), F.floor(need(n) / 10))
-
-
 def families(docs: DataFrame, nodes: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     """(node, family) of the nodes that may have a partner; written."""
     spark = docs.sparkSession
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = min(1 << 22, 1 << (4 * parts - 1).bit_length())
     shared = common.written(shared_postings(packed_prefixes(docs, rule, buckets, text_col), parts), "join-shared")
-    _, least = _size_rule(rule)
-    counts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    alive = nodes.join(counts, "node").where(F.col("shared") >= least(F.col("n"))).select("node")
-    alive = common.written(alive, "join-alive")
-    postings = shared.join(alive, "node", "left_semi")
-    first = postings.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("token", "first")
-    links = postings.join(first, "token").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
+    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * rule.num + (rule.den - 1)) / rule.den) / 10))
+    own = Window.partitionBy("node")  # a node's shingles are at most its prefix
+    alive = (shared.join(nodes, "node").withColumn("least", least).withColumn("_all", F.count(F.lit(1)).over(own))
+             .where(F.col("_all") >= F.col("least")).select("token", "node", "least"))
+    postings = common.written(alive, "join-alive").repartition("token")  # one shuffle serves the two uses below
+    held = postings.groupBy("token").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("df"))
+    # Order by rarity: of r shared shingles, of which a similar set has ``least``, the r - least + 1 rarest
+    # hold the rarest common one.
+    kept = (postings.join(held.where("first < last").select("token", "first", "df"), "token")
+            .withColumn("_rank", F.row_number().over(own.orderBy("df", "token"))).withColumn("_all", F.count(F.lit(1)).over(own))
+            .where(F.col("_rank") <= F.col("_all") - F.col("least") + 1))
+    links = kept.where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
     links = common.written(links, "join-links")
     ends = links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
     return common.written(connected_components(ends, links, "id").select(F.col("id").alias("node"), F.col("component").alias("family")),
@@ -319,9 +317,9 @@ def _bloom(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def member_sets(docs: DataFrame, fam: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """(node, n, tokens, family): the whole set of every node in a family, once; written."""
-    bloom = common.broadcast_value(docs.sparkSession, np.unpackbits(_bloom(fam).view(np.uint8), bitorder="little"))
+def member_sets(docs: DataFrame, placed: DataFrame, rule: Rule, text_col: str) -> DataFrame:
+    """``placed`` (node, and its cell) with ``tokens``, the whole set of every node, once; written."""
+    bloom = common.broadcast_value(docs.sparkSession, np.unpackbits(_bloom(placed).view(np.uint8), bitorder="little"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = bloom.value, set()
@@ -333,14 +331,13 @@ def member_sets(docs: DataFrame, fam: DataFrame, rule: Rule, text_col: str) -> D
                     if node not in seen and all(bits[p] for p in _positions(node)):
                         if len(seen) < 1_000_000:
                             seen.add(node)
-                        rows.append((node, len(s), s.tobytes()))
+                        rows.append((node, s.tobytes()))
             if rows:
-                node, n, tokens = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary())],
-                                                 ["node", "n", "tokens"])
+                node, tokens = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
-    found = _texts(docs, text_col).mapInArrow(run, "node long, n long, tokens binary")
-    return common.written(found.join(fam, "node").dropDuplicates(["node"]), "join-sets")
+    found = _texts(docs, text_col).mapInArrow(run, "node long, tokens binary")
+    return common.written(found.join(placed, "node").dropDuplicates(["node"]), "join-sets")
 
 
 def _positions(node: int) -> tuple[int, int]:
@@ -360,10 +357,11 @@ class _Sets:
         distinct, ids = np.unique(np.concatenate(own), return_inverse=True)
         self.ids = np.split(ids.astype(np.int32), np.cumsum(self.n)[:-1])
         self.mark = np.zeros(len(distinct), bool)
-        keys = [_mix(distinct * o) for o in _ORDERS]
         lengths = rule.prefix(self.n).tolist()
-        self.prefix = [[x if k >= len(x) else x[np.argpartition(key[x], k - 1)[:k]] for x, k in zip(self.ids, lengths, strict=True)]
-                       for key in keys]
+        self.prefix = []
+        for order in _ORDERS:
+            key = _mix(distinct * order)
+            self.prefix.append([x if k >= len(x) else x[np.argpartition(key[x], k - 1)[:k]] for x, k in zip(self.ids, lengths, strict=True)])
 
     def shared(self, one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
         """How many tokens of ``one`` each of ``many`` holds."""
@@ -405,61 +403,83 @@ def compare(left: list[tuple[int, int, bytes]], right: list[tuple[int, int, byte
 
 def _compared(rows: DataFrame, keys: list[str], rule: Rule, own: bool) -> DataFrame:
     """(src, dst) of the groups of rows (keys, node, comp, tokens, side)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [list(zip(p["node"].tolist(), p["comp"].tolist(), p["tokens"].tolist(), strict=True))
-                 for p in (pdf[pdf["side"] == k] for k in range(2))]
-        found = compare(sides[0], None if own else sides[1], rule) if sides[0] and (own or sides[1]) else []
-        return pd.DataFrame(found, columns=["src", "dst"]).astype("int64")
-
-    return common.written(rows.select(*keys, "node", "comp", "tokens", "side").groupBy(*keys).applyInPandas(run, "src long, dst long"), "join-found")
+    def run(g: pa.RecordBatch) -> list[pa.Array] | None:
+        side = g.column("side").to_numpy()
+        both = list(zip(g.column("node").to_pylist(), g.column("comp").to_pylist(), g.column("tokens").to_pylist(), strict=True))
+        split = int((side == 0).sum())
+        if split == 0 or not own and split == len(both):
+            return None
+        found = compare(both[:split], None if own else both[split:], rule)
+        return [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())] if found else None
+
+    return common.written(common.by_group(rows.select(*keys, "node", "comp", "tokens", "side"), keys, ["side", "node"],
+                                          "src long, dst long", run), "join-found")
+
+
+def cells(fam: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """(node, family, cls, sub, cells, split).  ``cells``: where a node is compared first, as (window,
+    part).  A family of up to CELL_SHINGLES shingles is one cell.  A larger one is cut by size class
+    (similar sets are in the same class or the next), and each two neighbouring classes are a window; a
+    window of too many shingles is cut further by a hash of the node, and then ``split`` marks the
+    family, for which cells alone don't bring all similar sizes together.  ``cls`` and ``sub`` place a
+    node by its own class."""
+    sized = fam.join(nodes, "node")
+    cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(rule.den / rule.num))) + 1e-9).cast("long")
+    total = sized.groupBy("family").agg(F.sum("n").alias("total"))
+    sized = common.written(sized.join(total, "family").withColumn("cls", F.when(F.col("total") > CELL_SHINGLES, cls).otherwise(F.lit(0)))
+                           .withColumn("large", F.col("total") > CELL_SHINGLES), "join-sized")
+
+    def parts(by: str, rows: DataFrame) -> DataFrame:
+        return rows.groupBy("family", by).agg(F.ceil(F.sum("n") / CELL_SHINGLES).alias(f"{by}_parts"))
+
+    windows = sized.withColumn("w", F.explode(F.when(F.col("large"), F.array("cls", F.col("cls") + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    split = parts("w", windows).groupBy("family").agg((F.max("w_parts") > 1).alias("split"))
+    part = F.pmod(F.xxhash64("node"), F.col("w_parts"))
+    placed = windows.join(parts("w", windows), ["family", "w"]).groupBy("node", "family", "cls").agg(
+        F.collect_list(F.struct("w", part.alias("part"))).alias("cells"))  # one or two
+    placed = placed.join(parts("cls", sized), ["family", "cls"]).join(split, "family")
+    return common.written(placed.withColumn("sub", F.pmod(F.xxhash64("node"), F.col("cls_parts"))).drop("cls_parts"), "join-cells")
+
+
+def _components_of(links: DataFrame) -> DataFrame:
+    ends = links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
+    return connected_components(ends, links, "id").select(F.col("id").alias("node"), F.col("component").alias("comp"))
 
 
 def node_components(docs: DataFrame, nodes: DataFrame, rule: Rule, text_col: str) -> DataFrame:
-    """(node, comp) of the nodes in families: comp is the smallest node that links reach; written."""
-    fam = families(docs, nodes, rule, text_col)
-    sets = member_sets(docs, fam, rule, text_col)
-    sets = sets.withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(rule.den / rule.num))) + 1e-9).cast("long"))
-    weight = sets.groupBy("family", "cls").agg(F.ceil(F.sum("n") / CELL_SHINGLES).alias("subs"))
-    sets = sets.join(weight, ["family", "cls"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs"))).drop("subs")
-    sets = common.written(sets, "join-cells")
-    ids = sets.select(F.col("node").alias("id"))
-
-    def joined(links: DataFrame) -> DataFrame:
-        comps = connected_components(ids, links, "id").select(F.col("id").alias("node"), F.col("component").alias("comp"))
-        return sets.join(comps, "node")
-
+    """(node, comp) of the nodes with links: comp is the smallest node that links reach."""
+    sets = member_sets(docs, cells(families(docs, nodes, rule, text_col), nodes, rule), rule, text_col)
     cell = ["family", "cls", "sub"]
-    # within cells; the families that are one cell are then complete
-    start = sets.withColumn("comp", F.col("node")).withColumn("side", F.lit(0))
-    links = _compared(start, cell, rule, own=True)
-    several = sets.groupBy("family").agg(F.countDistinct("cls", "sub").alias("cells")).where("cells > 1").select("family")
-    several = common.written(several, "join-several")
-    if several.isEmpty():
-        return common.written(joined(links).select("node", "comp"), "join-components")
-    # with hubs of the family: a few nodes of each size class
-    now = common.written(joined(links).join(several, "family", "left_semi"), "join-now")
+    first = sets.select("family", F.explode("cells").alias("_c"), "node", F.col("node").alias("comp"), "tokens", F.lit(0).alias("side"))
+    links = _compared(first.select("family", "_c.w", "_c.part", "node", "comp", "tokens", "side"), ["family", "w", "part"], rule, own=True)
+    large = common.written(sets.where("split").select("node", *cell), "join-large")
+    if large.isEmpty():
+        return _components_of(links)
+    tokens = sets.where("split").select("node", "tokens")
+
+    def with_components(links: DataFrame) -> DataFrame:
+        return common.written(large.join(_components_of(links), "node", "left").withColumn("comp", F.coalesce("comp", "node")), "join-now")
+
+    # with hubs of the family: a few nodes of each size class.  Rows are placed without their sets.
+    now = with_components(links)
     hubs = (now.withColumn("_rank", F.row_number().over(Window.partitionBy("family", "cls").orderBy(F.xxhash64("node"), "node")))
             .where(F.col("_rank") <= HUBS).drop("_rank", "sub"))
-    cells = now.select(*cell).distinct()
     to = hubs.withColumn("_cls", F.col("cls")).drop("cls").withColumn("cls", F.explode(F.array(*[F.col("_cls") + d for d in (-1, 0, 1)])))
-    to = to.join(cells, ["family", "cls"]).select(*cell, "node", "comp", "tokens", F.lit(1).alias("side"))
-    rows = now.select(*cell, "node", "comp", "tokens", F.lit(0).alias("side")).unionByName(to)
-    links = links.unionByName(_compared(rows, cell, rule, own=False))
+    to = to.join(large.select(*cell).distinct(), ["family", "cls"]).select(*cell, "node", "comp", F.lit(1).alias("side"))
+    rows = now.select(*cell, "node", "comp", F.lit(0).alias("side")).unionByName(to)
+    links = links.unionByName(_compared(rows.join(tokens, "node"), cell, rule, own=False))
     # the nodes outside their family's largest component with all nodes of similar size
-    now = common.written(joined(links).join(several, "family", "left_semi"), "join-now")
+    now = with_components(links)
     counts = now.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("k"))
     largest = counts.groupBy("family").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"))
-    outside = now.join(largest, "family").where("comp <> largest").drop("largest")
-    a = outside.select("family", F.col("cls").alias("c1"), F.col("sub").alias("s1"), "node", "comp", "tokens")
-    own = now.select("family", F.col("cls").alias("c2"), F.col("sub").alias("s2"), "node", "comp", "tokens")
-    left_cells = a.select("family", "c1", "s1").distinct()
-    right_cells = own.select("family", "c2", "s2").distinct()
-    meet = left_cells.join(right_cells, "family").where((F.abs(F.col("c1") - F.col("c2")) <= 1) & ~((F.col("c1") == F.col("c2")) & (F.col("s1") == F.col("s2"))))
+    a = now.join(largest, "family").where("comp <> largest").select("family", F.col("cls").alias("c1"), F.col("sub").alias("s1"), "node", "comp")
+    own = now.select("family", F.col("cls").alias("c2"), F.col("sub").alias("s2"), "node", "comp")
+    meet = (a.select("family", "c1", "s1").distinct().join(own.select("family", "c2", "s2").distinct(), "family")
+            .where(F.abs(F.col("c1") - F.col("c2")) <= 1))
     keys = ["family", "c1", "s1", "c2", "s2"]
-    rows = (a.join(meet, ["family", "c1", "s1"]).select(*keys, "node", "comp", "tokens", F.lit(0).alias("side"))
-            .unionByName(own.join(meet, ["family", "c2", "s2"]).select(*keys, "node", "comp", "tokens", F.lit(1).alias("side"))))
-    links = links.unionByName(_compared(rows, keys, rule, own=False))
-    return common.written(joined(links).select("node", "comp"), "join-components")
+    rows = (a.join(meet, ["family", "c1", "s1"]).select(*keys, "node", "comp", F.lit(0).alias("side"))
+            .unionByName(own.join(meet, ["family", "c2", "s2"]).select(*keys, "node", "comp", F.lit(1).alias("side"))))
+    return _components_of(links.unionByName(_compared(rows.join(tokens, "node"), keys, rule, own=False)))
 
 
 def components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -473,8 +493,9 @@ def components(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", tex
     classes = common.written(own.where("node is not null").groupBy("node").agg(
         F.min(id_col).alias("first_id"), F.max("n_shingles").alias("n")), "join-nodes")
     comps = node_components(docs, classes.select("node", "n"), rule, text_col)
+    comps = common.written(comps, "join-components")
     smallest = comps.join(classes, "node").groupBy("comp").agg(F.min("first_id").alias("least_id"))
-    labels = (classes.join(comps, "node", "left").join(smallest, "comp", "left")
+    labels = (classes.join(comps.join(smallest, "comp").select("node", "least_id"), "node", "left")
               .select("node", F.coalesce("least_id", "first_id").alias("component_id")))
     return own.join(labels, "node", "left").select(
         id_col, "n_shingles", F.coalesce("component_id", F.col(id_col)).alias("component_id"))

@@ -93,7 +93,7 @@ def test_shared_postings_in_blocks():
         assert got == want
 
 
-@pytest.mark.parametrize("cell", [1_500_000, 400])
+@pytest.mark.parametrize("cell", [500_000, 400])
 def test_against_all_pairs(spark, monkeypatch, cell):
     """With tiny cells, families of near copies take the way over hubs and outsiders."""
     monkeypatch.setattr(J, "CELL_SHINGLES", cell)
