@@ -46,3 +46,13 @@ def test_registered_lsh_reaches_the_bar(spark):
     e = approximate._emb(spark, sf).cache()
     truth = K.knn(e, e, 10, "cosine").select("query_id", "neighbor_id")
     assert recall(truth, approximate.knn_approx_lsh(spark, sf)) >= 0.9
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_registered_ivf_reaches_the_bar(spark, size):
+    from embedframe.plans import approximate
+
+    sf = f"/root/testdata/{size}"
+    e = approximate._emb(spark, sf).cache()
+    truth = K.knn(e, e, 10, "cosine").select("query_id", "neighbor_id")
+    assert recall(truth, approximate.knn_approx_ivf(spark, sf)) >= 0.9
