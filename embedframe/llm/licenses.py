@@ -3,7 +3,8 @@
 Where a text holds many words of a license template close together, the two are aligned: words that
 occur once in both are anchors, the longest increasing run of them is kept, and the gaps between
 kept anchors, and before and after them, are aligned the same way.  The share of the template's
-words that find a partner is its coverage.
+words that find a partner is its coverage.  The words that name the license (``NAMES``) must all
+find one, side by side.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -46,17 +47,62 @@ TEMPLATES = {
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Licensed under CC BY NC 4.0.",
+        "This work is licensed under the Creative Commons Attribution NonCommercial 4.0 International License.",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
         "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and "
         "the following disclaimer.",
+        "Released under the BSD License.",
+        "Released under the BSD 2-Clause License.",
+        "Released under the BSD 3-Clause License.",
     ],
+    "ISC": ["Released under the ISC License."],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1."],
+    "MPL-2.0": [
+        "Licensed under the Mozilla Public License, Version 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "This work is licensed under the Creative Commons CC0 1.0 Universal License."],
+}
+
+#: Phrases that tell a license from its neighbours: wherever a template holds one, the text must hold it unbroken.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0"],
+    "Apache-1.1": ["Apache License, Version 1.1"],
+    "MIT": ["MIT License"],
+    "GPL-3.0": ["GNU General Public License", "version 3"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC BY NC 4.0", "Attribution-NonCommercial 4.0", "Attribution NonCommercial 4.0"],
+    "BSD": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "MPL-2.0": ["Mozilla Public License", "Version 2.0", "v. 2.0"],
+    "CC0-1.0": ["CC0 1.0"],
 }
+for _license, _kind, _version in (("GPL-2.0", "", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+    NAMES[_license] = [f"GNU {_kind}General Public License", f"version {_version}"]
+    TEMPLATES[_license] = [t.replace("GNU ", f"GNU {_kind}").replace("version 3", f"version {_version}") for t in TEMPLATES["GPL-3.0"]]
+for _license, _short, _long in (("CC-BY-4.0", "BY", "Attribution"), ("CC-BY-SA-4.0", "BY-SA", "Attribution-ShareAlike"),
+                                ("CC-BY-ND-4.0", "BY-ND", "Attribution-NoDerivatives"),
+                                ("CC-BY-NC-SA-4.0", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                                ("CC-BY-NC-ND-4.0", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    NAMES[_license] = [f"CC {_short} 4.0", f"{_long} 4.0"]
+    TEMPLATES[_license] = [f"Licensed under CC {_short} 4.0.",
+                           f"This work is licensed under the Creative Commons {_long} 4.0 International License."]
 
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
+WHOLE = re.compile(r"([0-9]+)(?:\.0)+")
+
+
+def fold(word: str) -> str:
+    """Lower case; versions such as 3.0 and 3 are the same."""
+    m = WHOLE.fullmatch(word)
+    return m[1] if m else word.lower()
+
+
 def longest_increasing(values: list[int]) -> list[int]:
     """Indices of a longest strictly increasing subsequence."""
     tails: list[int] = []
@@ -115,14 +161,40 @@ class Match:
 class Scanner:
     """Finds templates in texts; ``templates`` are notices by license name."""
 
-    def __init__(self, templates: dict[str, list[str]], least: float = 0.8):
+    def __init__(self, templates: dict[str, list[str]], least: float = 0.8, names: dict[str, list[str]] | None = None):
         self.least = least
-        self.templates = [(name, k, WORD.findall(t.lower())) for name, ts in templates.items() for k, t in enumerate(ts)]
+        names = NAMES if names is None else names
+        self.templates = [(name, k, [fold(w) for w in WORD.findall(t)]) for name, ts in templates.items() for k, t in enumerate(ts)]
         self.templates = [t for t in self.templates if t[2]]
-        self.of_word: dict[str, list[int]] = {}
-        for i, (_, _, words) in enumerate(self.templates):
-            for w in set(words):
-                self.of_word.setdefault(w, []).append(i)
+        self.named = [self._places(words, names.get(name, ())) for name, _, words in self.templates]
+        self.needed = [{words[i] for a, b in at for i in range(a, b)} for (_, _, words), at in zip(self.templates, self.named, strict=True)]
+        self.of_words: dict[tuple[int, ...], dict[str, list[int]]] = {}
+
+    @staticmethod
+    def _places(words: list[str], names: Iterable[str]) -> list[tuple[int, int]]:
+        """Where the template holds the names: (first word, past)."""
+        out = []
+        for name in names:
+            own = [fold(w) for w in WORD.findall(name)]
+            out += [(i, i + len(own)) for i in range(len(words) - len(own) + 1) if words[i:i + len(own)] == own][:1]
+        return out
+
+    def _of_word(self, present: set[str]) -> dict[str, list[int]]:
+        """Words of the templates whose names the text can hold."""
+        live = tuple(i for i, needed in enumerate(self.needed) if needed <= present)
+        if live not in self.of_words:
+            self.of_words[live] = {}
+            for i in live:
+                for w in set(self.templates[i][2]):
+                    self.of_words[live].setdefault(w, []).append(i)
+        return self.of_words[live]
+
+    def _holds_names(self, t: int, pairs: list[tuple[int, int]]) -> bool:
+        """Whether each name of the template is aligned whole, with nothing in between."""
+        if not self.named[t]:
+            return True
+        place = {j: i for i, j in pairs}
+        return all(all(j in place and place[j] - j == place.get(a, 0) - a for j in range(a, b)) for a, b in self.named[t])
 
     def scan(self, text: str | None) -> list[Match]:
         """Matches of at least the least coverage.  Of overlapping ones the one with most matched words
@@ -130,10 +202,11 @@ class Scanner:
         if not text:
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        words = [text[a:b].lower() for a, b in spans]
+        words = [fold(text[a:b]) for a, b in spans]
+        of_word = self._of_word(set(words))
         hits: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            for t in self.of_word.get(w, ()):
+            for t in of_word.get(w, ()):
                 hits.setdefault(t, []).append(i)
         found = []
         for t, at in hits.items():
@@ -157,7 +230,7 @@ class Scanner:
             # a window with too few of the template's words can't reach the coverage
             if last - first >= need:
                 pairs = patience(words[at[first]:at[first] + reach], template)
-                if len(pairs) >= need:
+                if len(pairs) >= need and self._holds_names(t, pairs):
                     a, b = at[first] + pairs[0][0], at[first] + pairs[-1][0]
                     yield Match(name, k, spans[a][0], spans[b][1], len(pairs), len(pairs) / size)
             first += 1
