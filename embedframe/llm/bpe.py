@@ -49,6 +49,19 @@ def load_byte_level_json(path: str) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+def load_added_tokens(path: str) -> dict[str, int]:
+    """Text to id of the added tokens of such a file.  Only tokens that match their exact text
+    anywhere are supported, and none may start with another."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    out = {t["content"]: t["id"] for t in added}
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with single_word, lstrip, rstrip or normalized are not supported")
+    if any(a != b and a.startswith(b) for a in out for b in out):
+        raise ValueError("an added token starts with another one")
+    return out
+
+
 class Transducer:
     """Encodes byte strings (one pre-token each) by ``ranks``; see the module docstring."""
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .bpe import load_byte_level_json
+from .bpe import load_added_tokens, load_byte_level_json
 
 PLAN_SCHEMA = "length int, first long, past long, sequence_base long, times int, offset_base int"
 
@@ -125,11 +125,13 @@ _ENCODINGS: dict = {}
 
 def encoding(path: str, pattern: str):
     """The encoder of a byte-level vocabulary file, built once in each Python worker.  Ids follow
-    merge order there, so ranks give the same ids as the file's merges (a test compares them)."""
+    merge order there, so ranks give the same ids as the file's merges (a test compares them).  Texts
+    are split at the file's added tokens, which keep their own ids."""
     key = (path, pattern)
     if key not in _ENCODINGS:
         import tiktoken
-        _ENCODINGS[key] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_byte_level_json(path), special_tokens={})
+        _ENCODINGS[key] = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=load_byte_level_json(path),
+                                            special_tokens=load_added_tokens(path))
     return _ENCODINGS[key]
 
 
@@ -150,7 +152,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = 1024,
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column(1).to_pylist()):
-                tokens = np.append(encode.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+                tokens = np.append(encode.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
                 n = len(tokens)
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for k in range(len(cuts) - 1):
