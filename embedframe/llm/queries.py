@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, kdtree, licenses, ngram_join, packing, ppm, pstable, quality, toxicity
+from . import bit_sliced, bpe, kdtree, licenses, ngram_join, packing, piece_bpe, ppm, pstable, quality, toxicity
 from .common import fold, table
 
 
@@ -53,6 +53,10 @@ def op10_ngram_jaccard(spark, sf_dir):
     return ngram_join.components(table(spark, sf_dir, "documents"))
 
 
+def op11_piece_bpe(spark, sf_dir):
+    return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op7_embedding_near_dedup(spark, sf_dir):
     return pstable.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_kd_sharding": op9_kd_sharding,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_piece_bpe": op11_piece_bpe,
 }
 
 ORACLE = {
