@@ -106,7 +106,9 @@ class Pieces:
         inside = re.escape("".join(alone))
         self.split = re.compile(f"{SPACE}*[^{SPACE}{inside}]+|{SPACE}+" + (f"|[{inside}]" if alone else "")).findall
         self.most_words = most_words
-        self.words: dict[str, tuple[str, bytes]] = {}
+        self.id_text = [str(i) for i in range(self.n)]
+        self.words: dict[str, tuple[str, bytes]] = {}  # ids as decimal text and as little-endian integers
+        self.old: dict[str, tuple[str, bytes]] = {}
 
     def _pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, piece) that symbols ``a`` and ``b`` make side by side."""
@@ -115,8 +117,8 @@ class Pieces:
         found = self.keys[at] == key
         return np.where(found, self.rank[at], NO_PAIR), self.made[at]
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, by rounds over all of them."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words one after another, and where each word's begin (and the last end), by rounds over all of them."""
         cps = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         lens = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lens)
@@ -169,9 +171,14 @@ class Pieces:
         out_at, out = np.concatenate([np.zeros(0, np.int64), *done_at]), np.concatenate([np.zeros(0, np.int64), *done_sym])
         order = np.argsort(out_at, kind="stable")
         owner, out = word[out_at[order]], out[order]
-        cuts = np.searchsorted(owner, np.arange(len(words) + 1))
-        flat = out.tolist()
-        return [self._spelled(flat[a:b]) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        strange = np.flatnonzero(out >= self.n)  # characters without a piece are spelled in bytes
+        if len(strange):
+            spelled = [[self.byte_id[b] for b in chr(s - self.n).encode("utf-8", "surrogatepass")] for s in out[strange].tolist()]
+            size = np.ones(len(out), np.int64)
+            size[strange] = [len(x) for x in spelled]
+            out, owner = np.repeat(out, size), np.repeat(owner, size)
+            out[out >= self.n] = np.concatenate(spelled)
+        return out, np.searchsorted(owner, np.arange(len(words) + 1))
 
     def _ranks(self, sym: np.ndarray, seg: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(len(sym)) if at is None else at
@@ -210,24 +217,18 @@ class Pieces:
         keep = size > 0
         return home[keep], np.where(sym == space, self.run_ids[size], sym)[keep]
 
-    def _spelled(self, symbols: list[int]) -> list[int]:
-        out: list[int] = []
-        for s in symbols:
-            if s < self.n:
-                out.append(s)
-            else:
-                out.extend(self.byte_id[b] for b in chr(s - self.n).encode("utf-8", "surrogatepass"))
-        return out
-
     def learn(self, texts: Iterable[list[str]]) -> None:
-        """Merge the words that the cache lacks, all at once."""
+        """Merge the words that the cache lacks, all at once.  The cache keeps the words since it was last
+        full, and those of the time before."""
+        if len(self.words) > self.most_words:
+            self.words, self.old = {}, self.words
         missing = set().union(*texts).difference(self.words)
-        if len(self.words) + len(missing) > self.most_words:
-            self.words = {}
-            missing = set().union(*texts)
-        todo = list(missing)
-        for word, ids in zip(todo, self.merge(todo), strict=True):
-            self.words[word] = (" ".join(map(str, ids)), np.array(ids, "<i4").tobytes())
+        kept = [w for w in missing if w in self.old]
+        self.words.update(zip(kept, map(self.old.__getitem__, kept)))
+        todo = list(missing.difference(kept))
+        ids, cuts = self.merge(todo)
+        raw, names, cuts = ids.astype("<i4").tobytes(), list(map(self.id_text.__getitem__, ids.tolist())), cuts.tolist()
+        self.words.update((w, (" ".join(names[a:b]), raw[4 * a:4 * b])) for w, a, b in zip(todo, cuts[:-1], cuts[1:], strict=True))
 
     def cut(self, text: str | None) -> list[str]:
         return self.split(SPACE + text.replace(" ", SPACE)) if text else []

@@ -51,8 +51,9 @@ def test_rounds_equal_one_by_one_merges():
         rank = {s: r.randint(0, 12) for s in strings}
         _tables(mine, rank)
         words = ["".join(r.choices("abcd", k=r.randint(1, 70))) for _ in range(50)]
-        for word, got in zip(words, mine.merge(words), strict=True):
-            assert [mine.names[i] for i in got] == _one_by_one(word, rank)
+        ids, cuts = mine.merge(words)
+        for word, a, b in zip(words, cuts[:-1], cuts[1:], strict=True):
+            assert [mine.names[i] for i in ids[a:b]] == _one_by_one(word, rank)
 
 
 def _one_by_one(word, rank):
