@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bit_sliced, bpe, conversation_repair, kdtree, licenses, ngram_join, packing, piece_bpe, ppm, pstable, quality, toxicity
+from . import bit_sliced, bpe, conversation_repair, hard_negatives, kdtree, licenses, ngram_join, packing, piece_bpe, ppm, pstable, quality, toxicity
 from .common import fold, table
 
 
@@ -71,6 +71,12 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair(damaged(table(spark, sf_dir, "conversations")), here=F.col("here"))
 
 
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0, n_positives=5, n_negatives=5, scale=256.0, low_pct=80, high_pct=100)
+
+
 def op7_embedding_near_dedup(spark, sf_dir):
     return pstable.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -88,6 +94,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_piece_bpe": op11_piece_bpe,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
@@ -167,5 +174,27 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit,
        sha256(coalesce(substr(b.m, 2), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM ids.conv_id
+""",
+    "op13_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda t: t[1] * t[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
 """,
 }
