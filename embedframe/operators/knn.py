@@ -13,6 +13,10 @@ block cross the network.  Task memory is bounded by ``block_rows``² doubles wha
 table size, and every block holds about the same number of rows because blocks come from
 a hash of the row id, not from a data value (a hot ``by`` value is split like any other).
 
+Rows whose vector is NULL or holds a NULL or non-finite component take no part: they are no query, no
+neighbour and no pivot.  Vectors of different lengths don't meet; an empty vector meets empty ones, at
+similarity 0.
+
 Ordering contract (shared with the DuckDB oracle): similarity rounded to 6 decimals,
 descending, ties by the smaller neighbour id.
 """
@@ -79,6 +83,22 @@ def similarity_matrix(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}; expected one of {METRICS}")
 
 
+def usable(df: DataFrame, vec_col: str) -> DataFrame:
+    """The rows whose vector is there and has no NULL, NaN or infinite component."""
+    kind = df.schema[vec_col].dataType
+    if not isinstance(kind, T.ArrayType):
+        return df.where(F.col(vec_col).isNotNull())
+    fine = lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float("inf")))  # noqa: E731  NaN is above infinity here
+    return df.where(F.col(vec_col).isNotNull() & F.forall(F.col(vec_col), fine))
+
+
+def same_length(left: pd.Series, right: pd.Series):
+    """Places of the left and right vectors of each length that both sides have."""
+    a, b = left.map(len).to_numpy(), right.map(len).to_numpy()
+    for n in np.intersect1d(a, b):
+        yield np.flatnonzero(a == n), np.flatnonzero(b == n)
+
+
 def _stack(col: pd.Series, bits_width: int | None = None) -> np.ndarray:
     """Rows of a vector column as a float64 matrix; with ``bits_width`` the column holds on-bit
     index lists, expanded to dense 0/1 rows (Tanimoto on them is the Jaccard of the sets)."""
@@ -103,9 +123,10 @@ def _local_topk(by: Sequence[str], k: int, metric, exclude_self: bool, bits_widt
         cols = list(by) + (["metric"] if multi else []) + ["query_id", "neighbor_id", "similarity"]
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({c: [] for c in cols})
+        if not bits_width and (left["_qv"].map(len).nunique() > 1 or right["_cv"].map(len).nunique() > 1 or len(left["_qv"].iloc[0]) != len(right["_cv"].iloc[0])):
+            parts = [run(key, left.iloc[a], right.iloc[b]) for a, b in same_length(left["_qv"], right["_cv"])]
+            return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: [] for c in cols})
         q, c = _stack(left["_qv"], bits_width), _stack(right["_cv"], bits_width)
-        if q.shape[1] != c.shape[1]:
-            raise ValueError(f"dimension mismatch: queries {q.shape[1]} vs corpus {c.shape[1]}")
         qid = left["_qid"].to_numpy()
         cid = right["_cid"].to_numpy()
         valid = np.ones((len(qid), len(cid)), dtype=bool)
@@ -215,6 +236,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str | Sequence[st
     if k < 1:
         raise ValueError("k must be ≥ 1")
     by = list(by)
+    queries, corpus = usable(queries, vec_col), usable(corpus, vec_col)
     if pivots:
         if by or multi or bits_width:
             raise ValueError("pivots go with one metric and no groups")
@@ -248,21 +270,26 @@ def pivot_cells(queries: DataFrame, corpus: DataFrame, metric: str, pivots: int,
 
     Pivots are ``pivots`` corpus rows, those of the smallest id hashes: a parameter's worth of vectors.
     Zero vectors, which cosine gives no direction, lie in cell -1, near everything."""
-    picked = corpus.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(pivots).select(vec_col).collect()
-    centres = np.array([r[0] for r in picked], dtype=np.float64)
+    picked = [r[0] for r in corpus.orderBy(F.xxhash64(id_col), id_col).limit(pivots).select(vec_col).collect()]
+    # pivots of one length; vectors of another lie in cell -1
+    width = max({len(v) for v in picked}, key=[len(v) for v in picked].count, default=0)
+    centres = np.array([v for v in picked if len(v) == width], dtype=np.float64)
     if metric == "cosine" and len(centres):
         n = np.sqrt((centres * centres).sum(1, keepdims=True))
         centres = (centres / np.where(n > 0, n, 1.0))[n.ravel() > 0]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def distances(vs: pd.Series) -> pd.Series:
-        x = _stack(vs)
-        if not len(x) or not len(centres):
-            return pd.Series([[] for _ in range(len(vs))])
-        d = _pivot_distances(x, centres, metric)
-        if metric == "cosine":
-            d[~(x * x).any(axis=1)] = 0.0
-        return pd.Series(list(d))
+        out = pd.Series([np.zeros(0)] * len(vs))
+        fits = np.flatnonzero(vs.map(len).to_numpy() == width) if len(centres) else []
+        if len(fits):
+            x = _stack(vs.iloc[fits])
+            d = _pivot_distances(x, centres, metric)
+            if metric == "cosine":
+                d[~(x * x).any(axis=1)] = 0.0
+            for i, row in zip(fits, d, strict=True):
+                out[i] = row
+        return out
 
     zero = ~F.exists(F.col(vec_col), lambda v: v != 0) if metric == "cosine" else F.lit(False)
     cell = F.when(zero | (F.size("_pd") == 0), F.lit(-1)).otherwise((F.array_position("_pd", F.array_min("_pd")) - 1).cast("int"))

@@ -45,12 +45,13 @@ def _local_star(eps: float):
         empty = pd.DataFrame({"src": pd.Series([], dtype="int64"), "dst": pd.Series([], dtype="int64")})
         if len(left) == 0 or len(right) == 0:
             return empty
-        q = np.stack([np.asarray(v, dtype=np.float64) for v in left["_qv"]])
-        c = np.stack([np.asarray(v, dtype=np.float64) for v in right["_cv"]])
-        d = -K._round_half_up(K.similarity_matrix(q, c, "euclidean"))
         qid = left["_qid"].to_numpy().astype(np.int64)
         cid = right["_cid"].to_numpy().astype(np.int64)
-        adj = (d <= eps) & (qid[:, None] != cid[None, :])
+        adj = np.zeros((len(qid), len(cid)), dtype=bool)
+        for i, j in K.same_length(left["_qv"], right["_cv"]):
+            d = -K._round_half_up(K.similarity_matrix(K._stack(left["_qv"].iloc[i]), K._stack(right["_cv"].iloc[j]), "euclidean"))
+            adj[np.ix_(i, j)] = d <= eps
+        adj &= qid[:, None] != cid[None, :]
         if not adj.any():
             return empty
         nodes, inv = np.unique(np.concatenate([qid, cid]), return_inverse=True)
@@ -78,6 +79,7 @@ def eps_links(points: DataFrame, eps: float, id_col: str = "vec_id", vec_col: st
               block_rows: int = 1024) -> DataFrame:
     """(src, dst) rows whose connected components equal those of the ε-graph of ``points``."""
     schema = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
+    points = K.usable(points, vec_col)
     return K.blocked_cogroup(points, points, _local_star(eps), schema, id_col=id_col, vec_col=vec_col,
                              block_rows=block_rows)
 
