@@ -52,15 +52,6 @@ def test_approximate_recall_floors(spark):
     assert recall(A.ivf_knn(df, 10, cells=8, nprobe=8, seed=1)) == pytest.approx(1.0)  # probing every cell is exact
 
 
-def test_minhash_finds_identical_sets(spark):
-    rows = [(i, b) for i in range(40) for b in range((i % 10) * 20, (i % 10) * 20 + 15)]
-    bits = spark.createDataFrame(rows, "doc_id long, bit int")
-    nn = A.minhash_knn(bits, 1, 256, n_hashes=16, band_rows=2, seed=0).toPandas()
-    assert len(nn) == 40
-    assert (nn.similarity == 1.0).all()
-    assert ((nn.query_id % 10) == (nn.neighbor_id % 10)).all()
-
-
 def _blobs(spark, seed=0):
     rng = np.random.default_rng(seed)
     centers = np.array([[0, 0], [10, 0], [0, 10]], dtype=float)
