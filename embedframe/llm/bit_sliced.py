@@ -152,11 +152,15 @@ def build_index(rows: DataFrame, block_rows: int) -> DataFrame:
         pack, "dims int, block int, ids binary, low binary, at binary, bits binary"), "bit-sliced-index")
 
 
-def search(rows: DataFrame, index: DataFrame, is_query: Column, k: int, query_rows: int = 128) -> DataFrame:
+def search(rows: DataFrame, index: DataFrame, is_query: Column, k: int, query_rows: int = 16384, least_rows: int = 128) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best index rows of every row that ``is_query`` admits,
-    its own id left out."""
+    its own id left out.
+
+    An index block travels once for each query block.  Those have up to ``query_rows`` queries, or fewer where there would
+    be less of them than cores, but then ``least_rows`` at least."""
     queries = rows.where(is_query)
-    n = queries.groupBy("dims").agg(F.ceil(F.count(F.lit(1)) / query_rows).alias("qblocks"))
+    count, cores = F.count(F.lit(1)), F.lit(rows.sparkSession.sparkContext.defaultParallelism)
+    n = queries.groupBy("dims").agg(F.greatest(F.ceil(count / query_rows), F.least(cores, F.ceil(count / least_rows))).alias("qblocks"))
     queries = queries.join(n, "dims").withColumn("qblock", F.pmod(F.xxhash64("id", F.lit(1)), F.col("qblocks")).cast("int"))
     blocks = index.select(F.col("dims").alias("dims"), F.col("block").alias("block"))
     asked = queries.join(blocks, "dims").select(*[F.col(c).alias(c) for c in ("dims", "block", "qblock", "id", "q")])
