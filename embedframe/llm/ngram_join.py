@@ -9,7 +9,10 @@ Texts with equal shingle sets are one *node*.  Then filters come before any pair
 2. *Order by rarity.*  What is left of a prefix is ordered by document frequency, and again only
    the first part can hold the rarest shingle of a similar pair, so passages that very many texts
    share drop out.  Nodes are joined to the smallest node of each shingle left, never to one
-   another; the connected components are *families*, and every linked pair lies in one.
+   another; the connected components are *families*, and every linked pair lies in one.  Large
+   families go through this step again with whole sets: a node stays only if other nodes hold
+   ceil(t n) of its shingles, and a pair must share one of the rarest of them, so a passage alone,
+   however common, holds no family together.
 3. *More global orders.*  Large families are cut into cells by set size (similar sets differ
    by 1/t at most) and bounded bytes.  Where two cells meet, a pair is a candidate only if it shares
    enough prefix shingles under every one of three orders, whose filters are intersected; only
@@ -32,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,24 +194,38 @@ def packed_prefixes(docs: DataFrame, rule: Rule, buckets: int, text_col: str) ->
                     p = prefix_of(s, 0, int(rule.prefix(len(s))))
                     tokens.append(p)
                     nodes.append(np.full(len(p), node, np.int64))
-            if not tokens:
-                continue
-            t, o = np.concatenate(tokens), np.concatenate(nodes)
-            bucket = (t & np.uint64(buckets - 1)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            t, o, bucket = t[order], o[order], bucket[order]
-            packed = np.empty((len(t), 13), np.uint8)
-            packed[:, :5] = (t >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            packed[:, 5:] = o.astype("<i8").view(np.uint8).reshape(-1, 8)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            ends = np.append(cut[1:], len(t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[cut], pa.int64()), pa.array([packed[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())],
-                ["bucket", "packed"])
+            if tokens:
+                yield _packed(np.concatenate(tokens), np.concatenate(nodes), buckets)
 
     return _texts(docs, text_col).mapInArrow(run, "bucket long, packed binary")
 
 
+def packed_sets(sets: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, packed), as ``packed_prefixes`` gives them, of whole sets (node, tokens), each there once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                tokens = [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
+                node = np.repeat(b.column(0).to_numpy(), [len(x) for x in tokens])
+                yield _packed(np.concatenate(tokens), node, buckets)
+
+    return sets.select("node", "tokens").mapInArrow(run, "bucket long, packed binary")
+
+
+def _packed(t: np.ndarray, o: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = (t & np.uint64(buckets - 1)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    t, o, bucket = t[order], o[order], bucket[order]
+    packed = np.empty((len(t), 13), np.uint8)
+    packed[:, :5] = (t >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    packed[:, 5:] = o.astype("<i8").view(np.uint8).reshape(-1, 8)
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = np.append(cut[1:], len(t))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut], pa.int64()), pa.array([packed[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary())],
+        ["bucket", "packed"])
+
+
 class _Shared:
     """Postings of the shingles that two nodes or more hold, from postings that arrive in blocks.
     Keeps one node for each distinct shingle of a bucket, so a shingle that very many nodes hold
@@ -277,11 +294,31 @@ def shared_postings(packed: DataFrame, parts: int, block: int = 2_000_000) -> Da
 
 def families(docs: DataFrame, nodes: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     """(node, family) of the nodes that may have a partner; written."""
-    spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = min(1 << 22, 1 << (4 * parts - 1).bit_length())
+    parts, buckets = _buckets(docs)
     shared = common.written(shared_postings(packed_prefixes(docs, rule, buckets, text_col), parts), "join-shared")
-    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * rule.num + (rule.den - 1)) / rule.den) / 10))
+    return _families(shared, nodes, F.greatest(F.lit(1), F.floor(_need(rule) / 10)))
+
+
+def refined_families(sets: DataFrame, rule: Rule) -> DataFrame:
+    """(node, family) of the ``sets`` (node, n, tokens) that may have a partner among them, by whole sets.  A
+    pair shares need(n) of the shingles that a node has in common with any other, at least one of them among
+    the rarest; footers and other passages that do not fill so much of a set link nothing.  Written."""
+    parts, buckets = _buckets(sets)
+    shared = common.written(shared_postings(packed_sets(sets, buckets), parts), "join-shared")
+    return _families(shared, sets.select("node", "n"), _need(rule))
+
+
+def _buckets(df: DataFrame) -> tuple[int, int]:
+    parts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return parts, min(1 << 22, 1 << (4 * parts - 1).bit_length())
+
+
+def _need(rule: Rule) -> Column:
+    return F.floor((F.col("n") * rule.num + (rule.den - 1)) / rule.den)
+
+
+def _families(shared: DataFrame, nodes: DataFrame, least: Column) -> DataFrame:
+    """Components of the nodes that hold ``least`` (by n) shared shingles or more, over the rarest of these."""
     own = Window.partitionBy("node")  # a node's shingles are at most its prefix
     alive = (shared.join(nodes, "node").withColumn("least", least).withColumn("_all", F.count(F.lit(1)).over(own))
              .where(F.col("_all") >= F.col("least")).select("token", "node", "least"))
@@ -416,18 +453,22 @@ def _compared(rows: DataFrame, keys: list[str], rule: Rule, own: bool) -> DataFr
                                           "src long, dst long", run), "join-found")
 
 
-def cells(fam: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+def sized_families(fam: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, family, n, large); ``large``: the family has more than CELL_SHINGLES shingles.  Written."""
+    sized = fam.join(nodes, "node")
+    total = sized.groupBy("family").agg(F.sum("n").alias("total"))
+    return common.written(sized.join(total, "family").select("node", "family", "n", (F.col("total") > CELL_SHINGLES).alias("large")), "join-sized")
+
+
+def cells(sized: DataFrame, rule: Rule) -> DataFrame:
     """(node, family, cls, sub, cells, split).  ``cells``: where a node is compared first, as (window,
     part).  A family of up to CELL_SHINGLES shingles is one cell.  A larger one is cut by size class
     (similar sets are in the same class or the next), and each two neighbouring classes are a window; a
     window of too many shingles is cut further by a hash of the node, and then ``split`` marks the
     family, for which cells alone don't bring all similar sizes together.  ``cls`` and ``sub`` place a
     node by its own class."""
-    sized = fam.join(nodes, "node")
     cls = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(rule.den / rule.num))) + 1e-9).cast("long")
-    total = sized.groupBy("family").agg(F.sum("n").alias("total"))
-    sized = common.written(sized.join(total, "family").withColumn("cls", F.when(F.col("total") > CELL_SHINGLES, cls).otherwise(F.lit(0)))
-                           .withColumn("large", F.col("total") > CELL_SHINGLES), "join-sized")
+    sized = sized.withColumn("cls", F.when(F.col("large"), cls).otherwise(F.lit(0).cast("long")))
 
     def parts(by: str, rows: DataFrame) -> DataFrame:
         return rows.groupBy("family", by).agg(F.ceil(F.sum("n") / CELL_SHINGLES).alias(f"{by}_parts"))
@@ -448,8 +489,18 @@ def _components_of(links: DataFrame) -> DataFrame:
 
 def node_components(docs: DataFrame, nodes: DataFrame, rule: Rule, text_col: str) -> DataFrame:
     """(node, comp) of the nodes with links: comp is the smallest node that links reach."""
-    sets = member_sets(docs, cells(families(docs, nodes, rule, text_col), nodes, rule), rule, text_col)
+    sets = member_sets(docs, sized_families(families(docs, nodes, rule, text_col), nodes), rule, text_col)
     cell = ["family", "cls", "sub"]
+    zero = F.lit(0).cast("long")
+    placed = ["node", "family", "tokens", "cells", "cls", "sub", "split"]
+    whole = sets.where("not large").select("node", "family", "tokens", F.array(F.struct(zero.alias("w"), zero.alias("part"))).alias("cells"),
+                                           zero.alias("cls"), zero.alias("sub"), F.lit(False).alias("split"))
+    big = sets.where("large").drop("large", "family")
+    if big.isEmpty():
+        sets = whole
+    else:
+        where = cells(sized_families(refined_families(big, rule), big.select("node", "n")), rule)
+        sets = whole.unionByName(big.drop("n").join(where, "node").select(*placed))
     first = sets.select("family", F.explode("cells").alias("_c"), "node", F.col("node").alias("comp"), "tokens", F.lit(0).alias("side"))
     links = _compared(first.select("family", "_c.w", "_c.part", "node", "comp", "tokens", "side"), ["family", "w", "part"], rule, own=True)
     large = common.written(sets.where("split").select("node", *cell), "join-large")

@@ -108,6 +108,38 @@ def test_against_all_pairs(spark, monkeypatch, cell):
     assert run(spark, rows) == want
 
 
+def footer_rows(n, copies):
+    """n texts of which one passage is a good half, and near copies of the first ``copies`` of them."""
+    footer = [f"footer{i}" for i in range(66)]
+    r, rows = random.Random(4), []
+    for i in range(n):
+        own = [f"w{r.randint(0, 10 ** 9)}" for _ in range(54)]
+        rows.append((2 * i, " ".join(own + footer)))
+        if i < copies:
+            rows.append((2 * i + 1, " ".join([*own[2:], *footer])))
+    return rows
+
+
+def test_a_common_passage_holds_no_family_together(spark):
+    """Of texts that share more than half their shingles, only the near copies are left in families, by twos."""
+    rows = footer_rows(300, 20)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = J.document_nodes(docs, J.Rule(), "doc_id", "text")
+    tokens = J.shingle_sets([t for _, t in rows])
+    big = spark.createDataFrame([(J.node_id(t), len(t), t.tobytes()) for t in tokens], "node long, n long, tokens binary")
+    node = {r["node"]: r["doc_id"] for r in sets.collect()}
+    groups = defaultdict(set)
+    for r in J.refined_families(big, J.Rule()).collect():
+        groups[r["family"]].add(node[r["node"]])
+    assert sorted(map(sorted, groups.values())) == [[2 * i, 2 * i + 1] for i in range(20)]
+
+
+def test_texts_with_a_common_passage_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(J, "CELL_SHINGLES", 3000)
+    rows = footer_rows(150, 15)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_a_group_of_copies_holds_most_rows(spark):
     rows = [(i, prose(7)) for i in range(400)] + [(1000 + i, prose(100 + i)) for i in range(20)]
     got = run(spark, rows)
