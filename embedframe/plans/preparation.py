@@ -21,6 +21,23 @@ def scan_by_extension(spark, sf):
     return io.scan_by_extension(spark, f"{sf}/documents.parquet", ["doc_id", "lang", "n_chars"])
 
 
+def _rescanned(spark, sf, extension: str, **options):
+    """Documents written in another format and read again by extension with their schema."""
+    docs = _docs(spark, sf).select("doc_id", "lang", "text", "n_chars")
+    path = f"{scratch_path(spark, extension)}/documents.{extension}"
+    io.sink_by_extension(docs, path)
+    back = io.scan_by_extension(spark, path, ["doc_id", "lang", "text", "n_chars"], docs.schema, **options)
+    return back.select("doc_id", "lang", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def scan_csv(spark, sf):
+    return _rescanned(spark, sf, "csv", multiline=True)
+
+
+def scan_json(spark, sf):
+    return _rescanned(spark, sf, "json")
+
+
 def scan_required_columns(spark, sf):
     return io.require_columns(_docs(spark, sf), ["source", "doc_id", "lang"])
 
@@ -209,6 +226,8 @@ QUERIES = {
     "join_semi_seen": join_semi_seen,
     "join_anti_new": join_anti_new,
     "scan_by_extension": scan_by_extension,
+    "scan_csv": scan_csv,
+    "scan_json": scan_json,
     "scan_required_columns": scan_required_columns,
     "scan_headerless": scan_headerless,
     "scan_row_range": scan_row_range,
@@ -249,6 +268,8 @@ ORACLE = {
     "join_anti_new": """SELECT doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents d WHERE source > 'src3'
         AND NOT EXISTS (SELECT 1 FROM documents l WHERE l.source <= 'src3' AND l.text = d.text)""",
     "scan_by_extension": "SELECT doc_id, lang, n_chars FROM documents",
+    "scan_csv": "SELECT doc_id, nullif(lang, '') AS lang, n_chars, md5(nullif(text, '')) AS text_md5 FROM documents",
+    "scan_json": "SELECT doc_id, lang, n_chars, md5(text) AS text_md5 FROM documents",
     "scan_required_columns": "SELECT source, doc_id, lang FROM documents",
     "scan_headerless": "SELECT source, CAST(doc_id AS VARCHAR) AS doc_id FROM documents",
     "scan_row_range": """SELECT doc_id, lang, row_number FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS row_number

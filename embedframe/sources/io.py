@@ -25,14 +25,23 @@ def format_for(path: str) -> str:
     return EXTENSION_FORMATS.get(ext, "parquet")
 
 
+#: Whole texts survive: quotes are doubled and white space at the ends stays.  CSV has one empty field, read as NULL.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
+
+
 def scan_by_extension(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
-                      schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a file or folder choosing the format from its extension.  CSV is read with a
-    header; give a schema for production reads instead of inferring it."""
+                      schema: T.StructType | str | None = None, multiline: bool = False) -> DataFrame:
+    """Read a file or folder choosing the format from its extension.
+
+    With a schema, CSV and JSON are read in one pass, and a CSV header that does not name the
+    schema's columns in order raises; without one, types are inferred in a pass of their own.
+    ``multiline``: CSV fields may hold line breaks; a file is then read by one task, so write files
+    of bounded size (JSON lines escape them and stay splittable)."""
     fmt = format_for(path)
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = reader.options(**CSV_OPTIONS).option("multiLine", str(multiline).lower()).option("enforceSchema", "false")
         if schema is None:
             reader = reader.option("inferSchema", "true")
     if schema is not None:
@@ -41,6 +50,17 @@ def scan_by_extension(spark: SparkSession, path: str, columns: Sequence[str] | N
     return require_columns(df, columns) if columns else df
 
 
+def sink_by_extension(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write ``df`` to a folder in the format that its extension names, as ``scan_by_extension`` reads it."""
+    fmt = format_for(path)
+    writer = df.write.format(fmt).mode(mode)
+    if fmt == "csv":
+        writer = writer.options(**CSV_OPTIONS)
+    if fmt == "json":
+        writer = writer.option("ignoreNullFields", "false")
+    writer.save(path)
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly ``columns`` in that order; a missing one raises listing the missing set."""
     missing = [c for c in columns if c not in df.columns]

@@ -163,3 +163,24 @@ def test_split_union_rejects_repeated_dataset(spark):
     assert out.count() == 7 and set(out.columns) == {"id", "dataset", "split"}
     with pytest.raises(ValueError, match="duplicate"):
         P.split_union([("train", "x", a), ("val", "y", b), ("train", "x", b)])
+
+
+@pytest.mark.parametrize("extension", ["csv", "json", "parquet"])
+def test_scan_by_extension_gives_back_whole_texts(spark, tmp_path, extension):
+    texts = [None, "", "  spaces kept  ", 'quote " and "" two', "comma, tab\t, back\\slash\\", "line\nbreak\n", "ünï", "x" * 50_000]
+    df = spark.createDataFrame([(i, t, None if i % 2 else i / 4) for i, t in enumerate(texts)], "id long, text string, x double")
+    path = str(tmp_path / f"t.{extension}")
+    io.sink_by_extension(df, path)
+    back = io.scan_by_extension(spark, path, schema=df.schema, multiline=True)
+    want = [(i, None if extension == "csv" and t == "" else t, x) for i, t, x in map(tuple, df.collect())]
+    assert sorted(map(tuple, back.collect())) == sorted(want)
+    none = str(tmp_path / f"none.{extension}")
+    io.sink_by_extension(df.limit(0), none)
+    assert io.scan_by_extension(spark, none, ["x", "id"], df.schema).collect() == []
+
+
+def test_csv_header_must_name_the_schema(spark, tmp_path):
+    path = str(tmp_path / "t.csv")
+    io.sink_by_extension(spark.createDataFrame([(1, "a")], "id long, text string"), path)
+    with pytest.raises(Exception, match="(?i)header"):
+        io.scan_by_extension(spark, path, schema="text string, id long").collect()
