@@ -249,31 +249,44 @@ def theta_pair_counts(df: DataFrame, batch_col: str, label_col: str) -> DataFram
     return below.groupBy(batch_col).agg(F.sum(F.col("_c") * F.col("_below")).cast("long").alias("n_pairs"))
 
 
-def cosent_loss(df: DataFrame, batch_col: str, label_col: str, score_col: str, scale: float = C.COSENT_SCALE,
-                digits: int | None = 6) -> DataFrame:
+#: Exponents are summed in steps of this width, each relative to its own step: e^256 is far from both ends of a double.
+EXPONENT_STEP = 256.0
+
+
+def cosent_loss(df: DataFrame, batch_cols: str | Sequence[str], label_col: str, score_col: str,
+                scale: float = C.COSENT_SCALE, digits: int | None = 6) -> DataFrame:
     """CoSENT per batch: ln(1 + Σ_{label_i > label_j} exp(scale·(s_j − s_i))).
 
     With I(l) = log Σ_{label = l} exp(−λ s) and J(l) = log Σ_{label = l} exp(λ s), the sum's logarithm is the
     log-sum-exp over labels of J(l) plus the log-sum-exp of I over greater labels, a running one on
-    the (batch, label) table.  All sums are relative to their maxima, so scores of any range do.
+    the (batch, label) table.  Sums are ordinary partial aggregates over steps of the exponent, so
+    scores of any range do and the rows are read once.  A row without label or score takes part in no
+    pair; a batch of only such rows has loss 0.
     """
-    lam = float(scale)
-    base = df.select(batch_col, label_col, F.col(score_col).cast("double").alias("_s"))
-    ends = base.groupBy(batch_col, label_col).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    ends = ends.select(F.col(batch_col).alias("_b"), F.col(label_col).alias("_l"), "_lo", "_hi")
-    b = base.join(ends, F.col(batch_col).eqNullSafe(F.col("_b")) & F.col(label_col).eqNullSafe(F.col("_l")))
-    per_label = b.groupBy(batch_col, label_col).agg(
-        (F.log(F.sum(F.exp(-lam * (F.col("_s") - F.col("_lo"))))) - lam * F.first("_lo")).alias("_i"),
-        (F.log(F.sum(F.exp(lam * (F.col("_s") - F.col("_hi"))))) + lam * F.first("_hi")).alias("_j"))
-    above = running_logsumexp_before(per_label, [F.col(label_col).desc()], [batch_col], "_i", "_above")
-    terms = above.select(batch_col, (F.col("_j") + F.col("_above")).alias("_t"))
-    top = terms.groupBy(batch_col).agg(F.max("_t").alias("_top")).withColumnRenamed(batch_col, "_b")
-    total = (terms.join(top, F.col(batch_col).eqNullSafe(F.col("_b"))).groupBy(batch_col)
-             .agg(F.first("_top").alias("_top"), F.sum(F.exp(F.col("_t") - F.col("_top"))).alias("_sum")))
-    log_t = F.col("_top") + F.log("_sum")
-    softplus = F.when(F.col("_top") == float("-inf"), F.lit(0.0)).otherwise(
-        F.greatest(log_t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(log_t))))
-    return total.select(batch_col, _r(softplus, digits).alias("loss"))
+    by = [batch_cols] if isinstance(batch_cols, str) else list(batch_cols)
+    step = F.lit(EXPONENT_STEP)
+    known = F.col(label_col).isNotNull() & F.col(score_col).isNotNull()
+    rows = df.select(*by, F.when(known, F.col(label_col)).alias("_l"),
+                     F.when(known, F.col(score_col).cast("double") * float(scale)).alias("_x"))
+    rows = rows.withColumn("_b", F.floor(F.col("_x") / step))
+    rest = F.col("_x") - F.col("_b") * step
+    steps = rows.groupBy(*by, "_l", "_b").agg(F.sum(F.exp(-rest)).alias("_si"), F.sum(F.exp(rest)).alias("_sj"))
+    w = Window.partitionBy(*by, "_l")
+    steps = steps.withColumn("_lo", F.min("_b").over(w)).withColumn("_hi", F.max("_b").over(w))
+    per_label = steps.groupBy(*by, "_l", "_lo", "_hi").agg(
+        F.sum(F.col("_si") * F.exp((F.col("_lo") - F.col("_b")) * step)).alias("_si"),
+        F.sum(F.col("_sj") * F.exp((F.col("_b") - F.col("_hi")) * step)).alias("_sj"))
+    per_label = per_label.select(*by, "_l", F.coalesce(F.log("_si") - F.col("_lo") * step, F.lit(float("-inf"))).alias("_i"),
+                                 F.coalesce(F.log("_sj") + F.col("_hi") * step, F.lit(float("-inf"))).alias("_j"))
+    above = running_logsumexp_before(per_label, [F.col("_l").desc_nulls_last()], by, "_i", "_above")
+    term = F.col("_j") + F.col("_above")
+    terms = above.select(*by, F.when(term > float("-inf"), term).alias("_t")).withColumn("_b", F.floor(F.col("_t") / step))
+    sums = terms.groupBy(*by, "_b").agg(F.sum(F.exp(F.col("_t") - F.col("_b") * step)).alias("_s"))
+    sums = sums.withColumn("_hi", F.max("_b").over(Window.partitionBy(*by)))
+    total = sums.groupBy(*by, "_hi").agg(F.sum(F.col("_s") * F.exp((F.col("_b") - F.col("_hi")) * step)).alias("_s"))
+    log_t = F.log("_s") + F.col("_hi") * step
+    softplus = F.when(log_t.isNull(), F.lit(0.0)).otherwise(F.greatest(log_t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(log_t))))
+    return total.select(*by, _r(softplus, digits).alias("loss"))
 
 
 # --- pointwise and classification losses ------------------------------------------------------
@@ -330,6 +343,55 @@ def check_matryoshka_weights(dims: Sequence[int], weights: Sequence[float]) -> N
         raise ValueError("weights must not decrease along the dimension list")
 
 
+#: Base losses that rank the pairs of a batch, by the similarity whose prefixes they score.
+RANKING_LOSSES = {"cosent": "cosine", "tanimoto_sent": "tanimoto", "angle": "angle"}
+#: Base losses between the Tanimoto similarity of the prefixes and the target, by ``pointwise_losses`` column.
+POINTWISE_LOSSES = {"mse": "mse", "l1": "l1", "smooth_l1": "smooth_l1", "huber": "huber",
+                    "bin_cross_entropy": "bce_logits", "kldiv": "kldiv", "cosine_embedding": "cosine_embedding"}
+BASE_LOSSES = (*RANKING_LOSSES, *POINTWISE_LOSSES)
+
+
+def matryoshka_losses(pairs: DataFrame, batch_col: str, vec_a: str, vec_b: str, label_col: str, dims: Sequence[int],
+                      weights: Sequence[float], bases: Sequence[str] = BASE_LOSSES, target_col: str | None = None,
+                      sign_col: str | None = None, score_digits: int | None = None, digits: int | None = 6) -> DataFrame:
+    """(base, batch, loss): Σ_d w_d · base loss of the d-prefixes, for each base loss by name.
+
+    Ranking losses order the pairs by ``label_col``; pointwise ones compare the prefixes' Tanimoto
+    similarity with ``target_col`` (the label when None), ``cosine_embedding`` their cosine with
+    the sign in ``sign_col``.  All prefixes and ranking losses share one pass over the pairs, all
+    pointwise losses another.  Unknown names and bad weights raise.  The loss is NULL where a
+    base loss is (``kldiv`` with a negative target)."""
+    check_matryoshka_weights(dims, weights)
+    unknown = [b for b in bases if b not in BASE_LOSSES]
+    if unknown:
+        raise ValueError(f"unknown base losses: {unknown}; expected some of {BASE_LOSSES}")
+    if "cosine_embedding" in bases and sign_col is None:
+        raise ValueError("cosine_embedding needs sign_col")
+    weight = F.create_map(*[x for d, w in zip(dims, weights) for x in (F.lit(d), F.lit(float(w)))])
+    each = pairs.withColumn("_dim", F.explode(F.array(*[F.lit(d) for d in dims])))
+    a, b = V.truncate(vec_a, F.col("_dim")), V.truncate(vec_b, F.col("_dim"))
+    own = [n for n in RANKING_LOSSES if n in bases]
+    parts = []
+    if own:
+        sims = F.array(*[F.struct(F.lit(n).alias("base"), _r(V.angle(a, b) if n == "angle" else V.by_name(RANKING_LOSSES[n])(a, b),
+                                                             score_digits).alias("_score")) for n in own])
+        scored = each.select(batch_col, "_dim", F.col(label_col).alias("_label"), F.explode(sims).alias("_s")).select(
+            batch_col, "_dim", "_label", "_s.*")
+        parts.append(cosent_loss(scored, ["base", "_dim", batch_col], "_label", "_score", digits=None))
+    points = [n for n in POINTWISE_LOSSES if n in bases]
+    if points:
+        sign = [F.col(sign_col).alias("_sign")] if sign_col else []
+        scored = each.select(batch_col, "_dim", F.col(target_col or label_col).alias("_target"), *sign,
+                             _r(V.tanimoto(a, b), score_digits).alias("_score"), _r(V.cosine(a, b), score_digits).alias("_cos"))
+        losses = pointwise_losses(scored, "_target", "_score", ["_dim", batch_col], "_sign" if sign_col else None,
+                                  "_cos" if sign_col else None, digits=None)
+        named = F.array(*[F.struct(F.lit(n).alias("base"), F.col(POINTWISE_LOSSES[n]).alias("loss")) for n in points])
+        parts.append(losses.select("_dim", batch_col, F.explode(named).alias("_s")).select("_s.base", "_dim", batch_col, "_s.loss"))
+    per = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    total = F.when(F.count("loss") == F.count(F.lit(1)), F.sum(F.col("loss") * weight[F.col("_dim")]))
+    return per.groupBy("base", batch_col).agg(_r(total, digits).alias("loss"))
+
+
 # --- pooling ------------------------------------------------------------------------------------
 
 POOLING = ("mean", "sum", "max", "first", "mean_sqrt_len", "weighted_mean")

@@ -123,12 +123,9 @@ def join_theta_order(spark, sf):
     return M.theta_pair_counts(sp, "batch_id", "label")
 
 
-def _cosent(sp, label="label", score="score", digits=6):
+def _cosent(sp):
     """CoSENT for every (dim, batch) of scored pairs in one pass."""
-    keyed = sp.withColumn("_batch", F.col("dim").cast("long") * D.N_BATCHES + F.col("batch_id"))
-    loss = M.cosent_loss(keyed, "_batch", label, score, digits=digits)
-    return loss.select(F.floor(F.col("_batch") / D.N_BATCHES).cast("int").alias("dim"),
-                       F.pmod("_batch", F.lit(D.N_BATCHES)).cast("int").alias("batch_id"), "loss")
+    return M.cosent_loss(sp, ["dim", "batch_id"], "label", "score")
 
 
 def loss_cosent(spark, sf):
@@ -147,20 +144,16 @@ def loss_angle(spark, sf):
 
 
 MATRYOSHKA_WEIGHTS = (1.0, 1.0, 1.0, 1.0)
-BASE_LOSSES = {"cosent": "cosine", "tanimoto_sent": "tanimoto"}
 
 
 def loss_matryoshka(spark, sf):
-    """Σ_d w_d · base loss of the d-prefixes per batch, for each base loss by name; weights checked
-    (positive, non-decreasing).  All prefixes of a base loss share one pass."""
-    dims = D.LADDER
-    M.check_matryoshka_weights(dims, MATRYOSHKA_WEIGHTS)
-    w = F.create_map(*[x for d, wt in zip(dims, MATRYOSHKA_WEIGHTS) for x in (F.lit(d), F.lit(wt))])
-    per = None
-    for name, metric in BASE_LOSSES.items():
-        own = _cosent(D.scored_pairs(spark, sf, metric), digits=None).withColumn("base", F.lit(name))
-        per = own if per is None else per.unionByName(own)
-    return per.groupBy("base", "batch_id").agg(F.round(F.sum(F.col("loss") * w[F.col("dim")]), 6).alias("loss"))
+    """Σ_d w_d · base loss of the d-prefixes per batch, for each of the ten base losses by name.  Ranking
+    losses order by the full-width cosine; the target of the others is that cosine brought to 0 to 1."""
+    p = D.gold_pairs(spark, sf).withColumn("label", F.round(V.cosine("vec_a", "vec_b"), 6))
+    p = p.select((F.col("id_a") % D.N_BATCHES).cast("int").alias("batch_id"), "vec_a", "vec_b", "label",
+                 ((F.col("label") + 1) / 2).alias("target"), F.when(F.col("label_a") == F.col("label_b"), 1).otherwise(-1).alias("sign"))
+    return M.matryoshka_losses(p, "batch_id", "vec_a", "vec_b", "label", D.LADDER, MATRYOSHKA_WEIGHTS, target_col="target",
+                               sign_col="sign", score_digits=6)
 
 
 def loss_pointwise(spark, sf):
@@ -217,12 +210,15 @@ QUERIES = {
 
 _COS = D._sql_cos
 _EVAL_SIMS = ("cosine", "tanimoto", "euclidean", "manhattan", "dot")
-_ANGLE_SQL = """
-(CASE WHEN list_dot_product(vec_a, vec_a) > 0 AND list_dot_product(vec_b, vec_b) > 0 THEN
-  abs(list_dot_product(list_slice(vec_a,1,32), list_slice(vec_b,1,32)) + list_dot_product(list_slice(vec_a,33,64), list_slice(vec_b,33,64))
-      + list_dot_product(list_slice(vec_a,33,64), list_slice(vec_b,1,32)) - list_dot_product(list_slice(vec_a,1,32), list_slice(vec_b,33,64)))
-  / (sqrt(list_dot_product(vec_a, vec_a)) * sqrt(list_dot_product(vec_b, vec_b)))
- ELSE 0 END)"""
+def _angle_sql(a: str, b: str, half: str) -> str:
+    re_a, im_a = f"list_slice({a}, 1, {half})", f"list_slice({a}, {half} + 1, 2 * {half})"
+    re_b, im_b = f"list_slice({b}, 1, {half})", f"list_slice({b}, {half} + 1, 2 * {half})"
+    dot = "list_dot_product({}, {})".format
+    return f"""(CASE WHEN {dot(a, a)} > 0 AND {dot(b, b)} > 0 THEN abs({dot(re_a, re_b)} + {dot(im_a, im_b)} + {dot(im_a, re_b)} - {dot(re_a, im_b)})
+        / (sqrt({dot(a, a)}) * sqrt({dot(b, b)})) ELSE 0 END)"""
+
+
+_ANGLE_SQL = _angle_sql("vec_a", "vec_b", "32")
 
 _RANKS_SQL = """
 r AS (SELECT *, rank() OVER (PARTITION BY dim ORDER BY label) + (count(*) OVER (PARTITION BY dim, label) - 1) / 2.0 AS rl,
@@ -309,11 +305,23 @@ ORACLE = {
     "loss_tanimoto_sent": _sp("tanimoto") + _COSENT_SQL,
     "loss_angle": "WITH " + D.GOLD_PAIRS_SQL + f""", sp AS (SELECT CAST(id_a % 20 AS INTEGER) AS batch_id, 16 AS dim,
         round({_COS('vec_a', 'vec_b')}, 6) AS label, round({_ANGLE_SQL}, 6) AS score FROM gp)""" + _COSENT_SQL.replace("a.dim, a.batch_id, round", "a.batch_id, round"),
-    "loss_matryoshka": "WITH " + D.scored_pairs_sql("cosine", "_cosent") + "," + D.scored_pairs_sql("tanimoto", "_tanimoto_sent")
-        + ", per AS (" + " UNION ALL ".join(
-            f"""SELECT '{n}' AS base, a.dim, a.batch_id, ln(1 + sum(CASE WHEN a.label > b.label THEN exp(20 * (b.score - a.score)) ELSE 0 END)) AS loss
-            FROM sp_{n} a JOIN sp_{n} b ON a.batch_id = b.batch_id AND a.dim = b.dim GROUP BY a.dim, a.batch_id""" for n in BASE_LOSSES)
-        + ") SELECT base, batch_id, round(sum(loss * 1.0), 6) AS loss FROM per GROUP BY base, batch_id",
+    "loss_matryoshka": "WITH " + D.GOLD_PAIRS_SQL + f""",
+        pd AS (SELECT CAST(id_a % 20 AS INTEGER) AS batch_id, d AS dim, label_a, label_b, list_slice(vec_a, 1, d) AS a, list_slice(vec_b, 1, d) AS b,
+                 round({_COS('vec_a', 'vec_b')}, 6) AS label FROM gp CROSS JOIN (VALUES (64), (32), (16), (8)) t(d)),
+        sc AS (SELECT batch_id, dim, label, (label + 1) / 2 AS y, CASE WHEN label_a = label_b THEN 1 ELSE -1 END AS sign,
+                 round({_COS('a', 'b')}, 6) AS c, round({D.sql_similarity('tanimoto', 'a', 'b')}, 6) AS s, round({_angle_sql('a', 'b', '(dim // 2)')}, 6) AS g FROM pd),
+        sp AS (SELECT 'cosent' AS base, batch_id, dim, label, c AS score FROM sc UNION ALL SELECT 'tanimoto_sent', batch_id, dim, label, s FROM sc
+               UNION ALL SELECT 'angle', batch_id, dim, label, g FROM sc),
+        pw AS (SELECT batch_id, dim, avg((s - y) * (s - y)) AS mse, avg(abs(s - y)) AS l1,
+                 avg(CASE WHEN abs(s - y) < 1 THEN 0.5 * (s - y) * (s - y) ELSE abs(s - y) - 0.5 END) AS smooth_l1,
+                 avg(CASE WHEN abs(s - y) <= 1 THEN 0.5 * (s - y) * (s - y) ELSE abs(s - y) - 0.5 END) AS huber,
+                 avg(greatest(s, 0) - s * y + ln(1 + exp(-abs(s)))) AS bin_cross_entropy,
+                 sum(CASE WHEN y > 0 THEN y * (ln(y) - s) ELSE 0 END) / count(*) AS kldiv,
+                 avg(CASE WHEN sign > 0 THEN 1 - c ELSE greatest(c, 0) END) AS cosine_embedding FROM sc GROUP BY batch_id, dim),
+        per AS (SELECT a.base, a.batch_id, ln(1 + sum(CASE WHEN a.label > b.label THEN exp(20 * (b.score - a.score)) ELSE 0 END)) AS loss
+                FROM sp a JOIN sp b ON a.base = b.base AND a.batch_id = b.batch_id AND a.dim = b.dim GROUP BY a.base, a.dim, a.batch_id
+                UNION ALL SELECT base, batch_id, loss FROM pw UNPIVOT (loss FOR base IN ({", ".join(M.POINTWISE_LOSSES)})))
+        SELECT base, batch_id, round(sum(loss), 6) AS loss FROM per GROUP BY base, batch_id""",
     "loss_pointwise": "WITH " + D.GOLD_PAIRS_SQL + f""", sp AS (SELECT CAST(id_a % 20 AS INTEGER) AS batch_id,
           round({D.sql_similarity('tanimoto', 'vec_a', 'vec_b')}, 6) AS y,
           round({_COS('vec_a', 'vec_b')}, 6) AS s, CASE WHEN label_a = label_b THEN 1 ELSE -1 END AS sign,

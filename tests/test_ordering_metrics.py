@@ -156,3 +156,48 @@ def test_cosent_of_scores_far_apart(spark):
     pdf = pd.DataFrame(near, columns=["batch", "label", "score"])
     loss = M.cosent_loss(spark.createDataFrame(pdf), "batch", "label", "score", digits=None).first().loss
     assert abs(loss - 20 * 60) < 1e-6  # exp(20 (60 - 0)): the shift by the batch's minimum alone lost it
+
+
+def test_cosent_wide_scores_and_missing_values(spark):
+    rows = [(0, 1.0, -9000.0), (0, 2.0, 9000.0), (0, 3.0, 8999.0), (0, None, 5.0), (0, 1.5, None),
+            (1, 2.0, -4000.0), (1, 1.0, 4000.0), (2, None, 1.0), (3, 1.0, 2.0), (3, 1.0, 7.0)]
+    df = spark.createDataFrame(rows, "batch int, label double, score double")
+    got = {r.batch: r.loss for r in M.cosent_loss(df, "batch", "label", "score", digits=None).collect()}
+    assert got == {0: pytest.approx(20.0), 1: pytest.approx(160000.0), 2: 0.0, 3: 0.0}
+    assert M.cosent_loss(df.limit(0), "batch", "label", "score").count() == 0
+
+
+def _base_loss(name, part, d):
+    """One base loss of one batch at one width, from its formula."""
+    a, b = np.array(part.a.tolist())[:, :d], np.array(part.b.tolist())[:, :d]
+    ab, aa, bb = (a * b).sum(1), (a * a).sum(1), (b * b).sum(1)
+    cos, tan = ab / np.sqrt(aa * bb), ab / (aa + bb - ab)
+    h, y = d // 2, part.target.to_numpy()
+    ang = np.abs(ab + (a[:, h:] * b[:, :h]).sum(1) - (a[:, :h] * b[:, h:]).sum(1)) / np.sqrt(aa * bb)
+    if name in M.RANKING_LOSSES:
+        return _cosent_brute(pd.DataFrame({"batch": 0, "label": part.label, "score": {"cosent": cos, "tanimoto_sent": tan, "angle": ang}[name]}))[0]
+    e = np.abs(tan - y)
+    huber = np.where(e < 1, 0.5 * e * e, e - 0.5)
+    return {"mse": e * e, "l1": e, "smooth_l1": huber, "huber": huber, "bin_cross_entropy": np.log1p(np.exp(tan)) - tan * y,
+            "kldiv": y * (np.log(y) - tan), "cosine_embedding": np.where(part.sign > 0, 1 - cos, np.maximum(cos, 0))}[name].mean()
+
+
+def test_matryoshka_every_base_loss(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"batch": rng.integers(0, 3, 60), "a": rng.normal(size=(60, 8)).tolist(), "b": rng.normal(size=(60, 8)).tolist(),
+                        "label": rng.integers(0, 5, 60) / 5, "target": rng.uniform(0.1, 1, 60), "sign": rng.choice([-1, 1], 60)})
+    df = spark.createDataFrame(pdf)
+    dims, weights = [8, 4], [1.0, 2.0]
+    got = M.matryoshka_losses(df, "batch", "a", "b", "label", dims, weights, target_col="target", sign_col="sign", digits=None).toPandas()
+    assert len(got) == 3 * len(M.BASE_LOSSES)
+    for r in got.itertuples():
+        part = pdf[pdf.batch == r.batch]
+        assert r.loss == pytest.approx(sum(w * _base_loss(r.base, part, d) for d, w in zip(dims, weights)), rel=1e-9), r.base
+    only = M.matryoshka_losses(df, "batch", "a", "b", "label", dims, weights, bases=["l1"])
+    assert {r.base for r in only.collect()} == {"l1"}
+    below = M.matryoshka_losses(df.withColumn("target", -F.col("target")), "batch", "a", "b", "label", dims, weights, ["kldiv"], "target")
+    assert all(r.loss is None for r in below.collect())
+    with pytest.raises(ValueError, match="unknown"):
+        M.matryoshka_losses(df, "batch", "a", "b", "label", dims, weights, ["triplet"])
+    with pytest.raises(ValueError, match="sign_col"):
+        M.matryoshka_losses(df, "batch", "a", "b", "label", dims, weights, ["cosine_embedding"])
