@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import reliable_checkpoint
 from .ordering import global_row_number
 from .. import constants as C
 
@@ -160,6 +161,28 @@ def fragment_explode(df: DataFrame, id_col: str, text_col: str, score_col: str)
     return df.select(id_col, score_col, F.explode(pieces).alias("fragment"))
 
 
+def fragment_library_update(library: DataFrame, records: DataFrame, candidates: DataFrame, text_col: str, score_col: str,
+                            top_n: int) -> tuple[DataFrame, DataFrame]:
+    """One round of a fragment library: (fragments, records) after ``candidates`` were offered.
+
+    ``library`` holds (fragment, score), ``records`` the (text, score) accepted so far.  A candidate is
+    accepted when its score is above the library's smallest (0.0 for an empty library) and its whole text isn't
+    among the records; NULL texts and scores never are.  Accepted texts are cut into fragments that
+    inherit the score, and the ``top_n`` best fragments stay (ties by text).  A text offered
+    twice counts once and a fragment is held once, each with its best score.
+
+    The smallest score is one aggregated value (scalar subquery), the seen-test an anti join; both
+    results are written, for a next round reads them several times."""
+    lowest = library.agg(F.coalesce(F.min(score_col).cast("double"), F.lit(0.0))).scalar()
+    offered = candidates.where(F.col(text_col).isNotNull() & (F.col(score_col).cast("double") > lowest))
+    best = offered.groupBy(text_col).agg(F.max(F.col(score_col).cast("double")).alias(score_col))
+    accepted = reliable_checkpoint(best.join(records.select(text_col), text_col, "left_anti"))
+    pieces = fragment_explode(accepted, text_col, text_col, score_col).select("fragment", score_col)
+    merged = library.select("fragment", F.col(score_col).cast("double").alias(score_col)).unionByName(pieces)
+    held = merged.groupBy("fragment").agg(F.max(score_col).alias(score_col)).orderBy(F.col(score_col).desc(), "fragment").limit(top_n)
+    return reliable_checkpoint(held), records.select(text_col, F.col(score_col).cast("double").alias(score_col)).unionByName(accepted)
+
+
 def fragment_pair_combine(fragments: DataFrame, frag_col: str, seed: int = 0, joiner: str = ".") -> DataFrame:
     """Pair distinct fragments in a seeded pseudo-random order: the fragment at position i with
     the one at i + 1 (an equi join on the position), and join each pair into a new record.

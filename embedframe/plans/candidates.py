@@ -165,6 +165,20 @@ def fragment_explode(spark, sf):
     return f.select("doc_id", F.col("n_chars").alias("score"), F.md5("fragment").alias("fragment_md5"))
 
 
+LIBRARY_SIZE = 1000
+
+
+def fragment_library(spark, sf):
+    """An empty library is offered the documents that aren't English, then all documents.  Kinds: fragments
+    held and records accepted."""
+    docs = _docs(spark, sf).select("text", F.col("n_chars").cast("double").alias("score"), "lang")
+    library, records = docs.select(F.col("text").alias("fragment"), "score").limit(0), docs.select("text", "score").limit(0)
+    for offered in (docs.where(F.col("lang") != "en"), docs):
+        library, records = C.fragment_library_update(library, records, offered, "text", "score", LIBRARY_SIZE)
+    return (library.select(F.lit("fragment").alias("kind"), F.md5("fragment").alias("key_md5"), "score")
+            .unionByName(records.select(F.lit("record").alias("kind"), F.md5("text").alias("key_md5"), "score")))
+
+
 def fragment_pair_combine(spark, sf):
     f = C.fragment_explode(_docs(spark, sf), "doc_id", "text", "n_chars")
     pairs = C.fragment_pair_combine(f, "fragment", seed=3)
@@ -202,6 +216,7 @@ QUERIES = {
     "mask_segment": mask_segment,
     "mask_repeat": mask_repeat,
     "fragment_explode": fragment_explode,
+    "fragment_library": fragment_library,
     "fragment_pair_combine": fragment_pair_combine,
     "feature_families": feature_families,
     "tokenize_strings": tokenize_strings,
@@ -273,6 +288,21 @@ _FRAG = r"""fr AS (SELECT DISTINCT doc_id, n_chars, f AS fragment FROM (SELECT d
         unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?;\n]+'), lambda x: trim(x)), lambda x: length(x) > 0)) AS f
         FROM documents))"""
 
+def _round_sql(i: int, offered: str) -> str:
+    """CTEs of one round: lib{i} and rec{i} from lib{i-1} and rec{i-1}."""
+    return rf"""
+acc{i} AS (SELECT text, max(score) AS score FROM o WHERE {offered} AND text IS NOT NULL AND score > (SELECT coalesce(min(score), 0.0) FROM lib{i - 1})
+           AND NOT EXISTS (SELECT 1 FROM rec{i - 1} r WHERE r.text = o.text) GROUP BY text),
+lib{i} AS (SELECT fragment, max(score) AS score FROM (SELECT * FROM lib{i - 1} UNION ALL SELECT {_PIECES} AS fragment, score FROM acc{i})
+           GROUP BY fragment ORDER BY score DESC, fragment LIMIT {LIBRARY_SIZE}),
+rec{i} AS (SELECT * FROM rec{i - 1} UNION ALL SELECT * FROM acc{i})"""
+
+
+_PIECES = r"unnest(list_filter(list_transform(regexp_split_to_array(text, '[.!?;\n]+'), lambda x: trim(x)), lambda x: length(x) > 0))"
+_LIBRARY = """o AS (SELECT text, CAST(n_chars AS DOUBLE) AS score, lang FROM documents),
+lib0 AS (SELECT text AS fragment, score FROM o WHERE FALSE),
+rec0 AS (SELECT text, score FROM o WHERE FALSE),""" + _round_sql(1, "lang <> 'en'") + "," + _round_sql(2, "TRUE")
+
 ORACLE = {
     "fp_shingle": "WITH " + _grams_sql(_TOK) + ", " + _bits_sql() + f" SELECT doc_id, {_SUMMARY} FROM b GROUP BY doc_id",
     "fp_shingle_functional": "WITH " + _grams_sql(_CLASS.format(t=_TOK)) + ", " + _bits_sql()
@@ -319,6 +349,8 @@ ORACLE = {
                    + """ SELECT doc_id, CAST(rnd AS INTEGER) AS round, CAST(seg_pos AS INTEGER) AS seg_pos,
         CAST(n_tokens AS INTEGER) AS n_tokens, mask, md5(masked) AS masked_md5 FROM m2""",
     "fragment_explode": "WITH " + _FRAG + " SELECT doc_id, n_chars AS score, md5(fragment) AS fragment_md5 FROM fr",
+    "fragment_library": "WITH " + _LIBRARY + """ SELECT 'fragment' AS kind, md5(fragment) AS key_md5, score FROM lib2
+        UNION ALL SELECT 'record', md5(text), score FROM rec2""",
     "fragment_pair_combine": "WITH " + _FRAG + """, d AS (SELECT DISTINCT fragment FROM fr),
         n AS (SELECT fragment, row_number() OVER (ORDER BY md5('3:' || fragment), fragment) AS rn FROM d)
         SELECT md5(a.fragment) AS left_md5, md5(b.fragment) AS right_md5, md5(a.fragment || '.' || b.fragment) AS combined_md5

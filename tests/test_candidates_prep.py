@@ -184,3 +184,21 @@ def test_csv_header_must_name_the_schema(spark, tmp_path):
     io.sink_by_extension(spark.createDataFrame([(1, "a")], "id long, text string"), path)
     with pytest.raises(Exception, match="(?i)header"):
         io.scan_by_extension(spark, path, schema="text string, id long").collect()
+
+
+def test_fragment_library_rounds(spark):
+    schema = "text string, score double"
+    lib = spark.createDataFrame([("old one", 2.0), ("old two", 4.0)], "fragment string, score double")
+    none = spark.createDataFrame([], schema)
+    offered = spark.createDataFrame([("new a. new b", 5.0), ("new a. new b", 3.0), ("weak", 2.0), ("old one. new c", 3.0), (None, 9.0), ("x", None)], schema)
+    lib1, rec1 = C.fragment_library_update(lib, none, offered, "text", "score", 4)
+    assert [tuple(r) for r in lib1.orderBy(F.desc("score"), "fragment").collect()] == [
+        ("new a", 5.0), ("new b", 5.0), ("old two", 4.0), ("new c", 3.0)]
+    assert sorted(tuple(r) for r in rec1.collect()) == [("new a. new b", 5.0), ("old one. new c", 3.0)]
+    # a second round: the threshold rose to 3, whole records seen before are refused whatever their score
+    again = spark.createDataFrame([("new a. new b", 50.0), ("late", 3.0), ("new b. later", 6.0)], schema)
+    lib2, rec2 = C.fragment_library_update(lib1, rec1, again, "text", "score", 4)
+    assert sorted(tuple(r) for r in lib2.collect()) == [("later", 6.0), ("new a", 5.0), ("new b", 6.0), ("old two", 4.0)]
+    assert rec2.count() == 3
+    empty, kept = C.fragment_library_update(lib.limit(0), none, spark.createDataFrame([("a", 0.0), ("b", 0.5)], schema), "text", "score", 4)
+    assert [tuple(r) for r in empty.collect()] == [("b", 0.5)] and kept.count() == 1
