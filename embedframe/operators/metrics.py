@@ -122,7 +122,7 @@ def correlation_p_value(r: float, n: int) -> float:
     if r is None or n is None or n < 3 or (isinstance(r, float) and math.isnan(r)):
         return float("nan")
     df = n - 2.0
-    if abs(r) >= 1.0:
+    if abs(r) >= 1.0 - PERFECT:
         return 0.0
     t2 = r * r * df / (1.0 - r * r)
     return betainc(df / 2.0, 0.5, df / (df + t2))
@@ -134,13 +134,19 @@ def _p_value_udf(r: pd.Series, n: pd.Series) -> pd.Series:
                       for a, b in zip(r, n)], dtype="float64")
 
 
+#: A correlation this close to ±1 counts as ±1: it is one but for the rounding of sums, which depends on their order.
+PERFECT = 1e-12
+
+
 def t_statistic(r: Column, n: Column) -> Column:
-    return r * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - r * r))
+    """t of a correlation; NULL for a perfect one."""
+    return F.when(F.abs(r) < 1 - PERFECT, r * F.sqrt(F.try_divide(n - 2, F.lit(1.0) - r * r)))
 
 
 def corr_p_values(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits: int | None = 6) -> DataFrame:
     """Spearman and Pearson with their t statistics and two-sided p-values.  The p-value is a
-    scalar pandas UDF applied to the already aggregated rows (one per group)."""
+    scalar pandas UDF applied to the already aggregated rows (one per group); ``digits`` rounds it
+    like the others."""
     by = list(by)
     sp = spearman(df, x, y, by, digits=None, with_n=True)
     pe = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(
@@ -152,10 +158,10 @@ def corr_p_values(df: DataFrame, x: str, y: str, by: Sequence[str] = (), digits:
     return j.select(*by, "n",
                     _r(F.col("spearman"), digits).alias("spearman"),
                     _r(t_statistic(F.col("spearman"), F.col("n")), digits).alias("spearman_t"),
-                    _p_value_udf("spearman", "n").alias("spearman_p"),
+                    _r(_p_value_udf("spearman", "n"), digits).alias("spearman_p"),
                     _r(F.col("pearson"), digits).alias("pearson"),
                     _r(t_statistic(F.col("pearson"), F.col("n")), digits).alias("pearson_t"),
-                    _p_value_udf("pearson", "n").alias("pearson_p"))
+                    _r(_p_value_udf("pearson", "n"), digits).alias("pearson_p"))
 
 
 # --- errors and summaries -------------------------------------------------------------------

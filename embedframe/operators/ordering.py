@@ -120,16 +120,34 @@ def global_row_number(df: DataFrame, order_cols: Sequence[str | Column], group_c
     return out.withColumn(out_col, (F.col("_rn0") + 1).cast("long")).drop("_rn0")
 
 
+#: A value that more than one row in this many holds is frequent; there are fewer of them than this.
+FREQUENT = 512
+
+
 def average_ranks(df: DataFrame, value_col: str, group_cols: Sequence[str] = (), out_col: str = "rank",
                   partitions: int | None = None) -> DataFrame:
     """Fractional ("average") ranks of ``value_col`` within each group; NULL values get NULL.
 
     The running sum runs over the table of distinct (group, value) counts, which is then
-    joined back; ties share the mean of the positions they occupy.
-    """
+    joined back; ties share the mean of the positions they occupy.  Frequent values (fewer than
+    ``FREQUENT`` by their definition, so they can be broadcast) get their rank without a shuffle by value;
+    their rows are spread over all tasks of the join that serves the others, which then has no hot key."""
     group_cols = list(group_cols)
-    counts = (df.where(F.col(value_col).isNotNull()).groupBy(*group_cols, value_col)
-              .agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
+    keys = [*group_cols, value_col]
+    counts = (df.where(F.col(value_col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_cnt")))
     ranked = running_sum_before(counts, [value_col], group_cols, "_cnt", "_lt", partitions)
-    ranked = ranked.select(*group_cols, value_col, (F.col("_lt") + (F.col("_cnt") + 1) / 2).alias(out_col))
-    return df.join(ranked, [*group_cols, value_col], "left")
+    ranked = ranked.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_cnt",
+                           (F.col("_lt") + (F.col("_cnt") + 1) / 2).alias("_rank"))
+    often = F.col("_cnt") * FREQUENT > ranked.agg(F.sum("_cnt")).scalar()
+    same = None
+    for i, c in enumerate(keys):
+        term = F.col(c).eqNullSafe(F.col(f"_k{i}")) if c in group_cols else F.col(c) == F.col(f"_k{i}")
+        same = term if same is None else same & term
+    gone = [f"_k{i}" for i in range(len(keys))]
+    near = df.join(F.broadcast(ranked.where(often).select(*gone, F.col("_rank").alias("_often"))), same, "left").drop(*gone)
+    # rows that have their rank, or have no value, meet nothing: any place will do
+    spread = F.when(F.col("_often").isNotNull() | F.col(value_col).isNull(), F.xxhash64(*df.columns))
+    near = near.withColumn("_place", F.coalesce(spread, F.lit(0)))
+    rest = ranked.where(~often).select(*gone, F.col("_rank").alias("_seldom"), F.lit(0).cast("long").alias("_at"))
+    joined = near.join(rest, same & (F.col("_place") == F.col("_at")), "left")
+    return joined.select(*df.columns, F.coalesce("_often", "_seldom").alias(out_col))

@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_row_number
 from .. import constants as C
 
 # --- canonical schemas ------------------------------------------------------------------------
@@ -45,19 +44,57 @@ def seeded_key(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
+HEX_DIGITS = 32
+#: A refinement step counts the rows by this many hex digits: at most 16^3 = 4096 bins (and one for no id) reach the driver.
+BIN_DIGITS = 3
+
+
+def _order_statistic(keys: DataFrame, key: str, n: int, enough: int) -> tuple[str, int, int]:
+    """Where the ``n``-th smallest key lies: (prefix, rows of that prefix still wanted, all rows).
+
+    Every row whose key is below the prefix belongs to the n smallest.  Each step counts the rows under
+    the prefix found so far by its next digits; steps end when the prefix holds at most ``enough`` rows or no digits
+    are left (equal keys)."""
+    prefix, wanted, total = "", n, None
+    while True:
+        under = keys.where(F.substring(key, 1, len(prefix)) == prefix) if prefix else keys
+        bins = under.groupBy(F.substring(key, len(prefix) + 1, BIN_DIGITS).alias("_d")).agg(F.count(F.lit(1)).alias("_n")).collect()
+        total = sum(r["_n"] for r in bins) if total is None else total
+        if wanted > sum(r["_n"] for r in bins):
+            return "~", 0, total  # fewer rows than wanted: all keys are below
+        for d, count in sorted((r["_d"], r["_n"]) for r in bins):
+            if wanted <= count:
+                break
+            wanted -= count
+        prefix += d
+        if count <= enough or len(prefix) >= HEX_DIGITS:
+            return prefix, wanted, total
+
+
 def sample_exact(df: DataFrame, n: int, seed: int | str, id_col: str, on_short: str = "error") -> DataFrame:
-    """Exactly ``n`` rows chosen by the seeded md5 order (ties by id).  ``on_short='error'``
-    raises when the table has fewer than n rows, ``'clip'`` returns them all.
+    """Exactly ``n`` rows chosen by the seeded md5 order (ties by id, rows without id last).
+    ``on_short='error'`` raises when the table has fewer than n rows, ``'clip'`` returns them all.
 
-    The rows are numbered with the distributed ordering, so no task merges n rows from every
-    partition, however large n is."""
+    The n-th key is found by counting digits of the keys (one pass over the ids for each 4096-fold of rows); a
+    filter keeps the rows below it, and only rows that share its digits are sorted.  Whole rows are neither sorted nor shuffled.
+    Rows with the same id are equal in the order: any of them may make up the number."""
     if on_short not in ("error", "clip"):
         raise ValueError("on_short must be 'error' or 'clip'")
-    numbered = global_row_number(df.withColumn("_sk", seeded_key(seed, id_col)), ["_sk", id_col], out_col="_rn")
-    out = numbered.where(F.col("_rn") <= n).drop("_sk", "_rn")
-    if on_short == "error" and (total := df.count()) < n:
+    if n <= 0:
+        return df.limit(0)
+    key = F.coalesce(seeded_key(seed, id_col), F.lit("g" * HEX_DIGITS))
+    keyed = df.withColumn("_sk", key)
+    prefix, wanted, total = _order_statistic(keyed.select("_sk"), "_sk", n, max(16 ** BIN_DIGITS, n // 16))
+    if on_short == "error" and total < n:
         raise ValueError(f"requested {n} rows but the table has {total}")
-    return out
+    head = F.substring("_sk", 1, len(prefix))
+    below = keyed.where(head < prefix)
+    if not wanted:
+        return below.drop("_sk")
+    edge = keyed.where(head == prefix)
+    # all keys equal: the number is made up from any of them
+    edge = edge.limit(wanted) if len(prefix) >= HEX_DIGITS else edge.orderBy("_sk", id_col).limit(wanted)
+    return below.unionByName(edge).drop("_sk")
 
 
 # --- de-duplication ---------------------------------------------------------------------------

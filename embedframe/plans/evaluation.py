@@ -266,6 +266,23 @@ ORACLE = {
     "agg_spearman": _sp() + "," + _RANKS_SQL + " SELECT dim, round(corr(rl, rs), 6) AS spearman FROM r GROUP BY dim",
     "rank_average": _sp() + """SELECT dim, id_a, id_b, score,
         CAST(rank() OVER (PARTITION BY dim ORDER BY score) + (count(*) OVER (PARTITION BY dim, score) - 1) / 2.0 AS DOUBLE) AS rank FROM sp""",
+    # two-sided p of t with v degrees of freedom: the finite trigonometric series for whole v
+    "corr_p_values": _sp() + "," + _RANKS_SQL + """,
+        c AS (SELECT dim, count(*) AS n, corr(rl, rs) AS spearman, corr(label, score) AS pearson FROM r GROUP BY dim),
+        k AS (SELECT dim, n, 'spearman' AS name, spearman AS r FROM c UNION ALL SELECT dim, n, 'pearson', pearson FROM c),
+        t AS (SELECT *, n - 2 AS v, CASE WHEN abs(r) < 1 - 1e-12 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t FROM k),
+        a AS (SELECT *, atan(abs(t) / sqrt(v)) AS th FROM t),
+        st AS (SELECT a.*, i.i, CASE WHEN i.i = 0 THEN 0.0 WHEN v % 2 = 0 THEN ln((2 * i.i - 1) / (2.0 * i.i)) ELSE ln(2 * i.i / (2.0 * i.i + 1)) END AS f
+               FROM a, (SELECT unnest(range(0, (SELECT max(n) FROM c))) AS i) i WHERE i.i <= (CASE WHEN v % 2 = 0 THEN v - 2 ELSE v - 3 END) // 2),
+        se AS (SELECT dim, name, sum(exp(lf + 2 * i * ln(cos(th)))) AS series FROM
+                 (SELECT *, sum(f) OVER (PARTITION BY dim, name ORDER BY i) AS lf FROM st) GROUP BY dim, name),
+        p AS (SELECT a.dim, a.name, a.n, a.r, a.t, CASE WHEN t IS NULL THEN 0 ELSE 1 END - (CASE WHEN t IS NULL THEN 0 WHEN v % 2 = 0 THEN sin(th) * series
+                 ELSE 2 / pi() * (th + sin(th) * cos(th) * coalesce(series, 0)) END) AS p
+              FROM a LEFT JOIN se ON se.dim = a.dim AND se.name = a.name)
+        SELECT dim, max(n) AS n, round(max(CASE WHEN name = 'spearman' THEN r END), 6) AS spearman,
+          round(max(CASE WHEN name = 'spearman' THEN t END), 6) AS spearman_t, abs(round(max(CASE WHEN name = 'spearman' THEN p END), 6)) AS spearman_p,
+          round(max(CASE WHEN name = 'pearson' THEN r END), 6) AS pearson, round(max(CASE WHEN name = 'pearson' THEN t END), 6) AS pearson_t,
+          abs(round(max(CASE WHEN name = 'pearson' THEN p END), 6)) AS pearson_p FROM p GROUP BY dim""",
     "error_metrics": _sp() + """SELECT dim, round(avg(abs(score - label)), 6) AS mae, round(avg((score - label) * (score - label)), 6) AS mse,
         round(sqrt(avg((score - label) * (score - label))), 6) AS rmse, round(max(abs(score - label)), 6) AS max_error,
         round(avg(CASE WHEN label <> 0 THEN abs((score - label) / label) END) * 100, 6) AS mape FROM sp GROUP BY dim""",

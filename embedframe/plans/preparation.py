@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import prep as P
-from ..operators.ordering import global_row_number
 from ..session import scratch_path
 from ..sources import io
 from ..sources.tables import table
@@ -49,8 +48,7 @@ def scan_headerless(spark, sf):
 
 
 def scan_row_range(spark, sf, offset: int = 100, n: int = 500):
-    numbered = global_row_number(_docs(spark, sf).select("doc_id", "lang"), ["doc_id"])
-    return numbered.where((F.col("row_number") > offset) & (F.col("row_number") <= offset + n))
+    return io.scan_row_range(spark, f"{sf}/documents.parquet", offset, n, ["doc_id", "lang"])
 
 
 def _tagged(spark, sf):
@@ -62,6 +60,16 @@ def split_union(spark, sf):
     return _tagged(spark, sf)
 
 
+def split_union_tables(spark, sf):
+    """Documents, benchmark items and pages as three datasets in three splits, united by name; a
+    column that a dataset lacks is NULL there."""
+    sets = {"documents": _docs(spark, sf).select(F.col("doc_id").alias("id"), F.md5("text").alias("content_md5"), "lang"),
+            "benchmark": table(spark, sf, "benchmark").select(F.md5("text").alias("content_md5"), F.col("item_id").alias("id")),
+            "pages": table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.md5("html").alias("content_md5"), "url")}
+    parts = {split: {name: df.where(P.hash_split("id") == split) for name, df in sets.items()} for split in ("train", "val", "test")}
+    return P.split_union(parts).select("dataset", "split", "id", "content_md5", "lang", "url")
+
+
 def split_sizes(spark, sf):
     return P.split_sizes(_tagged(spark, sf), batch_size=32)
 
@@ -232,6 +240,7 @@ QUERIES = {
     "scan_headerless": scan_headerless,
     "scan_row_range": scan_row_range,
     "split_union": split_union,
+    "split_union_tables": split_union_tables,
     "split_sizes": split_sizes,
     "pending_inputs": pending_inputs,
     "materialize_if_absent": materialize_if_absent,
@@ -275,6 +284,9 @@ ORACLE = {
     "scan_row_range": """SELECT doc_id, lang, row_number FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS row_number
         FROM documents) WHERE row_number > 100 AND row_number <= 600""",
     "split_union": f"WITH {_TAGGED} SELECT dataset, split, doc_id FROM tg",
+    "split_union_tables": f"""WITH t AS (SELECT 'documents' AS dataset, doc_id AS id, md5(text) AS content_md5, lang, CAST(NULL AS VARCHAR) AS url FROM documents
+        UNION ALL SELECT 'benchmark', item_id, md5(text), NULL, NULL FROM benchmark UNION ALL SELECT 'pages', page_id, md5(html), NULL, url FROM pages)
+        SELECT dataset, {_SPLIT.replace("doc_id", "id")} AS split, id, content_md5, lang, url FROM t""",
     "split_sizes": f"""WITH {_TAGGED}, per AS (SELECT dataset, split, count(*) AS rows FROM tg GROUP BY dataset, split),
         tot AS (SELECT split, sum(rows) AS split_rows FROM per GROUP BY split)
         SELECT dataset, split, rows, CAST(split_rows AS BIGINT) AS split_rows, round(1e-5 * sqrt(32.0), 12) AS scaled_lr,

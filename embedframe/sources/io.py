@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..operators.ordering import running_sum_before
 
 EXTENSION_FORMATS = C.EXTENSION_FORMATS
 
@@ -50,6 +51,27 @@ def scan_by_extension(spark: SparkSession, path: str, columns: Sequence[str] | N
     return require_columns(df, columns) if columns else df
 
 
+def scan_row_range(spark: SparkSession, path: str, offset: int, n: int, columns: Sequence[str] | None = None,
+                   out_col: str = "row_number") -> DataFrame:
+    """Rows ``offset`` + 1 to ``offset`` + ``n`` of a Parquet table in the order of its files (by path) and of the
+    rows in them, with their number.
+
+    The files' row counts come from their footers (no column is read) and are added up as a distributed
+    running sum; the driver gets one row for each file that meets the range, and only those files are
+    read.  A range beyond the end has the rows there are."""
+    if offset < 0 or n < 0:
+        raise ValueError("offset and n must not be negative")
+    df = spark.read.parquet(path)
+    meta = df.metadataColumn("_metadata")
+    sizes = df.select(meta["file_path"].alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = running_sum_before(sizes, ["_file"], (), "_rows", "_start")
+    met = starts.where((F.col("_start") < offset + n) & (F.col("_start") + F.col("_rows") > offset)).collect()
+    first = F.create_map(*[x for r in met for x in (F.lit(r["_file"]), F.lit(int(r["_start"])))]) if met else F.lit(None).cast("map<string,bigint>")
+    number = (first[meta["file_path"]] + meta["row_index"] + 1).alias(out_col)
+    inside = df.where(meta["file_path"].isin([r["_file"] for r in met])).select(*(columns or df.columns), number)
+    return inside.where((F.col(out_col) > offset) & (F.col(out_col) <= offset + n))
+
+
 def sink_by_extension(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write ``df`` to a folder in the format that its extension names, as ``scan_by_extension`` reads it."""
     fmt = format_for(path)

@@ -202,3 +202,37 @@ def test_fragment_library_rounds(spark):
     assert rec2.count() == 3
     empty, kept = C.fragment_library_update(lib.limit(0), none, spark.createDataFrame([("a", 0.0), ("b", 0.5)], schema), "text", "score", 4)
     assert [tuple(r) for r in empty.collect()] == [("b", 0.5)] and kept.count() == 1
+
+
+def test_sample_exact_by_digits_of_the_key(spark, monkeypatch):
+    monkeypatch.setattr(P, "BIN_DIGITS", 1)  # sixteen bins: several steps on a small table
+    df = spark.range(700).select((F.col("id") % 400).alias("id"), F.col("id").alias("row")).repartition(3)
+    order = sorted(range(400), key=lambda i: __import__("hashlib").md5(f"5:{i}".encode()).hexdigest())
+    ids = [i for i in order for _ in range(2 if i < 300 else 1)]  # ids below 300 occur twice
+    for n in (1, 2, 7, 33, 350, 699, 700):
+        assert sorted(r.id for r in P.sample_exact(df, n, 5, "id").collect()) == sorted(ids[:n])
+    assert P.sample_exact(df, 0, 5, "id").count() == 0
+    one = spark.range(60).select(F.lit(9).alias("id"))  # one key for all rows
+    assert P.sample_exact(one, 41, 5, "id").count() == 41
+    none = spark.createDataFrame([(None,), (1,), (None,), (2,)], "id int")
+    assert sorted(r.id for r in P.sample_exact(none, 2, 5, "id").collect()) == [1, 2]
+    assert P.sample_exact(none, 3, 5, "id").where("id IS NULL").count() == 1
+    assert P.sample_exact(none.limit(0), 3, 5, "id", on_short="clip").count() == 0
+    assert "Sort" not in P.sample_exact(df, 33, 5, "id")._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+
+
+def test_row_range_reads_only_the_files_it_meets(spark, tmp_path):
+    path = str(tmp_path / "rows with space.parquet")
+    spark.range(0, 1000, 1, 7).withColumn("x", F.col("id") * 2).write.parquet(path)
+    for offset, n in ((0, 10), (100, 500), (140, 5), (990, 50), (2000, 3), (5, 0)):
+        got = sorted((r.row_number, r.id) for r in io.scan_row_range(spark, path, offset, n, ["id"]).collect())
+        assert got == [(i + 1, i) for i in range(1000)][offset:offset + n]
+    spark.range(0, 1000, 1, 7).withColumn("_metadata", F.col("id")).write.parquet(path + "2")  # a column of that name
+    assert io.scan_row_range(spark, path + "2", 300, 4).count() == 4
+    inside = io.scan_row_range(spark, path, 140, 5, ["id"])
+    plan = inside._jdf.queryExecution().executedPlan()
+    assert plan.executeCollect() is not None
+    scan = plan.collectLeaves().head()
+    assert scan.metrics().get("numFiles").get().value() == 2 and "x" not in scan.requiredSchema().fieldNames()
+    with pytest.raises(ValueError):
+        io.scan_row_range(spark, path, -1, 5)
