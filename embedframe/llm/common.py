@@ -72,15 +72,17 @@ def with_columns(df: DataFrame, added: list[tuple[str, T.DataType]], text_col: s
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, in_training: Column, max_rows: int,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, text) of at most ``max_rows`` labelled rows that ``in_training`` (an expression on
+    """(id, label, text) of at most ``max_rows`` labelled rows that ``in_training`` (an expression on
     the id) admits: those of the smallest id hashes, so the same rows for the same table.  At most
-    ``max_rows`` ids are broadcast; the documents are read where they lie."""
+    ``max_rows`` ids are broadcast; the documents are read where they lie.  An id that stands in several
+    rows gives one of them, the least text, so the bound holds whatever the documents."""
     picked = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
               .where(F.col("_id").isNotNull() & F.col("_label").isNotNull()).groupBy("_id").agg(F.max("_label").alias("_label"))
               .withColumnRenamed("_id", id_col).where(in_training).withColumnRenamed(id_col, "_id")
               .orderBy(F.xxhash64("_id"), "_id").limit(int(max_rows)))
     return (docs.select(F.col(id_col).alias("_did"), F.col(text_col).cast("string").alias("_t"))
             .join(F.broadcast(picked), F.col("_did") == F.col("_id"))
+            .groupBy("_did").agg(F.max("_label").alias("_label"), F.min("_t").alias("_t"))
             .select(F.col("_did").alias("id"), F.col("_label").alias("label"), F.coalesce("_t", F.lit("")).alias("text")))
 
 

@@ -91,6 +91,58 @@ for _license, _short, _long in (("CC-BY-4.0", "BY", "Attribution"), ("CC-BY-SA-4
     TEMPLATES[_license] = [f"Licensed under CC {_short} 4.0.",
                            f"This work is licensed under the Creative Commons {_long} 4.0 International License."]
 
+TEMPLATES["BSL-1.0"] = ["Boost Software License - Version 1.0"]
+NAMES["BSL-1.0"] = ["Boost Software License"]
+TEMPLATES["MIT"] += [
+    "The MIT License (MIT)",
+    TEMPLATES["MIT"][1] + " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+    "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+    "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+]
+TEMPLATES["ISC"] += [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+    "that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR "
+    "DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
+    "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+    "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+]
+TEMPLATES["BSD"] += [
+    TEMPLATES["BSD"][0] + " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+    "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+    "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED "
+    "AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+    "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+]
+
+#: Short forms by which a license is named after "Licensed under" or "Released under", with or without "the".
+SHORT_FORMS = {
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache-2.0 License", "Apache License v2.0"],
+    "MIT": ["MIT License"],
+    "GPL-2.0": ["GPLv2", "GPL v2", "GNU GPL v2", "GNU GPLv2"],
+    "GPL-3.0": ["GPLv3", "GPL v3", "GNU GPL v3", "GNU GPLv3"],
+    "LGPL-2.1": ["LGPLv2.1"],
+    "LGPL-3.0": ["LGPLv3"],
+    "AGPL-3.0": ["AGPLv3"],
+    "MPL-2.0": ["MPL 2.0", "Mozilla Public License 2.0"],
+    "BSL-1.0": ["Boost Software License 1.0"],
+}
+for _license, _forms in SHORT_FORMS.items():
+    NAMES[_license] = [*NAMES[_license], *[f for f in _forms if f not in NAMES[_license]]]
+    TEMPLATES[_license] = TEMPLATES[_license] + [t for f in _forms for verb in ("Licensed", "Released") for the in ("", "the ")
+                                                 if (t := f"{verb} under {the}{f}.") not in TEMPLATES[_license]]
+
+#: Identifiers of the tag line, where they aren't the license's key alone.
+IDENTIFIERS = {"BSD": ["BSD-2-Clause", "BSD-3-Clause"]} | {
+    k: [k, f"{k}-only", f"{k}-or-later"] for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+for _license in TEMPLATES:
+    _tags = [f"SPDX-License-Identifier: {i}" for i in IDENTIFIERS.get(_license, [_license])]
+    NAMES[_license], TEMPLATES[_license] = NAMES[_license] + _tags, TEMPLATES[_license] + _tags
+
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 

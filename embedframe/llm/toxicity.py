@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A clause is read as a string of word classes: insult, threat, target ("you"), negation, reported
-speech, other.  Five small transducers each read that string and give every word a factor:
+speech, other.  A first machine reads it from the right and marks words that a target follows within
+reach, so "kill you" is told like "you kill".  Five small transducers then read classes and marks
+from the left and give every word a factor:
 
 * ``insult`` lets insult and threat words through with their learned weight;
-* ``threat`` strengthens a threat with a target near by;
-* ``target`` strengthens an insult within a few words of a target;
+* ``threat`` strengthens a threat within a few words of a target, before or after it;
+* ``target`` strengthens an insult the same way;
 * ``negation`` weakens what follows a negation within a few words;
 * ``reported`` weakens what follows a verb of saying in the same clause.
 
@@ -44,41 +46,65 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORTED = range(6)
 TARGETS = "you your yours yourself u tu toi vous votre ton du dich dir ihr euch sie tú ti usted ustedes vosotros te".split()
 NEGATIONS = "not no never neither nor isn aren wasn don doesn didn pas jamais ni nicht kein keine nie niemals nunca ni tampoco".split()
 REPORTS = "said says say told called calls wrote quoted dit disait dites sagte sagt schrieb dijo dice dijeron escribió".split()
-THREATS = "kill hurt destroy murder stab shoot tuer détruire frapper töten umbringen zerstören matar destruir golpear".split()
+#: Threats as whole words, and as stems of their other forms.
+THREATS = ("hurt hurts stab stabs stabbed stabbing shoot shoots shot shooting tue tues tuez frapper frapperai umbringen umbringe "
+           "schlagen matar mato golpear golpearé destruir destruiré").split()
+THREAT_STEMS = "kill murder destroy strangl tuer détrui assassin töte erwürg ermord zerstör matar golpear apuñal asesin".split()
 
+THREAT_PREFIXES = tuple(THREAT_STEMS)
 TOKEN = re.compile(r"\w+|[.!?;:\n]")
 STEMS = (3, 4, 5, 6, 7, 8)
+AHEAD = 6   # as many as there are classes
+REACH = 4   # words between a target and what it strengthens
 
 
 @dataclass(frozen=True)
 class Machine:
-    """A transducer over word classes: ``steps[state][class] = (next state, factor)``; starts in 0."""
+    """A transducer over word classes: ``steps[state][symbol] = (next state, factor)``; starts in 0.  A symbol
+    is a class, plus ``AHEAD`` where a target follows."""
 
     steps: tuple[tuple[tuple[int, float], ...], ...]
 
 
-def _near(trigger: int, reach: int, factor: float, on: tuple[int, ...]) -> Machine:
-    """Multiplies the classes ``on`` by ``factor`` for ``reach`` words after ``trigger``."""
+def _near(trigger: int, reach: int, factor: float, on: tuple[int, ...], ahead: bool = False) -> Machine:
+    """Multiplies the classes ``on`` by ``factor``, once, for ``reach`` words after ``trigger`` and, if ``ahead``,
+    where the trigger follows."""
     rows = []
     for state in range(reach + 1):
         row = []
-        for c in range(6):
+        for symbol in range(2 * AHEAD):
+            c = symbol % AHEAD
             nxt = reach if c == trigger else max(0, state - 1)
-            row.append((nxt, factor if state and c in on else 1.0))
+            row.append((nxt, factor if (state or ahead and symbol >= AHEAD) and c in on else 1.0))
         rows.append(tuple(row))
     return Machine(tuple(rows))
 
 
+def mark_targets(classes: list[int], reach: int = REACH) -> list[int]:
+    """The symbols of a text's classes (clause ends are -1): from the right, a word within ``reach`` of a
+    target that follows in its clause gets ``AHEAD``."""
+    out, left = classes.copy(), 0
+    for i in range(len(out) - 1, -1, -1):
+        c = out[i]
+        if c < 0:
+            left = 0
+            continue
+        if left:
+            out[i] = c + AHEAD
+        left = reach if c == TARGET else max(0, left - 1)
+    return out
+
+
 def insult_machine() -> Machine:
-    return Machine((tuple((0, 1.0 if c in (INSULT, THREAT) else 0.0) for c in range(6)),))
+    return Machine((tuple((0, 1.0 if c % AHEAD in (INSULT, THREAT) else 0.0) for c in range(2 * AHEAD)),))
 
 
-def threat_machine(reach: int = 4) -> Machine:
-    return _near(TARGET, reach, 1.5, (THREAT,))
+def threat_machine(reach: int = REACH) -> Machine:
+    return _near(TARGET, reach, 1.5, (THREAT,), ahead=True)
 
 
-def target_machine(reach: int = 4) -> Machine:
-    return _near(TARGET, reach, 1.25, (INSULT,))
+def target_machine(reach: int = REACH) -> Machine:
+    return _near(TARGET, reach, 1.25, (INSULT,), ahead=True)
 
 
 def negation_machine(reach: int = 2) -> Machine:
@@ -87,8 +113,8 @@ def negation_machine(reach: int = 2) -> Machine:
 
 def reported_machine() -> Machine:
     """From a verb of saying to the end of the clause."""
-    calm = tuple((1 if c == REPORTED else 0, 1.0) for c in range(6))
-    told = tuple((1, 0.6 if c in (INSULT, THREAT) else 1.0) for c in range(6))
+    calm = tuple((1 if c % AHEAD == REPORTED else 0, 1.0) for c in range(2 * AHEAD))
+    told = tuple((1, 0.6 if c % AHEAD in (INSULT, THREAT) else 1.0) for c in range(2 * AHEAD))
     return Machine((calm, told))
 
 
@@ -99,7 +125,7 @@ def compose(machines: list[Machine]) -> Machine:
     steps = []
     for at in order:  # grows while it is read
         row = []
-        for c in range(6):
+        for c in range(2 * AHEAD):
             moves = [m.steps[s][c] for m, s in zip(machines, at, strict=True)]
             nxt = tuple(s for s, _ in moves)
             if nxt not in ids:
@@ -131,16 +157,18 @@ class Grammar:
             if len(word) >= n and (w := self.stems.get(word[:n])) is not None:
                 return INSULT, w
         k = self.closed.get(word, OTHER)
+        if k == OTHER and word.startswith(THREAT_PREFIXES):
+            k = THREAT
         return k, 1.0 if k == THREAT else 0.0
 
     def clauses(self, text: str) -> Iterator[float]:
         """Scores of the clauses that match, in order."""
         tokens = TOKEN.findall(text.lower())
         classes = list(map(self.classes.__getitem__, tokens))
-        steps, state, score = self.machine.steps, 0, 0.0
         if not any(w for _, w in classes):
             return
-        for k, w in classes:
+        steps, state, score = self.machine.steps, 0, 0.0
+        for k, (_, w) in zip(mark_targets([k for k, _ in classes]), classes, strict=True):
             if k < 0:  # the end of a clause
                 if score:
                     yield score

@@ -23,23 +23,56 @@ def test_clauses_in_context():
     assert score("they are not idiot") == 0.5 * plain
     assert score("he said that idiot") == 0.6 * plain
     assert score("not you. idiot") == plain  # a clause ends the effect
-    assert score("you kill") == 1.5 and score("kill you") == 1.0
+    # a target strengthens what stands before it, too, and only once
+    assert score("you kill") == score("kill you") == score("you kill you") == score("I will kill you") == 1.5
+    assert score("töte dich") == score("you will be killed") == score("je vais te tuer") == 1.5
+    assert score("idiot, you") == 1.25 * plain and score("kill it") == 1.0 and score("kill. you") == 1.0
+    assert score("kill a b c you") == 1.5 and score("kill a b c d you") == 1.0
+    assert score("a stable shop") == 0 and score("I will not kill you") == 0.75
     assert list(g.clauses("idiot, idiot! fine; blarks")) == [10.0, 4.0]
 
 
 def test_composition_is_the_product_of_its_parts():
-    parts = [toxicity.insult_machine(), toxicity.target_machine(), toxicity.negation_machine(), toxicity.reported_machine()]
+    parts = [toxicity.insult_machine(), toxicity.threat_machine(), toxicity.target_machine(), toxicity.negation_machine(), toxicity.reported_machine()]
     whole = toxicity.compose(parts)
     r = np.random.default_rng(2)
     for _ in range(100):
         at, states = 0, [0] * len(parts)
-        for c in r.integers(0, 6, 12).tolist():
+        for c in r.integers(0, 12, 12).tolist():
             at, factor = whole.steps[at][c]
             moves = [m.steps[s][c] for m, s in zip(parts, states, strict=True)]
             states = [s for s, _ in moves]
             assert factor == math.prod(f for _, f in moves)
 
 
+def test_clause_scores_against_the_rules_word_by_word():
+    """Each word's factor from the rules as stated, looking left and right in its clause."""
+    g, r = grammar(), np.random.default_rng(8)
+    vocabulary = ["idiot", "blarks", "kill", "you", "not", "said", "a", "b", "c", "d", "."]
+    kinds = {"idiot": (toxicity.INSULT, 5.0), "blarks": (toxicity.INSULT, 4.0), "kill": (toxicity.THREAT, 1.0)}
+    for _ in range(300):
+        words = r.choice(vocabulary, int(r.integers(1, 25))).tolist()
+        want = []
+        for clause in " ".join(words).split("."):
+            ws, total = clause.split(), 0.0
+            for i, w in enumerate(ws):
+                if w in kinds:
+                    kind, weight = kinds[w]
+                    near = "you" in ws[max(0, i - 4):i] or "you" in ws[i + 1:i + 5]
+                    total += (weight * ((1.5 if kind == toxicity.THREAT else 1.25) if near else 1.0)
+                              * (0.5 if "not" in ws[max(0, i - 2):i] else 1.0) * (0.6 if "said" in ws[:i] else 1.0))
+            if total:
+                want.append(total)
+        assert np.allclose(list(g.clauses(" ".join(words))), want)
+
+
+def test_labelled_sample_holds_one_text_of_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, toxic int")
+    got = toxicity.common.labelled_sample(docs, labels, "toxic", F.lit(True), 10)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, "a"), (2, 0, "")]
+
+
 def test_lexicon_finds_words_and_stems_not_copies():
     texts, labels = [], []
     for i in range(300):
