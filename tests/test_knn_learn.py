@@ -158,3 +158,35 @@ def test_multi_metric_equals_single_calls(spark):
         one = K.knn(df, df, 4, m, block_rows=40).toPandas()
         got = multi[multi.metric == m].drop(columns="metric").sort_values(["query_id", "rank"]).reset_index(drop=True)
         assert got.equals(one.sort_values(["query_id", "rank"]).reset_index(drop=True)[got.columns])
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "tanimoto", "euclidean", "manhattan"])
+@pytest.mark.parametrize("kind", ["random", "copies", "far", "grid"])
+def test_block_topk_by_tiles(metric, kind):
+    rng = np.random.default_rng(5)
+    x = {"random": rng.standard_normal((700, 16)), "copies": np.repeat(rng.standard_normal((7, 16)), 100, axis=0),
+         "far": rng.standard_normal((700, 16)) * 0.01 + 300, "grid": np.round(rng.standard_normal((700, 3)))}[kind]
+    ids = rng.permutation(700)
+    s = K._round_half_up(K.similarity_matrix(x, x, metric))
+    want = {(i, int(ids[j])) for i in range(700) for j in [j for j in np.lexsort((ids, -s[i])) if j != i][:5]}
+    old = K.TILE_QUERIES, K.TILE_ROWS, K.FIRST_ROWS
+    K.TILE_QUERIES, K.TILE_ROWS, K.FIRST_ROWS = 50, 90, 40
+    try:
+        i, n, got = K.block_topk(x, x, ids, ids, [metric], 5, True)[metric]
+        kth = got.reshape(700, 5)[:, 4]
+        again = K.block_topk(x, x, ids, ids, [metric], 5, True, floor=kth)[metric]
+    finally:
+        K.TILE_QUERIES, K.TILE_ROWS, K.FIRST_ROWS = old
+    differ = want ^ set(zip(i.tolist(), n.tolist(), strict=True))
+    # sums in another order may differ in the last digit of the rounding
+    place = {int(v): p for p, v in enumerate(ids)}
+    assert all(abs(s[a, place[b]] - kth[a]) <= 1.5e-6 * max(1.0, abs(kth[a]) * 1e-6) for a, b in differ) and len(i) == 3500
+    assert len(again[0]) == 3500 and np.allclose(again[2], got, atol=2e-6)
+
+
+def test_a_table_of_medium_size_meets_in_few_blocks(spark):
+    """Rows are copied once for a block of the other side: copies must not grow with the table before blocks are full."""
+    df = spark.range(9000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    sizes = K.blocked_cogroup(df, df, lambda key, l, r: pd.DataFrame({"l": [len(l)], "r": [len(r)]}), "l long, r long",
+                              corpus_rows=K.CORPUS_FACTOR * K.BLOCK_ROWS).toPandas()
+    assert len(sizes) == K.SPREAD ** 2 and (sizes["l"] * sizes["r"]).sum() == 9000 ** 2
