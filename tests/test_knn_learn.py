@@ -190,3 +190,31 @@ def test_a_table_of_medium_size_meets_in_few_blocks(spark):
     sizes = K.blocked_cogroup(df, df, lambda key, l, r: pd.DataFrame({"l": [len(l)], "r": [len(r)]}), "l long, r long",
                               corpus_rows=K.CORPUS_FACTOR * K.BLOCK_ROWS).toPandas()
     assert len(sizes) == K.SPREAD ** 2 and (sizes["l"] * sizes["r"]).sum() == 9000 ** 2
+
+
+@pytest.mark.parametrize(("eps", "kind"), [(0.6, "random"), (0.1, "grid"), (0.0, "copies")])
+def test_links_of_whole_blocks_without_a_distance_matrix(eps, kind, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = {"random": rng.standard_normal((400, 4)), "grid": np.round(rng.standard_normal((400, 3)), 1) + 500, "copies": np.zeros((400, 3))}[kind]
+    ids = rng.permutation(400)
+
+    def roots(pairs):
+        root = list(range(400))
+        for a, b in pairs:
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            root[max(a, b)] = min(a, b)
+        for i in range(400):
+            root[i] = root[root[i]]
+        return root
+
+    d = -K._round_half_up(K.similarity_matrix(x, x, "euclidean"))
+    want = roots((ids[i], ids[j]) for i, j in zip(*np.nonzero(d <= eps), strict=True))
+    monkeypatch.setattr(K, "TILE_QUERIES", 30)
+    monkeypatch.setattr(K, "TILE_ROWS", 50)
+    monkeypatch.setattr(K, "similarity_matrix", None)  # whole matrices would not fit larger blocks
+    left, right = pd.DataFrame({"_qid": ids, "_qv": list(x), "_qb": 0}), pd.DataFrame({"_cid": ids, "_cv": list(x), "_cb": 0})
+    found = pd.concat([L._local_star(eps)(None, left.iloc[a], right.iloc[b]) for a in (slice(150), slice(150, None)) for b in (slice(150), slice(150, None))])
+    assert roots(zip(found["src"], found["dst"], strict=True)) == want
