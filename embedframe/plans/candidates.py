@@ -20,17 +20,17 @@ def _docs(spark, sf):
 
 
 def fp_shingle(spark, sf):
-    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2)
+    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2, held=True)
     return FP.bits_summary(bits, ["doc_id"]).withColumn("n_bits", F.col("n_bits").cast("long"))
 
 
 def fp_shingle_functional(spark, sf):
-    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2, functional=True)
+    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2, functional=True, held=True)
     return FP.bits_summary(bits, ["doc_id"]).withColumn("n_bits", F.col("n_bits").cast("long"))
 
 
 def fp_size_ladder(spark, sf):
-    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", radius=2, sizes=LADDER_SIZES)
+    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", radius=2, sizes=LADDER_SIZES, held=True)
     return FP.bits_summary(bits, ["doc_id", "fp_size"]).withColumn("n_bits", F.col("n_bits").cast("long"))
 
 
@@ -65,7 +65,7 @@ def fp_graph_functional(spark, sf):
 
 def _doc_pairs(spark, sf, offsets):
     """(id, id + offset) with both fingerprints, packed into 32 integers each."""
-    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2)
+    bits = FP.shingle_fingerprint(_docs(spark, sf), "doc_id", "text", FP_SIZE, radius=2, held=True)
     fp = reliable_checkpoint(FP.packed_bits(bits, ["doc_id"], FP_SIZE))
     a = fp.select(F.col("doc_id").alias("id_a"), F.col("words").alias("bits_a"),
                   F.explode(F.array(*[F.lit(o) for o in offsets])).alias("_o"))
